@@ -1,0 +1,7 @@
+"""The registered queries over the reference's own operators, and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+FLAGSHIP = "hybrid_pipeline"
