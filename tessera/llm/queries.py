@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, secret_scan, token_counts
+from tessera.llm import packing, quality, secret_scan, simhash, token_counts, token_file
 from tessera.llm.common import table
 
 
@@ -20,6 +20,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), window=4096, end_id=2)
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint over three-word shingles, and its component at two differing bits or fewer."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, by a ledger of blobs."""
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
@@ -29,6 +35,17 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(r.kind) for r in secret_scan.BASE_RULES), F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written as directly addressable codes and read back."""
+    return token_file.token_file(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), with_counts=True)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, by a digest cache."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
@@ -51,11 +68,34 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN d USING (doc_id)"""
 
 
+_STOP_SQL = ", ".join(f"'{w.decode()}'" for w in sorted(quality.STOP_WORDS))
+_OP8_SQL = rf"""WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, range(3) AS r(k) GROUP BY doc_id),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
+    len(regexp_extract_all(regexp_replace(t, '[^A-Za-z\x{{80}}-\x{{10FFFF}}\x20\x09-\x0D]', '', 'g'), '[^\x20\x09-\x0D]+')) AS n_letter_words,
+    len(list_filter(regexp_extract_all(regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?"''()\[\]]', '', 'g'), '[^\x20\x09-\x0D]+'), lambda x: x IN ({_STOP_SQL}))) AS n_stop_words
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (10 * n_symbols > n_words OR 100 * n_dup_lines > 40 * n_lines OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR 10 * n_upper > 3 * word_chars
+    OR 10 * n_letter_words < 8 * n_words OR 50 * n_stop_words < n_words) AS kept FROM b"""
+
+
 QUERIES = {
     "op2_packing": op2_packing,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_secret_scans": op5_secret_scans,
+    "op6_token_file": op6_token_file,
+    "op8_quality_rules": op8_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL = {
     "op5_secret_scans": _op5_sql(),
+    "op8_quality_rules": _OP8_SQL,
 }
