@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, quality, secret_scan, simhash, token_counts, token_file
+from tessera.llm import html_text, packing, quality, secret_scan, simhash, token_counts, token_file, url_filter
 from tessera.llm.common import table
 
 
@@ -15,11 +15,25 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens, best fit first."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), window=4096, end_id=2)
 
 
+#: The rules of op3_url_filters.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and the verdict of every page's url, aliases included."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint over three-word shingles, and its component at two differing bits or fewer."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
@@ -87,8 +101,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR 10 * n_letter_words < 8 * n_words OR 50 * n_stop_words < n_words) AS kept FROM b"""
 
 
+def _op3_sql() -> str:
+    host = "translate(regexp_extract({u}, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = "regexp_extract({u}, '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
+    node = f"CASE WHEN contains({{u}}, '://') THEN {host} || {path} || regexp_extract({{u}}, '^[^?#]*(\\?[^#]*)', 1) END".replace("\\\\", "\\")
+    rules = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '{'/' + r.partition('/')[2]}')" for v, r in URL_RULES)
+    quoted = lambda x: x.replace("'", "''")
+    href = " || ".join(f"regexp_extract(regexp_extract(html, '{quoted(url_filter.CANONICAL)}', 0), '{quoted(url_filter.HREF)}', {k})" for k in (1, 2, 3))
+    refresh = f"regexp_extract(regexp_extract(html, '{quoted(url_filter.REFRESH)}', 0), '{quoted(url_filter.REFRESH_URL)}', 1)"
+    fit = "(SELECT {w} FROM rules WHERE ({h} = rh OR ends_with({h}, '.' || rh)) AND starts_with({p}, rp))"
+    own = fit.format(w="max_by(verdict, length(rule))", h=host.format(u="url"), p=path.format(u="url"))
+    return f"""WITH RECURSIVE rules(verdict, rule, rh, rp) AS (VALUES {rules}),
+found AS (SELECT url, replace(trim(link), '&amp;', '&') AS link FROM (SELECT url, unnest([{href}, {refresh}]) AS link FROM pages) WHERE link <> ''),
+edges AS (SELECT DISTINCT url AS a, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+  WHEN starts_with(link, '//') THEN regexp_extract(url, '^(?s:(.*?))://', 1) || ':' || link
+  WHEN starts_with(link, '/') THEN regexp_extract(url, '^(?s:(.*?))://', 1) || '://' || {host.format(u="url")} || link END AS b FROM found),
+ends AS (SELECT {node.format(u="url")} AS node, {own} AS own FROM (SELECT a AS url FROM edges WHERE b IS NOT NULL UNION SELECT b FROM edges WHERE b IS NOT NULL)),
+pairs AS (SELECT {node.format(u="a")} AS x, {node.format(u="b")} AS y FROM edges WHERE b IS NOT NULL),
+near AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs),
+reach(x, y) AS (SELECT x, x FROM near UNION SELECT reach.x, near.y FROM reach JOIN near ON reach.y = near.x),
+spread AS (SELECT x AS node, CASE WHEN bool_or(own = 'allow') THEN 'allow' WHEN bool_or(own = 'block') THEN 'block' END AS spread FROM reach JOIN ends ON ends.node = reach.y GROUP BY x),
+p AS (SELECT page_id, coalesce({host.format(u="url")}, '') AS host, coalesce({path.format(u="url")}, '') AS path, {node.format(u="url")} AS node FROM pages),
+q AS (SELECT *, {fit.format(w="max_by(rule, length(rule))", h="host", p="path")} AS rule, {fit.format(w="max_by(verdict, length(rule))", h="host", p="path")} AS own FROM p)
+SELECT page_id, host, path, rule, coalesce(own, spread, 'allow') AS verdict FROM q LEFT JOIN spread USING (node)"""
+
+
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_packing": op2_packing,
+    "op3_url_filters": op3_url_filters,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op6_token_file": op6_token_file,
@@ -96,6 +137,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL = {
+    "op3_url_filters": _op3_sql(),
     "op5_secret_scans": _op5_sql(),
     "op8_quality_rules": _OP8_SQL,
 }
