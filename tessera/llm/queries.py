@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import html_text, packing, quality, secret_scan, simhash, token_counts, token_file, url_filter
+from tessera.llm import decontaminate, html_text, packing, quality, secret_scan, simhash, token_counts, token_file, url_filter
 from tessera.llm.common import table
 
 
@@ -54,6 +54,11 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_file(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place where a document holds a benchmark item, with at most a tenth of its characters edited."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     judged = quality.judge(table(spark, sf_dir, "documents"), with_counts=True)
@@ -133,6 +138,7 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op6_token_file": op6_token_file,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_rules": op8_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
