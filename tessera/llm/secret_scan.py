@@ -110,3 +110,22 @@ def redact(text: Column, spans: Column, mask: str = "[secret]") -> Column:
 
     done = F.aggregate(spans, state, step)
     return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+
+
+def redacted(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = BASE_RULES, text_col: str = "text", chars_col: str = "n_chars", mask: str = "[secret]") -> DataFrame:
+    """docs with every secret in a text masked; all rows and columns stay, and ``chars_col`` follows the new text.
+
+    The ledger says which blobs hold secrets; those few rows are joined to it by digest, the others pass unchanged.
+    """
+    spark = docs.sparkSession
+    work = Workspace(spark, "redacted")
+    ledger_path = ledger_path or work.new_path("ledger")
+    scan(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text")), ledger_path, rules)
+    found = ledger(spark, ledger_path, rules_version(rules)).where(F.size("spans") > 0).select(F.col("digest").alias("__digest"), F.col("spans").alias("__spans")).dropDuplicates(["__digest"])
+    keyed = docs.withColumn("__digest", content_digest(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = keyed.join(found, "__digest", "left")
+    text = F.when(F.col("__spans").isNotNull(), redact(F.col(text_col), F.col("__spans"), mask)).otherwise(F.col(text_col))
+    out = {text_col: text}
+    if chars_col in docs.columns:
+        out[chars_col] = F.when(F.col("__spans").isNotNull(), F.length(text).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
+    return joined.select(*(out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
