@@ -1,2 +1,211 @@
-QUERIES={}
-ORACLE_SQL={}
+"""Queries: percentiles, exact tests, the graph operators, event windows, sources. Triples are made of orders: a customer
+ordered by priority and status, in the paper of its nation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.catalog.retrieval import r6, read, six
+from tessera.operators import evaluation, graph, tables
+from tessera.operators.components import connected_components
+from tessera.sources import files
+from tessera.streaming import events as windows
+
+
+def triples(spark, sf_dir):
+    """(source_id, head, relation, tail) with three kinds of edges and spellings that differ in case and hyphens."""
+    c, n, r = (read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    name = F.when(F.col("c_custkey") % 2 == 0, F.upper("c_mktsegment")).otherwise(F.concat(F.lit(" "), F.lower("c_mktsegment")))
+    of_customer = c.select(F.concat(F.lit("n"), "c_nationkey", F.lit("_p"), F.col("c_custkey")).alias("source_id"), name.alias("head"), F.lit("in").alias("relation"), F.concat(F.lit("N-"), "c_nationkey").alias("tail"))
+    of_nation = n.select(F.concat(F.lit("n"), "n_nationkey", F.lit("_p0")).alias("source_id"), F.concat(F.lit("n "), "n_nationkey").alias("head"), F.lit("part of").alias("relation"), F.concat(F.lit("R-"), "n_regionkey").alias("tail"))
+    of_region = r.select(F.lit("world").alias("source_id"), F.concat(F.lit("R-"), "r_regionkey").alias("head"), F.lit("named").alias("relation"), F.col("r_name").alias("tail"))
+    return of_customer.unionByName(of_nation).unionByName(of_region)
+
+
+def the_graph(spark, sf_dir):
+    t = triples(spark, sf_dir)
+    return graph.build_graph(t, graph.canonical_names(t))
+
+
+def entity_canonical(spark, sf_dir):
+    return graph.canonical_names(triples(spark, sf_dir))
+
+
+def graph_nodes(spark, sf_dir):
+    nodes, _ = the_graph(spark, sf_dir)
+    return nodes.select("name", F.array_join("papers", ",").alias("papers"))
+
+
+def degree_topk(spark, sf_dir):
+    """The ten entities with most edges."""
+    return graph.degrees(the_graph(spark, sf_dir)[1]).orderBy(F.col("degree").desc(), "name").limit(10)
+
+
+def bridge_entities(spark, sf_dir):
+    return graph.bridges(the_graph(spark, sf_dir)[1])
+
+
+def entity_linking(spark, sf_dir):
+    """Nodes named in questions about every nation."""
+    nodes, _ = the_graph(spark, sf_dir)
+    asked = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("Which parts of N-"), "n_nationkey", F.lit(" are in R-"), "n_regionkey", F.lit("?")).alias("question"))
+    return graph.link_entities(asked, nodes).select("query_id", "name", "place")
+
+
+def khop_facts(spark, sf_dir):
+    """Facts within two steps of each region."""
+    _, edges = the_graph(spark, sf_dir)
+    start = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("query_id"), F.concat(F.lit("R-"), "r_regionkey").alias("name"))
+    return graph.gather_facts(edges, start, 2)
+
+
+def order_edges(spark, sf_dir):
+    """Orders and suppliers as nodes of two kinds, linked by line items of the largest quantity."""
+    return read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).where("l_quantity >= 50")
+
+
+def components(spark, sf_dir):
+    return connected_components(order_edges(spark, sf_dir))
+
+
+def communities(spark, sf_dir):
+    """Communities of the graph of triples."""
+    return graph.communities(the_graph(spark, sf_dir)[1])
+
+
+def community_facts(spark, sf_dir):
+    _, edges = the_graph(spark, sf_dir)
+    return graph.community_facts(edges, graph.communities(edges)).groupBy("community").agg(F.count("*").alias("n_facts"))
+
+
+def similar_names(spark, sf_dir):
+    """Every vector's group at a cosine of 0.9 or more."""
+    rows = read(spark, sf_dir, "embeddings").select(F.format_string("v%05d", "vec_id").alias("name"), "embedding")
+    return graph.merge_similar(rows, 0.9)
+
+
+def percentile_rank(spark, sf_dir):
+    """Nearest-rank percentiles of event values by type."""
+    e = read(spark, sf_dir, "events")
+    p50, p90 = (evaluation.nearest_rank_percentile(e, ("event_type",), "value", p) for p in (50, 90))
+    return p50.join(p90, "event_type").select("event_type", six("p50"), six("p90"))
+
+
+def recent_percentile(spark, sf_dir):
+    """Of the last thousand events of each type."""
+    e = read(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
+    return evaluation.recent_percentile(e, ("event_type",), "value", "at", 95).select("event_type", six("p95"))
+
+
+def exact_permutation(spark, sf_dir):
+    """All sign flips of the discount differences within each order."""
+    d = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.round(F.col("l_discount") * 100).cast("int") - F.round(F.col("l_tax") * 100).cast("int")).cast("double").alias("diff"))
+    return evaluation.exact_permutation(d, ("l_orderkey",)).select("l_orderkey", "n", six("mean_diff"), six("p_value"))
+
+
+def events_tumbling(spark, sf_dir):
+    return windows.tumbling(read(spark, sf_dir, "events")).select("window_start", "event_type", "n", six("value"))
+
+
+def events_sliding(spark, sf_dir):
+    return windows.sliding(read(spark, sf_dir, "events")).select("window_start", "event_type", "n", six("value"))
+
+
+def events_session(spark, sf_dir):
+    return windows.sessions(read(spark, sf_dir, "events"))
+
+
+def corpus_inspection(spark, sf_dir):
+    """Rows and characters of two sources in one corpus."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("content"))
+    return files.inspect(files.corpus(("documents", docs), ("benchmark", items)))
+
+
+def figure_budget(spark, sf_dir):
+    """Parts as files, suppliers' line items as pages with images: three pages a file, a hundred in all."""
+    pages = read(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 50).alias("file"), (F.col("l_suppkey") % 40).alias("page")).agg(F.count("*").alias("n_images"))
+    return files.figure_pages(pages, 3, 100).select("file", "page", "n_images")
+
+
+def fill_down(spark, sf_dir):
+    """Event types that only every fifth event has, filled down within a user."""
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 5 == 0, F.col("event_type")).otherwise("").alias("category"))
+    return tables.fill_down(e, "user_id", "event_id", "category")
+
+
+def latest_runs(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("label"), F.col("user_id").alias("eval_set"), F.col("event_id").alias("seq"), "value")
+    return files.latest_runs(e).select("label", "eval_set", "seq", six("value"))
+
+
+QUERIES = {
+    "entity_canonical": entity_canonical,
+    "graph_nodes": graph_nodes,
+    "degree_topk": degree_topk,
+    "bridge_entities": bridge_entities,
+    "entity_linking": entity_linking,
+    "khop_facts": khop_facts,
+    "connected_components": components,
+    "community": communities,
+    "community_facts": community_facts,
+    "similar_names": similar_names,
+    "percentile_rank": percentile_rank,
+    "recent_percentile": recent_percentile,
+    "exact_permutation": exact_permutation,
+    "events_tumbling": events_tumbling,
+    "events_sliding": events_sliding,
+    "events_session": events_session,
+    "corpus_inspection": corpus_inspection,
+    "figure_budget": figure_budget,
+    "fill_down": fill_down,
+    "latest_runs": latest_runs,
+}
+
+_TRIPLES = """t AS (SELECT 'n' || c_nationkey || '_p' || c_custkey AS source_id, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE ' ' || lower(c_mktsegment) END AS head, 'in' AS relation, 'N-' || c_nationkey AS tail FROM customer
+  UNION ALL SELECT 'n' || n_nationkey || '_p0', 'n ' || n_nationkey, 'part of', 'R-' || n_regionkey FROM nation UNION ALL SELECT 'world', 'R-' || r_regionkey, 'named', r_name FROM region),
+ends AS (SELECT head AS surface, source_id, head AS h, tail AS tl, 0 AS e FROM t UNION ALL SELECT tail, source_id, head, tail, 1 FROM t),
+cnt AS (SELECT surface, count(*) AS n, min({'s': source_id, 'h': h, 't': tl, 'e': e}) AS f, regexp_replace(lower(trim(surface)), '[\\s\\-_:：,.()（）]+', '', 'g') AS key FROM ends GROUP BY surface),
+best AS (SELECT key, surface AS canonical FROM cnt QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, f) = 1),
+names AS (SELECT surface, canonical FROM cnt JOIN best USING (key))"""
+_GRAPH = _TRIPLES + """,
+edges AS (SELECT a.canonical AS head, relation, b.canonical AS tail, regexp_replace(source_id, '_p\\d+.*$', '') AS paper FROM t JOIN names a ON a.surface = t.head JOIN names b ON b.surface = t.tail),
+node AS (SELECT head AS name, paper FROM edges UNION ALL SELECT tail, paper FROM edges)"""
+_LINKS = "l AS (SELECT l_orderkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem WHERE l_quantity >= 50)"
+_NEAR = "near AS (SELECT a, b FROM l UNION SELECT b, a FROM l)"
+
+
+ORACLE_SQL = {
+    "entity_canonical": f"WITH {_TRIPLES} SELECT surface, canonical FROM names",
+    "graph_nodes": f"WITH {_GRAPH} SELECT name, string_agg(DISTINCT paper, ',' ORDER BY paper) AS papers FROM node GROUP BY name",
+    "degree_topk": f"WITH {_GRAPH} SELECT name, count(*) AS degree FROM node GROUP BY name ORDER BY degree DESC, name LIMIT 10",
+    "bridge_entities": f"WITH {_GRAPH} SELECT name, count(DISTINCT paper) AS n_papers FROM node GROUP BY name HAVING n_papers > 1",
+    "entity_linking": f"""WITH {_GRAPH}, k AS (SELECT DISTINCT name, regexp_replace(lower(trim(name)), '[\\s\\-_:：,.()（）]+', '', 'g') AS key FROM node),
+a AS (SELECT n_nationkey AS query_id, regexp_replace(lower('Which parts of N-' || n_nationkey || ' are in R-' || n_regionkey || '?'), '[\\s\\-_:：,.()（）]+', '', 'g') AS q FROM nation)
+SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY length(name) DESC, name) AS place FROM a JOIN k ON contains(q, key) WHERE length(key) >= 2""",
+    "khop_facts": f"""WITH {_GRAPH}, s AS (SELECT r_regionkey AS query_id, 'R-' || r_regionkey AS name FROM region),
+f1 AS (SELECT query_id, 1 AS hop, head, relation, tail, paper FROM edges JOIN s ON name IN (head, tail)),
+s2 AS (SELECT query_id, head AS name FROM f1 UNION SELECT query_id, tail FROM f1 EXCEPT SELECT * FROM s),
+f2 AS (SELECT query_id, 2 AS hop, head, relation, tail, paper FROM edges JOIN s2 ON name IN (head, tail))
+SELECT query_id, min(hop)::INT AS hop, head, relation, tail, arg_min(paper, {{'h': hop, 'p': paper}}) AS paper FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2) GROUP BY query_id, head, relation, tail""",
+    "connected_components": f"WITH RECURSIVE {_LINKS}, {_NEAR}, reach(x, y) AS (SELECT a, a FROM near UNION SELECT x, b FROM reach JOIN near ON y = a) SELECT x AS node, min(y) AS component FROM reach GROUP BY x",
+    "percentile_rank": f"""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, {r6('max(value) FILTER (WHERE i = round_even(0.5 * (n - 1), 0))')} AS p50, {r6('max(value) FILTER (WHERE i = round_even(0.9 * (n - 1), 0))')} AS p90 FROM r GROUP BY event_type""",
+    "recent_percentile": f"""WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC, value) <= 1000),
+r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM l)
+SELECT event_type, {r6('value')} AS p95 FROM r WHERE i = least(floor(0.95 * n), n - 1)""",
+    "exact_permutation": f"""WITH d AS (SELECT l_orderkey, list(round(l_discount * 100)::INT - round(l_tax * 100)::INT) AS d FROM lineitem GROUP BY 1),
+m AS (SELECT l_orderkey, d, unnest(range(0, (1 << len(d)))) AS mask FROM d WHERE len(d) <= 16),
+s AS (SELECT l_orderkey, len(d) AS n, list_sum(d) AS total, list_sum(list_transform(d, lambda x, i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN -x ELSE x END)) AS s FROM m)
+SELECT l_orderkey, n::INT AS n, {r6('total / n::DOUBLE')} AS mean_diff, {r6('avg((abs(s) >= abs(total))::INT)')} AS p_value FROM s GROUP BY l_orderkey, n, total""",
+    "events_tumbling": f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, {r6('sum(value)')} AS value FROM events GROUP BY ALL",
+    "events_sliding": f"SELECT w AS window_start, event_type, count(*) AS n, {r6('sum(value)')} AS value FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - unnest([0, 1, 2, 3]) * INTERVAL 15 MINUTE AS w FROM events) GROUP BY ALL",
+    "events_session": """WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, s.s""",
+    "corpus_inspection": "SELECT 'documents' AS source, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM documents UNION ALL SELECT 'benchmark', count(*), sum(length(text))::BIGINT FROM benchmark",
+    "figure_budget": """WITH p AS (SELECT l_partkey % 50 AS file, l_suppkey % 40 AS page, count(*) AS n_images FROM lineitem GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY n_images DESC, page) AS nth FROM p QUALIFY nth <= 3) SELECT file, page, n_images FROM r ORDER BY file, nth LIMIT 100""",
+    "fill_down": "SELECT event_id, user_id, coalesce(last_value(CASE WHEN event_id % 5 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), '') AS category FROM events",
+    "latest_runs": f"SELECT event_type AS label, user_id AS eval_set, event_id AS seq, {r6('value')} AS value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) = 1",
+}

@@ -118,14 +118,22 @@ def replace_all(text: Column, words: list[str], by: str = " ") -> Column:
     return reduce(lambda t, w: F.replace(t, F.lit(w), F.lit(by)), words, text)
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once within a lambda."""
+    return F.transform(F.array(value), then)[0]
+
+
 def join_overlap(parts: Column, least: int = 10, most: int = 200) -> Column:
     """Texts joined in order; where a text begins with the end of what came before (over ``least`` characters, up to
     ``most``), that part is written once, and otherwise a line end stands between."""
 
     def add(seen, part):
-        longest = F.least(F.length(seen), F.length(part), F.lit(most))
-        fits = F.filter(F.sequence(longest, F.lit(least + 1), F.lit(-1)), lambda k: F.right(seen, k) == F.left(part, k))
-        k = F.when((longest > least) & (F.size(fits) > 0), fits[0]).otherwise(F.lit(0))
-        return F.when(seen == "", part).when(k > 0, F.concat(seen, F.substring(part, k + 1, F.length(part)))).otherwise(F.concat(seen, F.lit("\n"), part))
-
-    return F.aggregate(parts, F.lit(""), add)
+        tail = seen["tail"]
+        longest = F.least(F.length(tail), F.length(part), F.lit(most))
+        fits = F.filter(F.sequence(longest, F.lit(least + 1), F.lit(-1)), lambda k: F.right(tail, k) == F.left(part, k))
+        shared = F.when(longest > least, F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(0))).otherwise(F.lit(0))
+        behind = let(shared, lambda k: F.when((k > 0) | (tail == ""), F.substring(part, k + 1, F.length(part))).otherwise(F.concat(F.lit("\n"), part)))
+        return let(behind, lambda new: F.struct(F.right(F.concat(tail, new), F.lit(most)).alias("tail"), F.concat(seen["pieces"], F.array(new)).alias("pieces")))
+
+    start = F.struct(F.lit("").alias("tail"), F.array().cast("array<string>").alias("pieces"))
+    return F.aggregate(parts, start, add, lambda seen: F.array_join(seen["pieces"], ""))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import cache_key, clean_text, join_overlap, strip
+from tessera.storage import Workspace
 
 SMALLEST = 20
 RESERVED = ("source_id", "title", "chunk_index")
@@ -82,7 +83,7 @@ def parent_documents(hits: DataFrame, chunks: DataFrame, max_parents: int = 5, m
 
     first = hits.groupBy("query_id", "source_id").agg(F.min("rank").alias("rank"))
     order = Window.partitionBy("query_id").orderBy("rank", "source_id")
-    parents = first.withColumn("parent_rank", F.row_number().over(order)).where(F.col("parent_rank") <= max_parents)
+    parents = Workspace(hits.sparkSession, "parents").save(first.withColumn("parent_rank", F.row_number().over(order)).where(F.col("parent_rank") <= max_parents))
     wanted = chunks.join(parents.select("source_id").distinct(), "source_id", "left_semi")
     whole = wanted.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("parts"))
     texts = whole.select("source_id", F.left(join_overlap(F.col("parts.text")), F.lit(max_chars)).alias("text"))
