@@ -62,6 +62,7 @@ def forest(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, r
     """Links (x, y) between the ids of rows of a and b (one 64-bit word a column) that differ in radius bits or fewer,
     reduced to ones that connect the same ids."""
     step = max(1, pairs_at_once // max(1, len(b)))
+    a, b = a.view(np.uint64), b.view(np.uint64)  # bit counts of signed numbers are those of their magnitudes
     xs, ys, held = [], [], 0
     nodes = np.unique(np.concatenate([a_ids, b_ids]))
     for k in range(0, len(a), step):
