@@ -98,7 +98,7 @@ def _pieces(path: str, window: int, end_id: int, with_ids: bool):
 
     def cut(batch: pa.RecordBatch):
         out = [[] for _ in range(5 + with_ids)]
-        for doc, raw in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(batch.column("text").to_pylist()), strict=True):
+        for doc, raw in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(batch.column("text")), strict=True):
             raw += end
             n = len(raw) // 4
             for s, m in cut_lengths(n, window):

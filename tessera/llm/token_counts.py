@@ -22,7 +22,7 @@ CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 
 def _counts(path: str, version: str):
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = [len(ids) // 4 for ids in encoder(path).encode(batch.column("text").to_pylist())]
+        n = [len(ids) // 4 for ids in encoder(path).encode(batch.column("text"))]
         return pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])
 
     return count

@@ -14,15 +14,17 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Entries that a worker keeps. It bounds memory only: a piece that has been dropped is encoded again.
+#: Entries that a worker keeps in each of two generations. It bounds memory only: a piece that has been dropped is encoded again.
 PIECES_KEPT = 600_000
-#: Characters of text that are cut and looked up at once.
-CHARS_AT_ONCE = 4_000_000
+#: Bytes of text that are cut and looked up at once.
+BYTES_AT_ONCE = 8_000_000
 #: A space is a certain cut for the byte-level vocabulary if something other than white space follows.
-_UNSURE_SPACE = re.compile(r" (?:\s|$)|\x01")
-#: White space to Python, but not to the library.
-_SEPARATORS = re.compile(r"[\x01\x1c-\x1f]")
+_UNSURE_SPACE = r" (?:[\s\pZ\x0b\x1c-\x1f\x{85}]|\z)|\x01"
+#: White space to some, but not to the library.
+_SEPARATORS = r"[\x01\x1c-\x1f]"
 #: A character that stands between pieces; a text that holds it goes to the library whole.
 _MARK = "\x01"
 
@@ -49,60 +51,78 @@ class PieceEncoder:
         self.library.no_padding()
         self.kept = kept
         added = self.library.get_added_tokens_decoder()
-        self.special = [t.content for t in added.values()]
+        special = "|".join(re.escape(t.content) for t in added.values())
         # the byte-level vocabulary keeps white space, the other drops it
         self.spaced = self._ids([" a"]) != self._ids(["a"])
+        self.unsure = f"{special}|{_UNSURE_SPACE if self.spaced else _SEPARATORS}"
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.mark = f" {_MARK}" if self.spaced else f" {_MARK} "
+        self.begins = np.array([(self.library.id_to_token(i) or "")[:1] == "\u0120" for i in range(self.library.get_vocab_size())])
         self.mark_ids = np.frombuffer(self._ids([self.mark])[0], "<u4")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ids_of_pieces(self, pieces: list[str], at_once: int = 1000) -> list[bytes]:
-        """As _ids(), for pieces that are cut safely: they go to the library in a few strings, with a mark between them
-        that no piece holds. The mark's last id tells where to cut the ids."""
+        """As _ids(), for pieces that are cut safely: they go to the library in a few strings.
+
+        With white space kept, each piece after the first begins with a space, and only tokens that begin a piece do.
+        Otherwise a mark that no piece holds stands between pieces, and its last id tells where to cut.
+        """
         out: list[bytes] = []
-        wide = 4 * len(self.mark_ids)
-        for e in self.library.encode_batch_fast([self.mark.join(pieces[k : k + at_once]) for k in range(0, len(pieces), at_once)], add_special_tokens=False):
+        between = "" if self.spaced else self.mark
+        wide = 0 if self.spaced else 4 * len(self.mark_ids)
+        for e in self.library.encode_batch_fast([between.join(pieces[k : k + at_once]) for k in range(0, len(pieces), at_once)], add_special_tokens=False):
             ids = np.array(e.ids, dtype="<u4")
-            ends = (np.flatnonzero(ids == self.mark_ids[-1]) * 4 + 4).tolist()
+            cuts = np.flatnonzero(self.begins[ids]) if self.spaced else np.flatnonzero(ids == self.mark_ids[-1]) + 1
+            cuts = (cuts * 4).tolist()
             raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *ends], [*(e - wide for e in ends), len(raw)], strict=True)]
+            out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)] if self.spaced else [raw[a:b] for a, b in zip([0, *cuts], [*(c - wide for c in cuts), len(raw)], strict=True)]
         return out
 
-    def _whole(self, text: str) -> bool:
-        return any(s in text for s in self.special) or bool((_UNSURE_SPACE if self.spaced else _SEPARATORS).search(text))
-
-    def _learn(self, need: set[str]) -> None:
-        new = list(need - self.pieces.keys())
-        if len(self.pieces) + len(new) > self.kept:
-            self.pieces = {p: b for p, b in self.pieces.items() if p in need}
-        self.pieces.update(zip(new, self._ids_of_pieces(new), strict=True))
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        uncut = {t for t in texts if self._whole(t)}
-        whole = dict(zip(uncut, self._ids(list(uncut)), strict=True))
-        if not self.spaced:
-            cut = [() if t in whole else t.split() for t in texts]
-            self._learn(set().union(*cut))
-            return [whole[t] if t in whole else b"".join(map(self.pieces.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
-        # the first piece is what stands before the first space; the others are kept with their space
-        cut = [("",) if t in whole else t.replace(" ", "\0 ").split("\0") if "\0" not in t else (t,) for t in texts]
-        self._learn(set().union(*cut))
-        return [whole[t] if t in whole else b"".join(map(self.pieces.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
-
-    def encode(self, texts: list[str | None]):
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, from what the worker has kept or from the library."""
+        found = list(map(self.pieces.get, pieces))
+        if len(self.pieces) > self.kept:  # what doesn't come again goes, when the next generation is full
+            self.pieces, self.older = {}, self.pieces
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            found[i] = self.older.get(pieces[i])
+            if found[i] is not None:
+                self.pieces[pieces[i]] = found[i]
+        at = [i for i, ids in enumerate(found) if ids is None]
+        # a piece without a space before it, that is, the beginning of a text, is a string of its own
+        alone = [i for i in at if self.spaced and pieces[i][:1] != " "]
+        at = [i for i in at if not self.spaced or pieces[i][:1] == " "]
+        for some, ids in ((alone, self._ids([pieces[i] for i in alone])), (at, self._ids_of_pieces([pieces[i] for i in at]))):
+            for i, x in zip(some, ids, strict=True):
+                found[i] = self.pieces[pieces[i]] = x
+        return found
+
+    def _some(self, texts: pa.Array) -> list[bytes]:
+        unsure = pc.match_substring_regex(texts, self.unsure)
+        whole = dict(zip(at := pc.indices_nonzero(unsure).to_pylist(), self._ids(texts.take(pa.array(at, pa.int64())).to_pylist()), strict=True))
+        safe = pc.if_else(unsure, "", texts) if whole else texts
+        # a piece keeps the space before it where the vocabulary keeps white space
+        cut = pc.split_pattern(pc.replace_substring(safe, " ", f"{_MARK} "), _MARK) if self.spaced else pc.utf8_split_whitespace(safe)
+        words = cut.flatten().dictionary_encode()
+        ids = pa.array(self._known(words.dictionary.to_pylist()), pa.binary()).take(words.indices)
+        _, ends, data = ids.buffers()
+        raw = memoryview(data) if data is not None else b""
+        offsets = cut.offsets.to_numpy()
+        bounds = np.frombuffer(ends, np.int32, len(ids) + 1)[offsets - offsets[0]].tolist() if len(ids) else [0] * (len(texts) + 1)
+        return [whole[k] if k in whole else bytes(raw[x:y]) for k, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False))]
+
+    def encode(self, texts: pa.Array | list[str | None]):
         """Yields the bytes of each text in turn, so that ids of a large batch are not held at once."""
-        at, chars = [], 0
-        for t in texts:
-            at.append(t or "")
-            chars += len(at[-1])
-            if chars >= CHARS_AT_ONCE:
-                yield from self._some(at)
-                at, chars = [], 0
-        if at:
-            yield from self._some(at)
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        texts = pc.fill_null(texts, "")
+        step = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // BYTES_AT_ONCE
+        first = 0
+        for last in [*(np.flatnonzero(np.diff(step)) + 1).tolist(), len(texts)]:
+            if last > first:
+                yield from self._some(texts.slice(first, last - first))
+            first = last
 
 
 @lru_cache(maxsize=2)
