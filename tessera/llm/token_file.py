@@ -25,24 +25,36 @@ from tessera.storage import Workspace
 
 MAGIC = b"TDAC1\0\0\0"
 #: Bits of each level; together 32. Narrow for the frequent small ids of a byte-pair vocabulary.
-WIDTHS = (9, 3, 4, 16)
+WIDTHS = (9, 7, 16)
 RANK_BLOCK = 512
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 18
 
 
 def pack_bits(values: np.ndarray, width: int) -> bytes:
-    wide = np.unpackbits(values.astype(">u4").view(np.uint8)).reshape(-1, 32)
-    return np.packbits(wide[:, 32 - width :].reshape(-1)).tobytes()
-
-
-def unpack_bits(raw: np.ndarray, width: int, first: int, n: int) -> np.ndarray:
-    """The values first .. first + n of a packed level."""
-    a, b = first * width, (first + n) * width
-    bits = np.unpackbits(raw[a // 8 : -(-b // 8)])[a % 8 : a % 8 + b - a].reshape(n, width)
-    wide = np.zeros((n, 32), np.uint8)
-    wide[:, 32 - width :] = bits
-    return np.packbits(wide, axis=1).view(">u4").reshape(-1).astype(np.uint32)
+    """Values of ``width`` bits: a plane of bytes for each whole eight bits, low ones first, then the rest bit-packed."""
+    planes = [(values >> np.uint32(at)).astype(np.uint8).tobytes() for at in range(0, width - 7, 8)]
+    if rest := width % 8:
+        high = (values >> np.uint32(width - rest)).astype(np.uint8)
+        planes.append((np.packbits(high) if rest == 1 else np.packbits(np.unpackbits(high).reshape(-1, 8)[:, 8 - rest :].reshape(-1))).tobytes())
+    return b"".join(planes)
+
+
+def unpack_bits(raw: np.ndarray, width: int, total: int, first: int, n: int) -> np.ndarray:
+    """The values first .. first + n of a packed level of ``total`` values."""
+    out = np.zeros(n, np.uint32)
+    for k in range(width // 8):
+        out |= raw[k * total + first : k * total + first + n].astype(np.uint32) << np.uint32(8 * k)
+    if rest := width % 8:
+        base = width // 8 * total
+        a, b = first * rest, (first + n) * rest
+        bits = np.unpackbits(raw[base + a // 8 : base - (-b // 8)])[a % 8 : a % 8 + b - a]
+        if rest > 1:
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, 8 - rest :] = bits.reshape(n, rest)
+            bits = np.packbits(wide)
+        out |= bits.astype(np.uint32) << np.uint32(width - rest)
+    return out
 
 
 def encode_segment(doc_ids: list[int | None], ids: list[np.ndarray], widths: tuple[int, ...] = WIDTHS) -> bytes:
@@ -55,7 +67,7 @@ def encode_segment(doc_ids: list[int | None], ids: list[np.ndarray], widths: tup
         more = values >> width if width < 32 else np.zeros_like(values)
         last = level == len(widths) - 1
         bitmap = np.packbits(more > 0).tobytes() if not last else b""
-        counts = np.add.reduceat(more > 0, np.arange(0, len(values), RANK_BLOCK)) if len(values) and not last else np.zeros(0, int)
+        counts = np.add.reduceat(more > 0, np.arange(0, len(values), RANK_BLOCK), dtype=np.int64) if len(values) and not last else np.zeros(0, np.int64)
         ranks = (np.cumsum(counts) - counts).astype("<u4").tobytes()
         chunk = pack_bits(values & np.uint32((1 << width) - 1), width)
         parts += [struct.pack("<QIII", len(values), len(chunk), len(bitmap), len(ranks)), chunk, bitmap, ranks]
@@ -102,8 +114,8 @@ class Segment:
         if not 0 <= i < self.n_ids:
             raise IndexError(i)
         value = shift = 0
-        for level, (width, _, chunk, bitmap, _) in enumerate(self.levels):
-            value |= int(unpack_bits(chunk, width, i, 1)[0]) << shift
+        for level, (width, total, chunk, bitmap, _) in enumerate(self.levels):
+            value |= int(unpack_bits(chunk, width, total, i, 1)[0]) << shift
             shift += width
             if level + 1 == len(self.levels) or not bitmap[i // 8] >> (7 - i % 8) & 1:
                 break
@@ -115,8 +127,8 @@ class Segment:
         return self._range(0, first, n)
 
     def _range(self, level: int, first: int, n: int) -> np.ndarray:
-        width, _, chunk, bitmap, _ = self.levels[level]
-        values = unpack_bits(chunk, width, first, n)
+        width, total, chunk, bitmap, _ = self.levels[level]
+        values = unpack_bits(chunk, width, total, first, n)
         if n and level + 1 < len(self.levels):
             goes_on = np.unpackbits(bitmap[first // 8 : -(-(first + n) // 8)])[first % 8 : first % 8 + n].astype(bool)
             if m := int(goes_on.sum()):
@@ -147,7 +159,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: in
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((part, n, first, size, encode_segment(held, ids)), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer_path).encode(batch.column("text").to_pylist()), strict=True):
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer_path).encode(batch.column("text")), strict=True):
                 held.append(doc)
                 ids.append(np.frombuffer(raw + end, "<u4"))
                 size += len(ids[-1])
