@@ -27,9 +27,15 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
+#: A query set up to this size is sent to every task that looks for gold; Spark chooses beyond it.
+GOLD_QUESTIONS = 10_000
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, source_id): the stated query set held against every document."""
-    asked = F.broadcast(questions(spark, sf_dir))
+    asked = questions(spark, sf_dir)
+    if asked.limit(GOLD_QUESTIONS + 1).count() <= GOLD_QUESTIONS:
+        asked = F.broadcast(asked)
     return chunks(spark, sf_dir).join(asked, F.contains("text", "question")).select("query_id", F.col("chunk_id").alias("source_id"))
 
 
@@ -40,7 +46,7 @@ def lexical(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 def dense(spark: SparkSession, sf_dir: str, k: int = 12, metric: str = "cosine") -> DataFrame:
     """The vector channel of the fusion queries: the vector with an item's number asks for its neighbours."""
     rows = read(spark, sf_dir, "embeddings")
-    asked = rows.join(F.broadcast(questions(spark, sf_dir).select(F.col("query_id").alias("vec_id"))), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = rows.join(questions(spark, sf_dir).select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
     return vectors.search(rows, asked, k, metric)
 
 
@@ -105,7 +111,7 @@ def vector_only_best(spark, sf_dir):
 
 def candidates(spark, sf_dir):
     hits = lexical(spark, sf_dir, 12).select("query_id", "chunk_id", F.col("raw").alias("score"))
-    return hits.join(chunks(spark, sf_dir), "chunk_id").join(F.broadcast(questions(spark, sf_dir)), "query_id")
+    return hits.join(chunks(spark, sf_dir), "chunk_id").join(questions(spark, sf_dir), "query_id")
 
 
 def reranked(mode):

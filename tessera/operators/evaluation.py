@@ -151,6 +151,6 @@ def exact_permutation(differences: DataFrame, keys: tuple[str, ...], value: str
 def token_cost(usage: DataFrame, prices: DataFrame, default: tuple[float, float]) -> DataFrame:
     """(trace_id, prompt_tokens, completion_tokens, cost) from usage (trace_id, model, prompt_tokens, completion_tokens)
     and prices a million tokens (model, prompt_price, completion_price); unknown models have the default prices."""
-    priced = usage.join(F.broadcast(prices), "model", "left").fillna({"prompt_price": default[0], "completion_price": default[1]})
+    priced = usage.join(prices, "model", "left").fillna({"prompt_price": default[0], "completion_price": default[1]})
     cost = (F.col("prompt_tokens") * F.col("prompt_price") + F.col("completion_tokens") * F.col("completion_price")) / 1e6
     return priced.groupBy("trace_id").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum(cost).alias("cost"))

@@ -52,7 +52,7 @@ def canonical_names(triples: DataFrame, aliases: DataFrame | None = None) -> Dat
     ends = triples.select(F.explode(F.array(F.struct(F.col("head").alias("surface"), order.alias("seen"), F.lit(0).alias("end")), F.struct(F.col("tail").alias("surface"), order.alias("seen"), F.lit(1).alias("end")))).alias("e")).select("e.*")
     counted = ends.groupBy("surface").agg(F.count("*").alias("n"), F.min(F.struct("seen", "end")).alias("first")).withColumn("key", norm_key(F.col("surface")))
     best = counted.groupBy("key").agg(F.min_by("surface", F.struct(-F.col("n"), "first")).alias("mode"))
-    named = best.join(F.broadcast(aliases), "key", "left") if aliases is not None else best.withColumn("canonical", F.lit(None).cast("string"))
+    named = best.join(aliases, "key", "left") if aliases is not None else best.withColumn("canonical", F.lit(None).cast("string"))
     return counted.join(named.select("key", F.coalesce("canonical", "mode").alias("canonical")), "key").select("surface", "canonical")
 
 
@@ -61,9 +61,11 @@ def merge_similar(names: DataFrame, threshold: float = 0.9, neighbours: int = 50
     the shortest name stands for each. Every name is held against all others; ``neighbours`` links of a name suffice to
     connect it, and the cut is widened until no name's last kept neighbour reaches the threshold."""
     work = Workspace(names.sparkSession, "merge-similar")
-    keyed = work.save(names.select(F.xxhash64("name").alias("vec_id"), "name", "embedding"), "names")
+    # names with one vector are alike before any comparison, so that a large group of them isn't compared in pairs
+    keyed = work.save(names.select(F.xxhash64(F.col("embedding").cast("string")).alias("vec_id"), "name", "embedding"), "names")
+    distinct = work.save(keyed.groupBy("vec_id").agg(F.any_value("embedding").alias("embedding")), "vectors")
     while True:
-        near = work.save(search(keyed, keyed.withColumnRenamed("vec_id", "query_id"), neighbours, "cosine"), "near")
+        near = work.save(search(distinct, distinct.withColumnRenamed("vec_id", "query_id"), neighbours, "cosine"), "near")
         if near.where((F.col("rank") == neighbours) & (F.col("score") >= threshold)).isEmpty():
             break
         neighbours *= 4

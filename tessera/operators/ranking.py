@@ -59,6 +59,6 @@ def stratified(df: DataFrame, stratum: str, n: int, seed: int = 0, key: str = "i
     total = counts.agg(F.sum("__n").alias("__total"))
     quota = F.greatest(F.lit(1), F.rint(F.lit(float(n)) * F.col("__n") / F.col("__total"))).cast("int")
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    rows = df.join(F.broadcast(counts.crossJoin(total).select(stratum, quota.alias("__quota"))), stratum).withColumn("__order", order)
+    rows = df.join(counts.crossJoin(total).select(stratum, quota.alias("__quota")), stratum).withColumn("__order", order)
     kept = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(stratum).orderBy("__order", key))).where("__nth <= __quota")
     return kept.orderBy("__order", key).limit(n).drop("__quota", "__order", "__nth")

@@ -30,7 +30,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, lexical: list[DataFrame], de
     candidates = top_k(every, r["candidate_k"], ties=(*ties, "chunk_id")).where(F.col("rank") <= (rr["input_k"] or r["candidate_k"])).drop("rank")
     if rr["mode"] == "none":
         return top_k(candidates, min(rr["top_k"], r["top_k"]), ties=(*ties, "chunk_id")).select("query_id", "chunk_id", "rank", "score")
-    rows = candidates.join(chunks.select("chunk_id", "text"), "chunk_id").join(F.broadcast(queries.select("query_id", "question")), "query_id")
+    rows = candidates.join(chunks.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "question"), "query_id")
     return rerank(rows, rr["mode"], rr["weight"], min(rr["top_k"], r["top_k"]), scorer).select("query_id", "chunk_id", "rank", "score")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _late(events: DataFrame, delay: str) -> DataFrame:
-    return events.withWatermark("ts", delay) if events.isStreaming else events
+    # a watermark needs an instant; a timestamp without a zone is taken in the session's
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay) if events.isStreaming else events
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes", key: str = "event_type") -> DataFrame:
