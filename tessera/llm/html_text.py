@@ -19,7 +19,7 @@ from tessera.llm.quality import STOP_WORDS
 
 #: Parameters of the first pass: characters, and shares of a block's characters or words.
 SHORT, LONG = 70, 200
-MAX_LINK_DENSITY = 0.5
+MAX_LINK_DENSITY, MAX_LINK_DENSITY_IN_ARTICLE = 0.5, 0.9
 LOW_STOP_WORDS, HIGH_STOP_WORDS = 0.12, 0.2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/a-zA-Z][^>]*>", re.S)
@@ -157,7 +157,7 @@ def classify(blocks: list[Block]) -> None:
     for b in blocks:
         n = len(b.text)
         density = b.link_chars / max(1, len("".join(b.text.split())))
-        if b.boilerplate or density > MAX_LINK_DENSITY:
+        if b.boilerplate or density > (MAX_LINK_DENSITY_IN_ARTICLE if b.article else MAX_LINK_DENSITY) and not (b.article and b.tag in _HEADINGS):
             b.label = BAD
         elif article:
             b.label = GOOD if b.article else BAD

@@ -89,7 +89,7 @@ def _op5_sql() -> str:
   SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
          string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN d USING (doc_id)"""
+       sha256(coalesce(d.spans, '')) AS base_sha256, coalesce(d.spans, '') AS spans FROM documents LEFT JOIN d USING (doc_id)"""
 
 
 _STOP_SQL = ", ".join(f"'{w.decode()}'" for w in sorted(quality.STOP_WORDS))
