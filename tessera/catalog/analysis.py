@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.catalog.retrieval import r6, read, six
-from tessera.operators import evaluation, graph, tables
+from tessera.catalog.retrieval import dense_sql, r6, read, six
+from tessera.operators import evalset, evaluation, graph, models, tables
 from tessera.operators.components import connected_components
 from tessera.sources import files
 from tessera.streaming import events as windows
@@ -139,7 +139,60 @@ def latest_runs(spark, sf_dir):
     return files.latest_runs(e).select("label", "eval_set", "seq", six("value"))
 
 
+def styled_sample(spark, sf_dir):
+    """A hundred documents by source, with styles dealt in turn."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    return evalset.styled_sample(docs, "source", 100).select("id", "source", "style")
+
+
+def keyword_sample(spark, sf_dir):
+    """Twenty documents for each of three keywords in the source's name."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_id"))
+    return evalset.keyword_sample(docs, ["SRC11", "src1", "src2"], 20).select("chunk_id", "source_id", "keyword", "nth")
+
+
+def question_check(spark, sf_dir):
+    """The first clause of each benchmark item as a question, checked for length, names and likeness."""
+    rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring_index("text", ".", 1).alias("question"), F.lit("colloquial").alias("style"), F.lit("zz").alias("name"))
+    return evalset.checked(rows)
+
+
+def _figures(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings")
+    turned = rows.select("vec_id", F.reverse("embedding").alias("embedding"))
+    asked = lambda df: df.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return models.figure_search(rows, turned, asked(rows), asked(turned), 5)
+
+
+def figure_fusion(spark, sf_dir):
+    """Vectors as captions and their reverses as images, fused with weight one."""
+    return _figures(spark, sf_dir)["fused"].select("query_id", "chunk_id", F.floor(F.col("score") * 1e9 + 0.5).alias("score"), "caption_rank", "image_rank")
+
+
+def figure_hits(spark, sf_dir):
+    """Whether one of the first five captions has the query's label."""
+    rows = read(spark, sf_dir, "embeddings")
+    names = rows.select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("fig_"), "label", F.lit("_")).alias("name"))
+    wanted = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("_"), "label", F.lit("_")).alias("part"))
+    return models.name_hits(_figures(spark, sf_dir)["caption"].where(F.col("chunk_id") != F.col("query_id")), names, wanted)
+
+
+def trace_summary(spark, sf_dir):
+    """Events as spans of users' traces."""
+    e = read(spark, sf_dir, "events").withColumn("trace_id", F.col("user_id"))
+    spans = e.select("trace_id", F.col("event_type").alias("name"), (F.col("event_id") % 97).alias("ms"))
+    usage = e.select("trace_id", F.col("event_type").alias("model"), (F.col("event_id") % 10).alias("prompt_tokens"), (F.col("event_id") % 7).alias("completion_tokens"))
+    t = models.trace_summary(spans, usage)
+    return t.select("trace_id", "total_ms", F.size("stages").alias("n_stages"), F.coalesce(F.try_element_at("usage", F.lit("click"))["prompt"], F.lit(0)).alias("click_prompt"))
+
+
 QUERIES = {
+    "styled_sample": styled_sample,
+    "keyword_sample": keyword_sample,
+    "question_check": question_check,
+    "figure_fusion": figure_fusion,
+    "figure_hits": figure_hits,
+    "trace_summary": trace_summary,
     "entity_canonical": entity_canonical,
     "graph_nodes": graph_nodes,
     "degree_topk": degree_topk,
@@ -175,7 +228,22 @@ _LINKS = "l AS (SELECT l_orderkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem
 _NEAR = "near AS (SELECT a, b FROM l UNION SELECT b, a FROM l)"
 
 
+_ASKED = "vec_id % 100 = 0"
+_TURNED = dense_sql(10, "img", "cosine", _ASKED).replace("embedding::DOUBLE[] AS e", "list_reverse(embedding)::DOUBLE[] AS e")
 ORACLE_SQL = {
+    "styled_sample": """WITH c AS (SELECT source, count(*) AS n, sum(count(*)) OVER () AS total FROM documents GROUP BY source), q AS (SELECT source, greatest(1, round_even(100.0 * n / total, 0))::INT AS quota FROM c),
+r AS (SELECT doc_id AS id, source, md5('0:' || doc_id) AS o, row_number() OVER (PARTITION BY source ORDER BY md5('0:' || doc_id), doc_id) AS nth FROM documents),
+s AS (SELECT id, source, o FROM r JOIN q USING (source) WHERE nth <= quota ORDER BY o, id LIMIT 100)
+SELECT id, source, ['name_led', 'symptom_led', 'colloquial', 'exam_treat'][(row_number() OVER (ORDER BY o, id) - 1) % 4 + 1] AS style FROM s""",
+    "keyword_sample": """WITH k AS (SELECT doc_id AS chunk_id, source AS source_id, CASE WHEN contains(source, 'src11') THEN 'SRC11' WHEN contains(source, 'src1') THEN 'src1' WHEN contains(source, 'src2') THEN 'src2' END AS keyword FROM documents)
+SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY source_id, chunk_id) AS nth FROM k WHERE keyword IS NOT NULL QUALIFY nth <= 20""",
+    "figure_fusion": f"""WITH {dense_sql(10, 'cap', 'cosine', _ASKED)}, {_TURNED}
+SELECT query_id, chunk_id, floor(sum(1.0::DOUBLE / (60 + rank)) * 1e9 + 0.5)::BIGINT AS score, max(rank) FILTER (WHERE c) AS caption_rank, max(rank) FILTER (WHERE NOT c) AS image_rank
+FROM (SELECT query_id, chunk_id, rank, true AS c FROM cap UNION ALL SELECT query_id, chunk_id, rank, false FROM img) GROUP BY ALL""",
+    "figure_hits": f"""WITH {dense_sql(10, 'cap', 'cosine', _ASKED)}
+SELECT w.vec_id AS query_id, coalesce(bool_or(contains('fig_' || f.label || '_', '_' || w.label || '_')), false) AS hit FROM embeddings w LEFT JOIN cap ON cap.query_id = w.vec_id AND cap.chunk_id <> w.vec_id AND cap.rank <= 5
+LEFT JOIN embeddings f ON f.vec_id = cap.chunk_id WHERE w.vec_id % 100 = 0 GROUP BY w.vec_id""",
+    "trace_summary": "SELECT user_id AS trace_id, sum(event_id % 97)::BIGINT AS total_ms, count(DISTINCT event_type)::INT AS n_stages, coalesce(sum(event_id % 10) FILTER (WHERE event_type = 'click'), 0)::BIGINT AS click_prompt FROM events GROUP BY user_id",
     "entity_canonical": f"WITH {_TRIPLES} SELECT surface, canonical FROM names",
     "graph_nodes": f"WITH {_GRAPH} SELECT name, string_agg(DISTINCT paper, ',' ORDER BY paper) AS papers FROM node GROUP BY name",
     "degree_topk": f"WITH {_GRAPH} SELECT name, count(*) AS degree FROM node GROUP BY name ORDER BY degree DESC, name LIMIT 10",
