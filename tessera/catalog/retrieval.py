@@ -13,9 +13,11 @@ from tessera.operators.ranking import best_of, fuse, rounded, stratified, top_k
 from tessera.operators.rerank import rerank
 from tessera.plans import retrieval as plans
 from tessera.plans.config import DEFAULTS, with_settings
+from tessera.storage import share_code
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

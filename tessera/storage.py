@@ -6,8 +6,10 @@ never a recomputation of the plan. The folder is taken from the session; only a
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,10 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def share_code(spark: SparkSession) -> None:
+    """Python workers import this package from where the driver has it, unless they have it on their path already."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 class Workspace:
     """A fresh subfolder of the shared folder, for the tables of one operator call."""
 
     def __init__(self, spark: SparkSession, name: str):
+        share_code(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
         self._n = 0
