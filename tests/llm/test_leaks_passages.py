@@ -96,3 +96,30 @@ def test_every_exact_repeat_is_found(spark, make, texts):
 def test_bands_and_empty(empty, odd):
     assert passages.bands_for(0.8, 0.95) == 2 and passages.bands_for(0.8, 0.99) == 3
     assert passages.repeated_passages(empty).count() == 0 and passages.repeated_passages(odd).count() == 0
+
+
+def found_words(docs):
+    got, kept = defaultdict(set), defaultdict(set)
+    for r in passages.repeated_passages(docs).collect():
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+        kept[r.doc_id].update(range(r.start_word, r.end_word) if r.keep else ())
+    return got, kept
+
+
+def test_passage_that_the_first_document_has_a_part_of_only(make):
+    rng, rows, trials = random.Random(11), {}, 40
+    prose = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    for t in range(trials):
+        shared, n = prose(60), 40 + 5 * (t % 2)
+        parts = [shared[10 : 10 + n], shared, shared]
+        if t % 4 > 1:  # the second agrees with the first, beside what it shares with the third
+            head = prose(60)
+            parts = [head + shared[:20], head + shared, shared]
+        for k, part in enumerate(parts):
+            rows[10 * t + k] = " ".join(prose(70) + part + prose(70))
+        rows[10 * t + 3] = " ".join(prose(70) + parts[0] + prose(70))  # several that share the short one
+    got, kept = found_words(make([*rows.items()]))
+    for t in range(trials):
+        at = 70 + 60 * (t % 4 > 1)
+        assert set(range(at, at + 60)) <= got[10 * t + 1] and set(range(70, 130)) <= got[10 * t + 2]
+        assert not set(range(70, 130)) & kept[10 * t + 2]
