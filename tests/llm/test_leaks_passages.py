@@ -123,3 +123,16 @@ def test_passage_that_the_first_document_has_a_part_of_only(make):
         at = 70 + 60 * (t % 4 > 1)
         assert set(range(at, at + 60)) <= got[10 * t + 1] and set(range(70, 130)) <= got[10 * t + 2]
         assert not set(range(70, 130)) & kept[10 * t + 2]
+
+
+def test_every_removed_word_is_kept_somewhere(make):
+    rng, rows = random.Random(12), {}
+    prose = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    for t in range(30):
+        one, two = prose(60), prose(60)
+        rows |= {10 * t: prose(30) + one + prose(30), 10 * t + 1: prose(80) + one + two + prose(9), 10 * t + 2: prose(5) + one + two + prose(80)}
+    got, kept = found_words(make([(d, " ".join(w)) for d, w in rows.items()]))
+    stays = {w for d, words in rows.items() for i, w in enumerate(words) if i not in got[d] - kept[d]}
+    assert stays == {w for words in rows.values() for w in words}
+    for t in range(30):
+        assert kept[10 * t] == set(range(30, 90)) and kept[10 * t + 1] == set(range(140, 200)) and not kept[10 * t + 2]
