@@ -136,3 +136,16 @@ def test_every_removed_word_is_kept_somewhere(make):
     assert stays == {w for words in rows.values() for w in words}
     for t in range(30):
         assert kept[10 * t] == set(range(30, 90)) and kept[10 * t + 1] == set(range(140, 200)) and not kept[10 * t + 2]
+
+
+def test_inserted_and_deleted_words(make):
+    rng, rows, trials = random.Random(13), {}, 300
+    prose = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    for t in range(trials):
+        shared = prose((52, 60, 70)[t % 3])
+        m = len(shared) // 2
+        edited = shared[:m] + (prose(1) if t % 2 else []) + shared[m + (t % 2 == 0) :]
+        rows |= {10 * t: prose(70) + shared + prose(70), 10 * t + 1: prose(90) + edited + prose(60)}
+    got, kept = found_words(make([(d, " ".join(w)) for d, w in rows.items()]))
+    for n in range(3):
+        assert sum(bool(got[10 * t + 1]) for t in range(n, trials, 3)) >= 0.93 * trials / 3
