@@ -165,12 +165,12 @@ def run_permutation(spark, sf_dir):
     index = bm25.build(chunks(spark, sf_dir))
     a = _values(spark, sf_dir, bm25.search(index, questions(spark, sf_dir), 10))
     b = _values(spark, sf_dir, bm25.search(index, questions(spark, sf_dir), 10, fallback=True))
-    return permutation_test(a, b, 1000)
+    return permutation_test(a, b)
 
 
 def bootstrap_ci(spark, sf_dir):
     values = long(metrics_of(spark, sf_dir, lexical(spark, sf_dir)), "bm25_only")
-    return bootstrap(values, ("stage", "metric"), 1000)
+    return bootstrap(values)
 
 
 def leaderboard_query(spark, sf_dir):

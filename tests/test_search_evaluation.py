@@ -150,3 +150,11 @@ def test_strata(spark):
     rows = spark.createDataFrame([(i, "a" if i < 90 else "b") for i in range(100)], "id int, s string")
     got = stratified(rows, "s", 10).collect()
     assert len(got) == 10 and sum(r.s == "b" for r in got) == 1
+
+
+def test_registered_resamples_are_the_default(spark, sf):
+    from tessera.catalog import retrieval
+
+    values = retrieval.long(retrieval.metrics_of(spark, sf, retrieval.lexical(spark, sf)), "bm25_only")
+    want = ev.bootstrap(values, ("stage", "metric"), 10_000)
+    assert sorted(retrieval.bootstrap_ci(spark, sf).collect()) == sorted(want.collect())
