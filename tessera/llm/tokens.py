@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 #: Entries that a worker keeps in each of two generations. It bounds memory only: a piece that has been dropped is encoded again.
 PIECES_KEPT = 600_000
 #: Bytes of text that are cut and looked up at once.
-BYTES_AT_ONCE = 8_000_000
+BYTES_AT_ONCE = 16_000_000
 #: A space is a certain cut for the byte-level vocabulary if something other than white space follows.
 _UNSURE_SPACE = r" (?:[\s\pZ\x0b\x1c-\x1f\x{85}]|\z)|\x01"
 #: White space to some, but not to the library.
@@ -29,6 +29,30 @@ _SEPARATORS = r"[\x01\x1c-\x1f]"
 _MARK = "\x01"
 
 
+def _table(chars: bytes) -> np.ndarray:
+    held = np.zeros(256, bool)
+    held[np.frombuffer(chars, np.uint8)] = True
+    return held
+
+
+_LETTER = _table(bytes([*range(65, 91), *range(97, 123)]))
+_STOP = _table(b",.;:!?")
+#: Bytes with which white space may begin; what follows decides.
+_MAYBE_SPACE = _table(bytes([*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]))
+
+
+def certain_cuts(raw: np.ndarray) -> np.ndarray:
+    """For each byte of texts without unsure places, whether both vocabularies cut before it: at a space, at a stop between
+    a letter and white space, and on both sides of a line break between a letter or stop and a letter."""
+    cut = raw == 32
+    if len(raw) > 2:
+        at, line = np.flatnonzero(_STOP[raw[1:-1]]) + 1, np.flatnonzero(raw[1:-1] == 10) + 1
+        line = line[(_LETTER | _STOP)[raw[line - 1]] & _LETTER[raw[line + 1]]]
+        cut[line] = cut[line + 1] = True
+        cut[at[_LETTER[raw[at - 1]] & ((raw[at + 1] == 32) | (raw[at + 1] == 10) & cut[at + 1])]] = True
+    return cut
+
+
 @lru_cache(maxsize=8)
 def tokenizer_version(path: str) -> str:
     """Digest of the tokenizer's file: a changed file is another version."""
@@ -36,6 +60,14 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+def _content(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text starts (and the end), and the bytes of all."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32, len(texts) + 1 + texts.offset)[texts.offset :] if offsets is not None else np.zeros(1, np.int32)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return at - at[0], raw
+
+
 class PieceEncoder:
     """encode(texts) -> for each text its ids, as little-endian unsigned 32-bit bytes. Null is taken as empty.
 
@@ -57,61 +89,84 @@ class PieceEncoder:
         self.unsure = f"{special}|{_UNSURE_SPACE if self.spaced else _SEPARATORS}"
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.mark = f" {_MARK}" if self.spaced else f" {_MARK} "
+        self.mark = f" {_MARK} "
         self.begins = np.array([(self.library.id_to_token(i) or "")[:1] == "\u0120" for i in range(self.library.get_vocab_size())])
-        self.mark_ids = np.frombuffer(self._ids([self.mark])[0], "<u4")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids_of_pieces(self, pieces: list[str], at_once: int = 1000) -> list[bytes]:
+    def _ids_of_pieces(self, pieces: list[str], between: str, at_once: int = 1000) -> list[bytes]:
         """As _ids(), for pieces that are cut safely: they go to the library in a few strings.
 
-        With white space kept, each piece after the first begins with a space, and only tokens that begin a piece do.
-        Otherwise a mark that no piece holds stands between pieces, and its last id tells where to cut.
+        between: "" for pieces that begin with a space, if white space is kept: only tokens that begin such a piece do.
+        Otherwise something that no piece holds stands between pieces, and its ids tell where to cut.
         """
         out: list[bytes] = []
-        between = "" if self.spaced else self.mark
-        wide = 0 if self.spaced else 4 * len(self.mark_ids)
+        mark = np.frombuffer(self._ids([between])[0], "<u4")
         for e in self.library.encode_batch_fast([between.join(pieces[k : k + at_once]) for k in range(0, len(pieces), at_once)], add_special_tokens=False):
             ids = np.array(e.ids, dtype="<u4")
-            cuts = np.flatnonzero(self.begins[ids]) if self.spaced else np.flatnonzero(ids == self.mark_ids[-1]) + 1
-            cuts = (cuts * 4).tolist()
             raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)] if self.spaced else [raw[a:b] for a, b in zip([0, *cuts], [*(c - wide for c in cuts), len(raw)], strict=True)]
+            if between:
+                cuts = (4 * (np.flatnonzero(ids == mark[-1]) + 1)).tolist()
+                out += [raw[a:b] for a, b in zip([0, *cuts], [*(c - 4 * len(mark) for c in cuts), len(raw)], strict=True)]
+            else:
+                cuts = (4 * np.flatnonzero(self.begins[ids])).tolist()
+                out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
         return out
 
+    def _kind(self, piece: str) -> int:
+        """0: a string of its own; 1: begins with a space; 2: one word without white space, which may follow a line break."""
+        if not self.spaced:
+            return 2
+        return 1 if piece[:1] == " " else 2 if piece.isascii() and piece.isalpha() else 0
+
     def _known(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces, from what the worker has kept or from the library."""
-        found = list(map(self.pieces.get, pieces))
         if len(self.pieces) > self.kept:  # what doesn't come again goes, when the next generation is full
             self.pieces, self.older = {}, self.pieces
-        for i in [i for i, ids in enumerate(found) if ids is None]:
-            found[i] = self.older.get(pieces[i])
-            if found[i] is not None:
-                self.pieces[pieces[i]] = found[i]
-        at = [i for i, ids in enumerate(found) if ids is None]
-        # a piece without a space before it, that is, the beginning of a text, is a string of its own
-        alone = [i for i in at if self.spaced and pieces[i][:1] != " "]
-        at = [i for i in at if not self.spaced or pieces[i][:1] == " "]
-        for some, ids in ((alone, self._ids([pieces[i] for i in alone])), (at, self._ids_of_pieces([pieces[i] for i in at]))):
-            for i, x in zip(some, ids, strict=True):
-                found[i] = self.pieces[pieces[i]] = x
+        found = list(map(self.pieces.get, pieces))
+        at: tuple[list[int], ...] = ([], [], [])
+        for i, ids in enumerate(found):
+            if ids is None:
+                if (ids := self.older.get(pieces[i])) is None:
+                    at[self._kind(pieces[i])].append(i)
+                else:
+                    found[i] = self.pieces[pieces[i]] = ids
+        for kind, some in enumerate(at):
+            new = [pieces[i] for i in some]
+            made = self._ids_of_pieces(new, "" if kind == 1 else "\n" if self.spaced else self.mark) if kind else self._ids(new)
+            self.pieces.update(zip(new, made, strict=True))
+            for i, x in zip(some, made, strict=True):
+                found[i] = x
+        return found
+
+    def _unsure(self, texts: pa.Array, raw: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Texts in which a cut is not certain. What can't match is left out before the pattern is tried."""
+        maybe = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero((raw[:-1] == 32) & _MAYBE_SPACE[raw[1:]]) if self.spaced else np.flatnonzero((raw >= 28) & (raw <= 31))
+        odd = np.concatenate([odd, np.flatnonzero(raw == 1), ends[ends > 0] - 1])
+        odd = odd[(raw[odd] <= 32)] if len(raw) else odd[:0]
+        maybe[np.searchsorted(ends, odd, side="right")] = True
+        at = pa.array(np.flatnonzero(maybe))
+        found = np.zeros(len(texts), bool)
+        found[at.to_numpy()[pc.match_substring_regex(texts.take(at), self.unsure).to_numpy(zero_copy_only=False)]] = True
         return found
 
     def _some(self, texts: pa.Array) -> list[bytes]:
-        unsure = pc.match_substring_regex(texts, self.unsure)
-        whole = dict(zip(at := pc.indices_nonzero(unsure).to_pylist(), self._ids(texts.take(pa.array(at, pa.int64())).to_pylist()), strict=True))
-        safe = pc.if_else(unsure, "", texts) if whole else texts
-        # a piece keeps the space before it where the vocabulary keeps white space
-        cut = pc.split_pattern(pc.replace_substring(safe, " ", f"{_MARK} "), _MARK) if self.spaced else pc.utf8_split_whitespace(safe)
-        words = cut.flatten().dictionary_encode()
-        ids = pa.array(self._known(words.dictionary.to_pylist()), pa.binary()).take(words.indices)
+        starts, raw = _content(texts)
+        unsure = self._unsure(texts, raw, starts[1:])
+        whole = dict(zip(at := np.flatnonzero(unsure).tolist(), self._ids(texts.take(pa.array(at, pa.int64())).to_pylist()), strict=True))
+        if whole:
+            starts, raw = _content(pc.if_else(pa.array(unsure), "", texts))
+        cut = certain_cuts(raw)
+        cut[starts[:-1][starts[:-1] < len(raw)]] = True
+        cuts = np.append(np.flatnonzero(cut), len(raw)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(raw)).dictionary_encode()
+        ids = pa.array(self._known(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(pieces.indices)
         _, ends, data = ids.buffers()
-        raw = memoryview(data) if data is not None else b""
-        offsets = cut.offsets.to_numpy()
-        bounds = np.frombuffer(ends, np.int32, len(ids) + 1)[offsets - offsets[0]].tolist() if len(ids) else [0] * (len(texts) + 1)
-        return [whole[k] if k in whole else bytes(raw[x:y]) for k, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False))]
+        data = memoryview(data) if data is not None else b""
+        bounds = np.frombuffer(ends, np.int32, len(ids) + 1)[np.searchsorted(cuts, starts)].tolist() if len(ids) else [0] * (len(texts) + 1)
+        return [whole[k] if k in whole else bytes(data[x:y]) for k, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False))]
 
     def encode(self, texts: pa.Array | list[str | None]):
         """Yields the bytes of each text in turn, so that ids of a large batch are not held at once."""
