@@ -30,11 +30,16 @@ def content_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches. A batch is made when the plan runs, so the bounds stay set."""
+    share_code(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow over batches of bounded size; function gets one batch and returns one, or several in turn."""
-    share_code(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    bound_batches(df.sparkSession)
 
     def over(batches):
         for batch in batches:

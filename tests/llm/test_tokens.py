@@ -78,6 +78,21 @@ def test_token_file(odd, empty, monkeypatch):
     assert token_file.token_file(empty, BYTE).count() == 0
 
 
+def test_ids_are_read_from_the_written_file(spark, odd, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_file, "SEGMENT_IDS", 100)
+    path = f"file://{tmp_path}/tokens"
+    token_file.write_token_file(odd, path, BYTE)
+    rows = sorted(token_file.read_token_file(spark, path, with_ids=True).collect(), key=lambda r: r.start)
+    flat = [x for r in rows for x in r.ids]
+    for at in (0, 5, len(flat) // 2, len(flat) - 1):
+        assert token_file.read_ids(spark, path, at) == [flat[at]]
+    assert token_file.read_ids(spark, path, 3, 30) == flat[3:33]
+    for bad in (-1, len(flat)):
+        with pytest.raises(IndexError):
+            token_file.read_ids(spark, path, bad)
+    assert token_file.read_document(spark, path, 4) == [r.ids for r in rows if r.doc_id == 4]
+
+
 def greedy(lengths, window):
     """Best fit decreasing, one piece at a time: how many windows are left with which room."""
     room = []
