@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.storage import share_code
+from tessera.storage import Workspace, share_code
 
 #: Bytes of one Arrow batch, so that very long texts don't add up in a worker.
 ARROW_BATCH_BYTES = 48 << 20
@@ -30,6 +30,20 @@ def content_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+#: Rows of the larger side of a join for which one copy of a row of the other side is made.
+ROWS_A_COPY = 256
+
+
+def join_dealt(many: DataFrame, one: DataFrame, key: str, by: list[str], work: Workspace, counted: DataFrame | None = None, rows_a_copy: int = ROWS_A_COPY) -> DataFrame:
+    """many joined with one, which has each key once, on ``key``. A row of one that meets many rows is copied, and its
+    partners are dealt out to the copies by their columns ``by``, so that no task gets all of a hot key's. counted: a table
+    with the keys of many, where many itself is dear to make twice."""
+    copies = work.save((many if counted is None else counted).groupBy(key).agg(F.ceil(F.count("*") / rows_a_copy).cast("int").alias("copies")), "copies")
+    dealt = many.join(copies, key).withColumn("copy", F.pmod(F.xxhash64(*by), F.col("copies")).cast("int")).drop("copies")
+    spread = one.join(copies, key).select(F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), *one.columns)
+    return dealt.join(spread, [key, "copy"]).drop("copy")
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bounds the session's Arrow batches. A batch is made when the plan runs, so the bounds stay set."""
     share_code(spark)

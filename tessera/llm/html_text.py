@@ -1,14 +1,17 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides blocks by their containers, length, link density
-and stop-word density; short and middling blocks stay open. In the second pass an open block takes the label of its
-nearest decided neighbours.
+A page is cut into blocks at block-level tags. The first pass decides blocks by length, link density and stop-word density;
+what a block lies in is one more feature: menus, notices and the like are no text, and inside an article less is asked of a
+block. Short and middling blocks stay open, inside articles too. In the second pass an open block takes the label of its
+nearest decided neighbours, those within the same article first.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_left
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +24,8 @@ from tessera.llm.quality import STOP_WORDS
 SHORT, LONG = 70, 200
 MAX_LINK_DENSITY, MAX_LINK_DENSITY_IN_ARTICLE = 0.5, 0.9
 LOW_STOP_WORDS, HIGH_STOP_WORDS = 0.12, 0.2
+#: A page whose texts together have fewer stop words is in a language that the list doesn't know: there they decide nothing.
+KNOWN_LANGUAGE = 0.06
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/a-zA-Z][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -40,6 +45,8 @@ BOILERPLATE_NAMES = frozenset(
     "subscription signup signin login search comment comments commentlist respond reply replies disqus discussion social share sharing sharebar related "
     "recommended recommendations pagination pager toolbar alert alerts disclaimer copyright legal skip paywall".split()
 )
+#: Parts that make a name say something about the layout: "has-sidebar" is no sidebar.
+MODIFIERS = frozenset("has no not with without is hide hidden show layout open enabled disabled".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ARTICLE_NAMES = frozenset(("article", "articlebody", "postbody", "postcontent", "entrycontent", "storybody", "articlecontent", "maincontent"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -63,7 +70,8 @@ def _role(tag: str, raw: str, in_article: bool) -> tuple[bool, bool]:
     """Whether an element is boilerplate, and whether it holds an article."""
     attributes = _attributes(raw)
     named = [_NAME_PARTS.findall(x) for k in ("class", "id") for x in attributes.get(k, "").split()]
-    names = {p.lower() for parts in named for p in parts}
+    lowered = [{p.lower() for p in parts} for parts in named]
+    names = set().union(*(parts for parts in lowered if not parts & MODIFIERS))
     whole = {"".join(parts).lower() for parts in named} | {attributes.get("itemprop", "").lower()}
     role = attributes.get("role", "").lower()
     article = tag in ("article", "main") or role in ("article", "main") or bool(whole & ARTICLE_NAMES)
@@ -78,6 +86,8 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # open elements: tag, in boilerplate, number of the article around (0: none)
     boilerplate, article, articles, links, at, breaks = False, 0, 0, 0, 0, 0
+    opened: Counter[str] = Counter()  # how many elements of each tag are on the stack
+    last, unclosed = page.rfind(">") + 1, set()
     block = Block(False, 0, "")
 
     def cut(tag: str) -> None:
@@ -97,7 +107,7 @@ def blocks_of(page: str) -> list[Block]:
                 breaks = 0
                 block.link_chars += stripped * (links > 0)
 
-    for m in iter(lambda: _TOKEN.search(page, at), None):
+    for m in iter(lambda: _TOKEN.search(page, at, last), None):
         text(page[at : m.start()])
         at = m.end()
         if not (tag := (m[2] or "").lower()):
@@ -106,17 +116,20 @@ def blocks_of(page: str) -> list[Block]:
             if tag == "a":
                 links = max(0, links - 1)
             if tag in BLOCK_TAGS or tag in RAW_TAGS or any(s[0] == tag for s in reversed(stack[-8:])):
-                if any(s[0] == tag for s in stack):
-                    while stack and stack.pop()[0] != tag:
-                        pass
+                while opened[tag]:
+                    gone = stack.pop()[0]
+                    opened[gone] -= 1
+                    if gone == tag:
+                        break
                 boilerplate, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
                 if tag in BLOCK_TAGS:
                     cut("")
                 elif block.boilerplate != boilerplate:
                     cut("")
         elif tag in RAW_TAGS:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at) if tag not in unclosed else None
             if tag == "head" and not close:
+                unclosed.add(tag)
                 continue
             at = close.end() if close else len(page)
         elif tag == "br":
@@ -135,10 +148,11 @@ def blocks_of(page: str) -> list[Block]:
                 if tag != "p" or is_boilerplate:
                     if is_article and not article and not (boilerplate or is_boilerplate):
                         articles += 1
+                    opened[tag] += 1
                     stack.append((tag, boilerplate or is_boilerplate, article or (articles if is_article and not is_boilerplate and not boilerplate else 0)))
                     boilerplate, article = stack[-1][1:]
                 elif stack and stack[-1][0] == "p":  # a new paragraph ends one that was left open
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
                     boilerplate, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
                 cut(tag)
     text(page[at:].split("<", 1)[0] if at and page[at : at + 1] == "<" else page[at:])
@@ -151,45 +165,66 @@ def stop_word_density(text: str) -> float:
     return sum(w.strip(".,;:!?\"'()[]#*$%&").encode("utf-8", "surrogatepass") in STOP_WORDS for w in words) / max(1, len(words))
 
 
+def size_of(text: str) -> int:
+    """A block's length in characters, those of scripts that write a word in one or two counted threefold."""
+    return len(text) if text.isascii() else len(text) + 2 * sum(c >= "\u2e80" for c in text)
+
+
+def first_pass(b: Block, known_language: bool) -> str:
+    """A block's label by its own features."""
+    n, stop = size_of(b.text), stop_word_density(b.text)
+    links = b.link_chars / max(1, len("".join(b.text.split())))
+    if b.boilerplate:
+        return BAD
+    if b.tag in _HEADINGS:
+        return HEADING if b.article or links <= MAX_LINK_DENSITY else BAD
+    if links > (MAX_LINK_DENSITY_IN_ARTICLE if b.article else MAX_LINK_DENSITY):
+        return BAD
+    if b.text[0] == "\N{COPYRIGHT SIGN}" and not b.article:
+        return BAD
+    if n < SHORT:
+        return BAD if b.link_chars and not b.article else OPEN
+    if not known_language:
+        return GOOD if n > LONG and links <= MAX_LINK_DENSITY else OPEN
+    if b.article:
+        return GOOD if stop >= LOW_STOP_WORDS and links <= MAX_LINK_DENSITY else OPEN
+    if n > LONG and stop >= HIGH_STOP_WORDS:
+        return GOOD
+    return OPEN if stop >= LOW_STOP_WORDS else BAD
+
+
+def _nearest(k: int, decided: list[int]) -> list[int]:
+    """Of ascending block numbers, those nearest to k on either side."""
+    at = bisect_left(decided, k)
+    return decided[max(0, at - 1) : at + 1]
+
+
 def classify(blocks: list[Block]) -> None:
     """Sets the label of every block to good or bad."""
-    article = any(b.article and not b.boilerplate for b in blocks)
-    for b in blocks:
-        n = len(b.text)
-        density = b.link_chars / max(1, len("".join(b.text.split())))
-        if b.boilerplate or density > (MAX_LINK_DENSITY_IN_ARTICLE if b.article else MAX_LINK_DENSITY) and not (b.article and b.tag in _HEADINGS):
-            b.label = BAD
-        elif article:
-            b.label = GOOD if b.article else BAD
-        elif "\N{COPYRIGHT SIGN}" in b.text:
-            b.label = BAD
-        elif b.tag in _HEADINGS:
-            b.label = HEADING
-        elif n < SHORT:
-            b.label = BAD if b.link_chars else OPEN
-        elif (stop := stop_word_density(b.text)) >= HIGH_STOP_WORDS and n > LONG:
-            b.label = GOOD
-        else:
-            b.label = OPEN if stop >= LOW_STOP_WORDS else BAD
-    first = [b.label for b in blocks]
-    decided = [k for k, x in enumerate(first) if x in (GOOD, BAD)]
-    before, after = None, 0
+    words = " ".join(b.text for b in blocks if not b.boilerplate and not b.link_chars)
+    known_language = stop_word_density(words) >= KNOWN_LANGUAGE
+    first = [first_pass(b, known_language) for b in blocks]
+    # what surrounds an article, or is set into it as a box, says nothing about its blocks
+    decided, inside = [], defaultdict(list)
+    for k, b in enumerate(blocks):
+        if first[k] in (GOOD, BAD):
+            decided.append(k)
+            if b.article and not b.boilerplate:
+                inside[b.article].append(k)
     for k, b in enumerate(blocks):
+        b.label = first[k]
         if first[k] in (GOOD, BAD):
-            before = k
             continue
-        while after < len(decided) and decided[after] < k:
-            after += 1
-        follows = decided[after] if after < len(decided) else None
-        near = [x for x in (before, follows) if x is not None]
-        if first[k] == HEADING and follows is not None:
-            b.label = first[follows]
-        elif not near:
-            b.label = GOOD if stop_word_density(b.text) >= LOW_STOP_WORDS or first[k] == HEADING else BAD
+        near = _nearest(k, inside[b.article] if b.article else decided)
+        if not near:
+            plain = not known_language or stop_word_density(b.text) >= LOW_STOP_WORDS
+            b.label = GOOD if b.article or plain or first[k] == HEADING else BAD
+        elif first[k] == HEADING and near[-1] > k:  # a heading belongs to what follows it
+            b.label = first[near[-1]]
         else:
             least = min(abs(x - k) for x in near)
             labels = {first[x] for x in near if abs(x - k) == least}
-            b.label = labels.pop() if len(labels) == 1 else GOOD if len(b.text) >= SHORT else BAD
+            b.label = labels.pop() if len(labels) == 1 else GOOD if size_of(b.text) >= SHORT or b.article else BAD
 
 
 def main_text(page: str | None) -> str:

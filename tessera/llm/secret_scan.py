@@ -10,15 +10,15 @@ from __future__ import annotations
 import hashlib
 import uuid
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import content_digest, texts
 from tessera.storage import Workspace, exists
 
-SPANS = "array<struct<start:int,rule:int,kind:string,end:int>>"
+#: covered: how far the spans before this one reach, or 0. A redaction keeps what lies between there and the start.
+SPANS = "array<struct<start:int,rule:int,kind:string,end:int,covered:int>>"
 LEDGER_SCHEMA = f"digest binary, rule_version string, spans {SPANS}"
 
 
@@ -46,25 +46,32 @@ def rules_version(rules: tuple[Rule, ...]) -> str:
 
 
 def _matches(text: Column, rule: Rule, number: int) -> Column:
-    """Spans of one rule. The text between matches and the matches themselves give every position."""
+    """Of each match of one rule: its number, the lengths of the text before it and of itself, and whether it is long enough."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     pairs = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), found.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPANS).alias("spans"))
 
-    def step(seen, pair):
-        a = seen["at"] + F.length(pair["gap"])
-        b = a + F.length(pair["match"])
+    def one(pair, at):
         kept = F.length(F.regexp_extract(pair["match"], rule.pattern, rule.group)) >= rule.least
-        one = F.array(F.struct(a.alias("start"), F.lit(number).alias("rule"), F.lit(rule.kind).alias("kind"), b.alias("end")))
-        spans = F.coalesce(seen["spans"], F.lit([]).cast(SPANS))
-        return F.struct(F.coalesce(b, a).alias("at"), F.when(kept, F.concat(spans, one)).otherwise(spans).alias("spans"))
+        return F.struct(F.lit(number).alias("rule"), F.lit(rule.kind).alias("kind"), at.alias("nth"), F.length(pair["gap"]).alias("gap"), F.length(pair["match"]).alias("match"), kept.alias("kept"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(pairs, start, step)["spans"]).otherwise(F.lit([]).cast(SPANS))
+    none = F.array().cast("array<struct<rule:int,kind:string,nth:int,gap:int,match:int,kept:boolean>>")
+    return F.when(text.rlike(rule.pattern), F.transform(F.filter(pairs, lambda pair: pair["match"].isNotNull()), one)).otherwise(none)
 
 
-def secret_spans(text: Column, rules: tuple[Rule, ...] = BASE_RULES) -> Column:
-    """Spans of all rules by start, then in the order of the rules; positions are code points, ends exclusive."""
-    return F.array_sort(reduce(F.concat, [_matches(text, r, i) for i, r in enumerate(rules)]))
+def secret_spans(blobs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+    """(digest, spans) of blobs (digest, text): spans of all rules by start, then in the order of the rules.
+
+    Positions are code points, ends exclusive. The texts between matches and the matches give every position as a running sum
+    over the matches of one blob, so the work grows with the text and its matches, however many there are.
+    """
+    matches = blobs.select("digest", F.explode_outer(F.flatten(F.array(*(_matches(F.col("text"), r, i) for i, r in enumerate(rules))))).alias("m")).select("digest", "m.*")
+    upto = Window.partitionBy("digest", "rule").orderBy("nth")
+    end = F.sum(F.col("gap") + F.col("match")).over(upto).cast("int")
+    spans = matches.withColumn("end", end).withColumn("start", F.col("end") - F.col("match")).withColumn("reach", F.when(F.col("kept"), F.col("end")))
+    before = Window.partitionBy("digest").orderBy("start", "rule").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("covered", F.coalesce(F.max("reach").over(before), F.lit(0)))
+    span = F.when(F.col("kept"), F.struct("start", "rule", "kind", "end", "covered"))
+    return spans.groupBy("digest").agg(F.array_sort(F.collect_list(span)).cast(SPANS).alias("spans"))
 
 
 def ledger(spark, ledger_path: str, version: str) -> DataFrame | None:
@@ -88,7 +95,7 @@ def scan(versions: DataFrame, ledger_path: str | None = None, rules: tuple[Rule,
     blobs = keyed.groupBy("digest").agg(F.first("text").alias("text"))
     seen = ledger(spark, ledger_path, version)
     unseen = blobs if seen is None else blobs.join(seen.select("digest").distinct(), "digest", "left_anti")
-    unseen.select("digest", F.lit(version).alias("rule_version"), secret_spans(F.col("text"), rules).alias("spans")).write.mode("overwrite").parquet(f"{ledger_path}/{uuid.uuid4().hex}")
+    secret_spans(unseen, rules).select("digest", F.lit(version).alias("rule_version"), "spans").write.mode("overwrite").parquet(f"{ledger_path}/{uuid.uuid4().hex}")
     found = ledger(spark, ledger_path, version).where(F.size("spans") > 0).select("digest", "spans")
     if seen is not None:  # two jobs may have scanned one blob; both found the same
         found = found.dropDuplicates(["digest"])
@@ -100,22 +107,33 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(text: Column, spans: Column, mask: str = "[secret]") -> Column:
-    """text with every span replaced by the mask; spans that touch or overlap are replaced by one."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+#: Characters of the blocks in which a redaction reads a text.
+BLOCK = 1024
+
+
+def blocks_of(text: Column) -> Column:
+    """A text in blocks of BLOCK characters, so that a piece of it is reached without going through all that lies before."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def redact(text: Column, blocks: Column, spans: Column, mask: str = "[secret]") -> Column:
+    """text with every span replaced by the mask; spans that overlap are replaced by one. blocks: a column of blocks_of(text)."""
 
-    def step(seen, s):
-        keep = F.when(s["start"] >= seen["at"], F.concat(F.substring(text, seen["at"] + 1, s["start"] - seen["at"]), F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.greatest(seen["at"], s["end"]).alias("at"), F.concat(seen["out"], keep).alias("out"))
+    def piece(start, end):
+        first = F.floor(start / BLOCK).cast("int")
+        some = F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+        return F.when(end > start, F.substring(some, start - first * BLOCK + 1, end - start)).otherwise("")
 
-    done = F.aggregate(spans, state, step)
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+    kept = F.filter(spans, lambda s: s["start"] >= s["covered"])
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
+    out = F.concat(F.array_join(F.transform(kept, lambda s: F.concat(piece(s["covered"], s["start"]), F.lit(mask))), ""), piece(end, F.length(text)))
+    return F.when(F.size(spans) > 0, out).otherwise(text)
 
 
 def redacted(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = BASE_RULES, text_col: str = "text", chars_col: str = "n_chars", mask: str = "[secret]") -> DataFrame:
     """docs with every secret in a text masked; all rows and columns stay, and ``chars_col`` follows the new text.
 
-    The ledger says which blobs hold secrets; those few rows are joined to it by digest, the others pass unchanged.
+    Null and empty texts stay as they are, repeated rows are masked alike, and an empty table stays empty. The ledger says which blobs hold secrets; those few rows are joined to it by digest, the others pass unchanged.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "redacted")
@@ -123,9 +141,9 @@ def redacted(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule,
     scan(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text")), ledger_path, rules)
     found = ledger(spark, ledger_path, rules_version(rules)).where(F.size("spans") > 0).select(F.col("digest").alias("__digest"), F.col("spans").alias("__spans")).dropDuplicates(["__digest"])
     keyed = docs.withColumn("__digest", content_digest(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(found, "__digest", "left")
-    text = F.when(F.col("__spans").isNotNull(), redact(F.col(text_col), F.col("__spans"), mask)).otherwise(F.col(text_col))
-    out = {text_col: text}
+    joined = keyed.join(found, "__digest", "left").withColumn("__blocks", F.when(F.col("__spans").isNotNull(), blocks_of(F.col(text_col))))
+    joined = joined.withColumn("__text", F.when(F.col("__spans").isNotNull(), redact(F.col(text_col), F.col("__blocks"), F.col("__spans"), mask)).otherwise(F.col(text_col)))
+    out = {text_col: F.col("__text")}
     if chars_col in docs.columns:
-        out[chars_col] = F.when(F.col("__spans").isNotNull(), F.length(text).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
+        out[chars_col] = F.when(F.col("__spans").isNotNull(), F.length("__text").cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
     return joined.select(*(out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

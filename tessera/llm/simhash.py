@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow
+from tessera.llm.common import join_dealt, map_arrow
 from tessera.operators.components import connected_components
 from tessera.storage import Workspace
 
@@ -51,6 +51,9 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp) of every row; the fingerprint of a null text, or one without a word, is zero. Null ids and repeated rows are
+    kept as they come, and an empty table gives an empty result."""
+
     def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
         marks = [fingerprint(t, words) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.int64())], ["doc_id", "fp"])
@@ -60,40 +63,50 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
 
 def forest(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, radius: int, pairs_at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Links (x, y) between the ids of rows of a and b (one 64-bit word a column) that differ in radius bits or fewer,
-    reduced to ones that connect the same ids."""
+    reduced to ones that connect the same ids; of the links that could connect two parts, the nearest."""
     step = max(1, pairs_at_once // max(1, len(b)))
     a, b = a.view(np.uint64), b.view(np.uint64)  # bit counts of signed numbers are those of their magnitudes
-    xs, ys, held = [], [], 0
     nodes = np.unique(np.concatenate([a_ids, b_ids]))
+    found, held = [np.zeros((3, 0), np.int64)], 0
     for k in range(0, len(a), step):
         differ = sum(np.bitwise_count(a[k : k + step, None, w] ^ b[None, :, w]) for w in range(a.shape[1]))
         i, j = np.nonzero(differ <= radius)
-        x, y = a_ids[k + i], b_ids[j]
-        other = x != y
-        xs.append(x[other])
-        ys.append(y[other])
-        held += len(xs[-1])
+        some = np.stack([a_ids[k + i], b_ids[j], differ[i, j].astype(np.int64)])
+        found.append(some[:, some[0] != some[1]])
+        held += found[-1].shape[1]
         if held > 4 * len(nodes):
-            xs, ys = _reduced(nodes, np.concatenate(xs), np.concatenate(ys))
-            held = len(xs[0])
-    return np.concatenate(xs), np.concatenate(ys)
+            found = [_reduced(nodes, np.concatenate(found, axis=1))]
+            held = found[0].shape[1]
+    x, y, _ = _reduced(nodes, np.concatenate(found, axis=1))
+    return x, y
 
 
-def _reduced(nodes: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """A star for each component of the links."""
-    x, y = np.searchsorted(nodes, x), np.searchsorted(nodes, y)
-    label = np.arange(len(nodes))
+def _reduced(nodes: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """The minimum spanning forest of links (x, y, bits): in every round each part takes its nearest link to another."""
+    links = links[:, np.argsort(links[2], kind="stable")]
+    x, y = np.searchsorted(nodes, links[0]), np.searchsorted(nodes, links[1])
+    label, taken = np.arange(len(nodes)), np.zeros(links.shape[1], bool)
     while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        for at in (x, y, label[x], label[y]):
-            np.minimum.at(new, at, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = np.flatnonzero(label != np.arange(len(nodes)))
-    return [nodes[moved]], [nodes[label[moved]]]
+        left = np.flatnonzero(label[x] != label[y])[::-1]
+        if not len(left):
+            return links[:, taken]
+        nearest = np.full(len(nodes), -1)
+        nearest[label[x[left]]] = left  # the last one written, which is the nearest, stays
+        other = np.full(len(nodes), -1)
+        other[label[y[left]]] = left
+        both = np.where((nearest < 0) | ((other >= 0) & (other < nearest)), other, nearest)
+        picked = np.unique(both[both >= 0])
+        taken[picked] = True
+        u, v = label[x[picked]], label[y[picked]]
+        part = np.arange(len(nodes))
+        while (part[u] != part[v]).any():
+            low = np.minimum(part[u], part[v])
+            for at in (part[u], part[v]):
+                np.minimum.at(part, at, low)
+            part = part[part]
+        while (part != part[part]).any():
+            part = part[part]
+        label = part[label]
 
 
 def _compared(pairs: DataFrame, radius: int, words: int) -> DataFrame:
@@ -160,9 +173,9 @@ def links(distinct: DataFrame, radius: int, work: Workspace, tile: int = TILE, b
     return work.save(_compared(pairs, radius, 1), "links")
 
 
-#: Fingerprints of 128 bits for whole documents: at this radius over nine in ten pairs with a similarity of 0.8 are linked,
-#: and unrelated ones are seven standard deviations away.
-WIDE_RADIUS = 24
+#: Bits in which fingerprints of 128 bits of whole documents may differ, so that they are compared further. Pairs with a similarity
+#: of 0.8 differ in 19 bits with a deviation of 4; unrelated ones in 64 with a deviation of 6.
+WIDE_RADIUS = 28
 
 
 def _wide_marks(text: str | None, words: int) -> tuple[int, int, int, int]:
@@ -177,40 +190,81 @@ def _wide_marks(text: str | None, words: int) -> tuple[int, int, int, int]:
     return *marks, len(halves[0]) // 8, content
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets, given as sorted distinct values."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _verified(edges: DataFrame, source: DataFrame, marked: DataFrame, words: int, similarity: float, work: Workspace) -> DataFrame:
+    """Those edges (src, dst) between nodes whose sets of shingles have the similarity. Shingles are made for nodes with an edge only,
+    from one text of each; nodes with many edges are dealt out in copies."""
+    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    one = marked.groupBy("node").agg(F.min("row").alias("row"))
+    wanted = work.save(one.join(ends, "node").select("row", "node"), "wanted")
+
+    def shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(np.frombuffer(shingle_digests(t, words), ">u8")).astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    texts = source.select("row", "text").join(wanted, "row").select("node", "text")
+    held = work.save(map_arrow(texts, shingle, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
+    both = join_dealt(join_dealt(edges, held.select(F.col("node").alias("src"), F.col("shingles").alias("a")), "src", ["dst"], work), held.select(F.col("node").alias("dst"), F.col("shingles").alias("b")), "dst", ["src"], work, edges)
+
+    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+        good = [jaccard(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) >= similarity for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+        return batch.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+
+    return work.save(map_arrow(both.select("src", "dst", "a", "b"), verify, "src long, dst long"), "verified")
+
+
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """The rows of docs that stay when one document of each group of near copies stays, with all their columns.
 
-    Documents are linked if their 128-bit fingerprints over ``words``-word shingles differ in ``radius`` bits or fewer
-    and their numbers of shingles in no more than ``similarity`` allows; groups are connected components. The smallest
-    doc_id of a group stays, in one row; texts without a word are one group. Rows with a null id all stay. Tiles hold
-    documents of one class of shingle numbers, and tiles of classes too far apart are skipped.
+    Documents whose 128-bit fingerprints over ``words``-word shingles differ in ``radius`` bits or fewer are compared by the
+    Jaccard similarity of their shingles, and linked at ``similarity`` or more; groups are connected components. Tiles hold
+    documents of one class of shingle numbers and bit counts; tiles too far apart in either are skipped. Where many documents
+    are near each other, the nearest links of a spanning forest are verified for each pair of tiles, not all pairs.
+
+    The smallest doc_id of a group stays, in one row; different texts under one id are judged each for itself. A null id is
+    larger than any other. Null texts, empty ones and those without a word are one group. An empty table stays empty.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "one-of-each")
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
 
     def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [_wide_marks(t, words) for t in batch.column("text").to_pylist()]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "w0", "w1", "n", "content"])
-
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    marked = work.save(map_arrow(source, mark, "doc_id long, w0 long, w1 long, n long, content long"), "marks")
-    cell = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(-math.log(similarity))).cast("long")
-    distinct = work.save(marked.groupBy("content", "w0", "w1", "n").agg(F.min("doc_id").alias("first")), "distinct")
-    tiles = _tiles(distinct.select(F.col("first").alias("id"), "w0", "w1", cell.alias("cell")), 2, tile, work)
-    left = tiles.select(F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"), F.col("cell").alias("a_cell"), F.col("tile").alias("a_tile"), F.col("items").alias("a"))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "row", "w0", "w1", "n", "content"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("row"), F.col(text_col).alias("text"))
+    marked = map_arrow(source, mark, "doc_id long, row long, w0 long, w1 long, n long, content long")
+    marked = work.save(marked.withColumn("node", F.xxhash64("content", "w0", "w1", "n")), "marks")
+    length = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(-math.log(similarity))).cast("long")
+    # cells are so wide that fingerprints within the radius lie in the same or in the next one
+    count = F.floor((F.bit_count("w0") + F.bit_count("w1")) / F.lit(radius + 1)).cast("long")
+    across = 128 // (radius + 1) + 3
+    distinct = work.save(marked.groupBy("node", "w0", "w1", "n").agg(F.count("*").alias("rows")), "distinct")
+    tiles = _tiles(distinct.select(F.col("node").alias("id"), "w0", "w1", (length * across + count + 1).alias("cell")), 2, tile, work)
+    left = tiles.select(F.explode(F.array(*(F.col("cell") + d for d in (0, 1, across - 1, across, across + 1)))).alias("cell"), F.col("cell").alias("a_cell"), F.col("tile").alias("a_tile"), F.col("items").alias("a"))
     pairs = left.join(tiles, "cell").where("a_cell <> cell or a_tile <= tile").select("a", F.col("items").alias("b"))
-    found = work.save(_compared(pairs, radius, 2), "links")
-    component = connected_components(found, work)
-    leaves = component.where("node <> component").select(F.col("node").alias("doc_id"))
-    copies = marked.join(distinct, ["content", "w0", "w1", "n"]).where("doc_id <> first").select("doc_id")
-    gone = work.save(leaves.unionByName(copies).distinct(), "gone")
-    stay = docs.join(gone.select(F.col("doc_id").alias(id_col)), id_col, "left_anti").select(docs.columns)
-    repeated = work.save(marked.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(id_col)), "repeated")
+    found = work.save(_compared(pairs, radius, 2).distinct(), "links")
+    component = connected_components(_verified(found, source, marked, words, similarity, work), work)
+    groups = marked.select("doc_id", "row", "node").join(component, "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("group"))
+    groups = work.save(groups, "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")
+    stays = work.save(groups.groupBy("group").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("group", "first.doc_id", "first.row"), "stays")
+    other = ~(groups["doc_id"].eqNullSafe(stays["doc_id"]) & (groups["row"] == stays["row"]))
+    gone = work.save(groups.join(stays, "group").where(other).select(groups["doc_id"].alias("__id"), groups["row"].alias("__row")).distinct(), "gone")
+    keyed = docs.withColumn("__row", key)
+    rest = keyed.join(gone, F.col(id_col).cast("long").eqNullSafe(gone["__id"]) & (keyed["__row"] == gone["__row"]), "left_anti")
+    repeated = work.save(groups.groupBy("doc_id", "row").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")), "repeated")
     if repeated.isEmpty():
-        return stay
-    once = stay.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
-    return stay.join(repeated, id_col, "left_anti").unionByName(once.select(docs.columns))
+        return rest.select(docs.columns)
+    same = F.col(id_col).cast("long").eqNullSafe(repeated["__id"]) & (rest["__row"] == repeated["__row"])
+    once = rest.join(repeated, same, "left_semi").dropDuplicates([id_col, "__row"])
+    return rest.join(repeated, same, "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None, tile: int = TILE) -> DataFrame:

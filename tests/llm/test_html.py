@@ -34,3 +34,42 @@ def test_all_pages_of_the_table(spark, sf):
         article = re.search("<article>(.*?)</article>", r.html, re.S)[1].replace("<br>", " ")
         blocks = [" ".join(html.unescape(re.sub("<[^>]+>", "", b)).split()) for b in re.split("</?(?:p|h1)>", article)]
         assert main_text(r.html) == "\n".join(b for b in blocks if b)
+
+
+def test_class_names_that_speak_of_the_layout():
+    for page in (f'<article class="post has-comments"><p>{LONG}</p></article>', f'<div class="content has-sidebar"><p>{LONG}</p></div>', f'<div class="layout-no-sidebar"><article><p>{LONG}</p></article></div>'):
+        assert main_text(page) == LONG.strip()
+    assert main_text(f'<article><p>{LONG}</p></article><article class="comment"><p>{LONG}</p></article>') == LONG.strip()
+
+
+def test_other_languages_and_copyright():
+    chinese = "\u8fd9\u662f\u4e00\u4e2a\u6d4b\u8bd5\u3002" * 20
+    assert main_text(f"<div><a href=/>\u9996\u9875</a></div><div><p>{chinese}</p><p>\u77ed\u53e5\u3002</p></div>") == f"{chinese}\n\u77ed\u53e5\u3002"
+    russian = "\u042d\u0442\u043e \u0434\u043b\u0438\u043d\u043d\u044b\u0439 \u0442\u0435\u043a\u0441\u0442 \u043e \u0447\u0451\u043c. " * 12
+    assert main_text(f"<div>{russian}</div>") == russian.strip()
+    assert main_text(f"<div><p>{LONG} \u00a9 here</p></div>") == f"{LONG} \u00a9 here"
+
+
+def test_densities_decide_inside_an_article():
+    page = f"<article><p>{LONG}</p><p><a href=1>{LONG}</a></p><p>Short.</p></article>"
+    assert main_text(page) == f"{LONG.strip()}\nShort."
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<a" * 200_000, "<div>" * 100_000 + "</p>" * 100_000, "<head>" * 50_000, '<p title="' * 50_000, "<b><i>" * 50_000 + "</b></i>" * 50_000):
+        main_text(page)
+    assert time.perf_counter() - began < 20
+
+
+def test_pages_without_container_tags(spark, sf):
+    """With article, nav and footer renamed to div, nearly all blocks get the label that the containers gave them."""
+    right = total = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        want = main_text(r.html).split("\n")
+        got = main_text(re.sub("<(/?)(article|nav|footer)\\b", r"<\1div", r.html)).split("\n")
+        total += len(set(want) | set(got))
+        right += len(set(want) & set(got))
+    assert right / total >= 0.95

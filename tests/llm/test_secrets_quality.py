@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -45,6 +46,32 @@ def test_redacted(make):
     assert secret_scan.redacted(docs).columns == docs.columns
 
 
+def slow_redaction(text):
+    masked = sorted((a, b) for _, a, b in slow_spans(text))
+    out, at = "", 0
+    for a, b in masked:
+        out += text[at:a] + "[secret]" if a >= at else ""
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_redaction_by_brute_force(make):
+    rng = __import__("random").Random(4)
+    rows = [(i, " ".join(rng.choice([*SECRETS, "é🙂", "x" * 1500, f"token={HEX}{HEX}"]) for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    got = {r.doc_id: r.text for r in secret_scan.redacted(make(rows)).collect()}
+    assert got == {i: slow_redaction(t) for i, t in rows}
+
+
+def test_many_matches_in_one_text(make):
+    """Time grows with the matches, not with their square."""
+    text = " ".join(f"token=secret{i}" for i in range(100_000))
+    docs = make([(1, text)])
+    began = time.perf_counter()
+    assert [len(r.spans) for r in secret_scan.scan(docs).collect()] == [100_000]
+    assert secret_scan.redacted(docs).first().text == " ".join(["[secret]"] * 100_000)
+    assert time.perf_counter() - began < 60
+
+
 @pytest.mark.parametrize("name", ["op5_secret_scans", "op8_quality_rules"])
 def test_odd_rows_against_sql(spark, make, name, tmp_path):
     rows = [*[r for r in ODD if r[0] not in (None, 4)], *enumerate(SECRETS, 100), (200, "a b c " * 30 + "\n#x\n\n#x\n $ \n"), (201, "THE A OF\n" * 40), (202, "  \x0b \x1c word " * 20)]
