@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, so a lost executor costs a re-read of a file and
-never a recomputation of the plan. The folder is taken from the session; only a session without one (a test) gets its own.
+never a recomputation of the plan. The folder is taken from the session; only a local session without one (a test) gets its own.
 """
 
 from __future__ import annotations
@@ -14,14 +14,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; set to a fresh local one where the session names none."""
+    """The cluster's shared folder. Where the session names none, a session on one machine gets a local folder of its own,
+    and any other is an error: its executors don't see the driver's folders."""
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that the whole cluster shares")
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
     return base.rstrip("/")
 
 
