@@ -1,7 +1,8 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule's cost and selectivity are estimated on a sample, and a document is tried against the rules in the order of
-rejections per cost until one rejects it. The order decides how much work is done and never the verdict.
+rejections per cost until one rejects it. The order decides how much work is done and never the verdict. Features that
+several rules share are made once a document.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow
+from tessera.llm.common import bound_batches, map_arrow
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -111,25 +112,74 @@ RULES = (
     Rule("stop_words", lambda f: 50 * f.n_stop_words < f.n_words),
 )
 BASE = ("few_words", "repeated_words")
-#: Documents on which cost and selectivity are estimated, at most.
-SAMPLE_ROWS = 400
-
-
-def estimate(sample: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds a document, share rejected) in the order of rejections per second; ties keep the order given."""
-    found = []
-    for rule in rules:
+#: Texts of each task's input on which costs and rejections are estimated, at most, and the share of texts that are taken for it.
+SAMPLE_A_TASK, SAMPLE_SHARE = 8, 8
+
+
+def measure(text: str | None, rules: tuple[Rule, ...] = RULES) -> tuple[int, int, float, list[float]]:
+    """(rejecting rules, rules that need the words, seconds to split the words, seconds of each rule beside that) of a text; the
+    rules as bits of a number."""
+    began = time.perf_counter()
+    words = Features(text).words
+    shared = time.perf_counter() - began
+    rejecting = needing = 0
+    costs = []
+    for k, rule in enumerate(rules):
+        fresh = Features(text)
+        rejecting |= rule.rejects(fresh) << k
+        needing |= ("words" in vars(fresh)) << k
+        f = Features(text)
+        f.words = words
         began = time.perf_counter()
-        rejected = sum(rule.rejects(Features(t)) for t in sample)
-        cost = (time.perf_counter() - began) / max(1, len(sample))
-        found.append((rule, cost, rejected / max(1, len(sample))))
-    return sorted(found, key=lambda x: -x[2] / max(x[1], 1e-9))
+        rule.rejects(f)
+        costs.append(time.perf_counter() - began)
+    return rejecting, needing, shared, costs
+
+
+def cascade(seen: list[tuple[int, int, int, float, list[float]]], rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
+    """The rules in the order of rejections per second. seen: (rejecting, needing, texts, seconds for words, seconds of each rule) of
+    texts with the same rejecting rules. A rule counts for the texts that those before it let pass, and the words for the first
+    rule that needs them; ties keep the order given."""
+    left, order, split = list(seen), [], False
+    while len(order) < len(rules):
+        texts = max(1, sum(n for _, _, n, _, _ in left))
+        scores = []
+        for k in (k for k in range(len(rules)) if k not in order):
+            rejected = sum(n for r, _, n, _, _ in left if r >> k & 1)
+            cost = sum(c[k] + (w if need >> k & 1 and not split else 0.0) for _, need, _, w, c in left)
+            scores.append((-(rejected / texts) / max(cost / texts, 1e-9), k))
+        k = min(scores)[1]
+        split = split or any(need >> k & 1 for _, need, _, _, _ in left)
+        left = [x for x in left if not x[0] >> k & 1]
+        order.append(k)
+    return tuple(rules[k] for k in order)
 
 
 def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> tuple[Rule, ...]:
-    """The rules in the order that a sample of at most SAMPLE_ROWS texts calls for."""
-    sample = [r[0] for r in docs.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(8)) == 0).limit(SAMPLE_ROWS).collect()]
-    return tuple(r for r, _, _ in estimate(sample, rules)) if sample else rules
+    """The rules in the order that a sample calls for: the first few texts of every task's input, by hash. Texts are measured where
+    they lie; what comes to the driver is a row for each set of rules that reject some text together."""
+    costs = [f"c{k}" for k in range(len(rules))]
+    names = ["rejecting", "needing", "n", "words", *costs]
+
+    def sampled(batches):
+        rows = []
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                rows.append(measure(t, rules))
+                if len(rows) == SAMPLE_A_TASK:
+                    break
+            if len(rows) == SAMPLE_A_TASK:
+                break
+        if rows:
+            rejecting, needing, words, each = zip(*rows, strict=True)
+            columns = [pa.array(rejecting, pa.int64()), pa.array(needing, pa.int64()), pa.array([1] * len(rows), pa.int64()), pa.array(words), *(pa.array(c) for c in zip(*each, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    bound_batches(docs.sparkSession)
+    some = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_SHARE)) == 0)
+    found = some.mapInArrow(sampled, "rejecting long, needing long, n long, words double, " + ", ".join(f"{c} double" for c in costs))
+    sums = found.groupBy("rejecting").agg(F.expr("bit_or(needing)").alias("needing"), F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in ("words", *costs))).collect()
+    return cascade([(r["rejecting"], r["needing"], r["n"], r["words"], [r[c] for c in costs]) for r in sums], rules)
 
 
 def first_rejection(f: Features, rules: tuple[Rule, ...]) -> str | None:
@@ -166,7 +216,11 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, with_counts: bool =
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows of docs that no rule rejects, with all their columns; rules are tried in the sampled order."""
+    """The rows of docs that no rule rejects, with all their columns; rules are tried in the sampled order.
+
+    Rows with a null or empty text go, as they have no words; repeated rows stay or go together; null ids don't matter. An empty
+    table stays empty.
+    """
     order = ordered_rules(docs, rules, text_col)
 
     def passing(batch: pa.RecordBatch) -> pa.RecordBatch:

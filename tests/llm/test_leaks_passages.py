@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 from tessera.llm import decontaminate, passages
@@ -33,6 +34,37 @@ def test_edited_items_against_full_alignment(spark, sf, texts):
         assert bool(hits) == (edits <= budget) and all(h[4] == edits for h in hits[:1])
 
 
+def test_other_scripts_repeats_and_long_texts():
+    rng = random.Random(8)
+    chinese = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    items = [(k, chinese(200)) for k in range(100)]
+    edited = list(items[7][1])
+    for p in (10, 60, 110, 150):
+        edited[p] = "\u7532"
+    text = chinese(700) + items[3][1] + chinese(4000) + "".join(edited) + "\u00e9" * 50
+    began = time.perf_counter()
+    got = list(BenchmarkIndex(tuple(items)).search([text, chinese(5000), "plain"]))
+    assert [(k, i, e) for k, i, _, _, e in got] == [(0, 3, 0), (0, 7, 4)] and got[0][2:4] == (700, 900) and got[1][2:4] == (4900, 5100)
+    same = BenchmarkIndex(((1, "a" * 200), (2, "ab" * 100), (3, "a" * 200), (None, "x" * 7)))
+    hits = list(same.search(["b" * 50 + "a" * 1000, "a" * 1_000_000, "ab" * 3000, "c" * 100_000]))
+    assert {(k, i) for k, i, *_ in hits} == {(0, 1), (0, 3), (1, 1), (1, 3), (2, 2)}
+    assert sum(k == 0 and i == 1 for k, i, *_ in hits) == 5 and all(e == 0 for k, _, _, _, e in hits if k < 2)
+    prose = " ".join(f"w{rng.randrange(10**6)}" for _ in range(140_000))
+    item = prose[500_000:500_200]
+    assert [h[1] for h in BenchmarkIndex(((5, item),)).search([prose])] == [5]
+    assert time.perf_counter() - began < 60
+
+
+def test_places_are_those_of_the_text_as_given():
+    item = "the quick brown fox jumps over the lazy dog and runs"
+    for text in ("  A\n\n" + item.upper().replace(" ", "  \t") + " end", "\u0130stanbul  \u0130 " + item + "!", item):
+        (_, _, a, b, e), = BenchmarkIndex(((1, item),)).search([text])
+        assert normalised(text[a:b]) == item and e == 0
+    cut = item.replace("brown ", "")
+    (_, _, a, b, e), = BenchmarkIndex(((1, item * 3),), 0.1).search([f"zz {cut}{item}{cut} yy"])
+    assert f"zz {cut}{item}{cut} yy"[a:b] == f"{cut}{item}{cut}" and e == 12
+
+
 def test_leaks_of_a_table(spark, sf, texts):
     items = {r.item_id: normalised(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     got = {(r.doc_id, r.item_id) for r in QUERIES["op7_benchmark_decontamination"](spark, sf).collect()}

@@ -99,7 +99,8 @@ def test_counts_and_order(spark, make, odd, empty, texts):
         assert f.n_repeat_words == slow_repeats(t)
         assert f.n_words == len(re.findall("[^\x20\x09-\x0d]+", t)) and f.word_chars == sum(map(len, re.findall("[^\x20\x09-\x0d]+", t)))
     sample = list(texts.values())
-    order = [r for r, _, _ in quality.estimate(sample)]
+    order = quality.ordered_rules(make(list(texts.items())))
+    assert sorted(r.name for r in order) == sorted(r.name for r in quality.RULES)
     every = [quality.first_rejection(quality.Features(t), tuple(order)) is None for t in sample]
     assert every == [quality.first_rejection(quality.Features(t), quality.RULES) is None for t in sample]
     kept = quality.keep_good(odd)
@@ -107,6 +108,16 @@ def test_counts_and_order(spark, make, odd, empty, texts):
     assert quality.judge(odd).count() == len(ODD)
 
 
+def test_cascade_counts_what_is_left_and_shares_the_words():
+    a, b, c = quality.RULES[:3]
+    # a rejects 6 of 10 texts at a cost of 1 each; b the same 6 and one more; c one other: after a, b and c have one each, and b is dearer
+    seen = [(0b011, 0, 6, 0.0, [6.0, 7.2, 6.0]), (0b010, 0, 1, 0.0, [1.0, 3.0, 1.0]), (0b100, 0, 1, 0.0, [1.0, 3.0, 1.0]), (0, 0, 2, 0.0, [2.0, 6.0, 2.0])]
+    assert quality.cascade(seen, (a, b, c)) == (a, c, b)
+    # both reject as much; the one that needs the words pays for them
+    assert quality.cascade([(0b11, 0b01, 4, 8.0, [4.0, 6.0])], (a, b)) == (b, a)
+    assert quality.cascade([], (a, b)) == (a, b)
+
+
 def test_good_documents_stay(spark, sf):
     kept = {r.doc_id for r in QUERIES["op8_quality_rules"](spark, sf).where("kept").collect()}
     labels = spark.read.parquet(f"{sf}/labels.parquet").join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").collect()

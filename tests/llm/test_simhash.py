@@ -93,13 +93,35 @@ def test_one_of_each(spark, make, empty, texts):
         copy = words[:]
         copy[len(copy) // 2] = "changed"
         rows += [(10 * i + 5, t), (10 * i + 3, " ".join(copy)), (10 * i + 7, t), (10 * i + 7, t)]
-    rows += [(None, distinct[0]), (900, None), (901, "")]
+    rows += [(None, distinct[0]), (None, "one of its own"), (900, None), (901, ""), (950, "two texts under"), (950, "one id"), (950, "one id")]
     stay = simhash.one_of_each(make(rows))
     ids = sorted(r.doc_id for r in stay.collect() if r.doc_id is not None)
-    groups = {i: [d for d in ids if d // 10 == i] for i in range(90)}
+    groups = {i: [d for d in ids if d // 10 == i] for i in range(len(distinct))}
     assert stay.columns == make([]).columns and 900 in ids and 901 not in ids
     assert all(len(groups[i]) <= 1 for i in range(len(distinct)))
     assert sum(groups[i] == [10 * i + 3] for i in range(len(distinct))) >= len(distinct) - 2  # near copies among the texts themselves
-    assert any(r.doc_id is None for r in stay.collect())
+    assert [r.text for r in stay.collect() if r.doc_id is None] == ["one of its own"]
+    assert sorted(r.text for r in stay.collect() if r.doc_id == 950) == ["one id", "two texts under"]
     assert simhash.one_of_each(empty).count() == 0
     assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_near_copies_by_brute_force(make):
+    """Of pairs at a similarity of 0.8 or more nearly all lose a document, and nothing goes without such a partner."""
+    rng = np.random.default_rng(2)
+    vocabulary = np.array([f"w{i}" for i in range(3000)])
+    rows = []
+    for g in range(120):
+        words = vocabulary[rng.integers(0, 3000, int(rng.integers(60, 400)))]
+        rows.append((10 * g, words))
+        for k in range(1, 4):
+            copy = words.copy()
+            copy[rng.integers(0, len(words), int(rng.integers(0, len(words) // 20)))] = "edit"
+            rows.append((10 * g + k, copy))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in rows}
+    near = {(d, e) for d in sets for e in range(d // 10 * 10, d // 10 * 10 + 4) if d != e and len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e])}
+    stay = {r.doc_id for r in simhash.one_of_each(make([(d, " ".join(w)) for d, w in rows]), tile=64).collect()}
+    gone = sets.keys() - stay
+    assert all(any((d, e) in near for e in sets) for d in gone)
+    pairs = [(d, e) for d, e in near if d < e]
+    assert len(pairs) > 150 and sum(not {d, e} <= stay for d, e in pairs) >= 0.95 * len(pairs)

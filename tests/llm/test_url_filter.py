@@ -1,7 +1,7 @@
 import duckdb
 
 from tessera.llm.queries import ORACLE_SQL, URL_RULES
-from tessera.llm.url_filter import judge_urls
+from tessera.llm.url_filter import decoded, judge_urls, resolved
 
 CANONICAL, REFRESH = '<LINK href="{}" rel="canonical">', "<meta http-equiv=refresh content=\"0; url='{}'\">"
 PAGES = [
@@ -48,3 +48,47 @@ def test_table_of_redirects_and_empty(spark):
     got = {r.page_id: r.verdict for r in judge_urls(pages.unionByName(extra), URL_RULES, redirects).collect()}
     assert got[20] == "block"
     assert judge_urls(spark.createDataFrame([], SCHEMA), URL_RULES).count() == 0
+
+
+def test_references_are_resolved(spark):
+    """The examples of the standard for resolving references, and a few of hosts and queries."""
+    base = "http://a/b/c/d;p?q"
+    cases = {
+        "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q",
+        "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g",
+        "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g", "./../g": "http://a/b/g", "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h", "http://x/y/../z": "http://x/z", "mailto:a@b": None,
+    }
+    rows = spark.createDataFrame([(k, base, v) for k, v in cases.items()] + [("x", "http://h", "http://h/x"), ("x", "no", None)], "link string, base string, want string")
+    from pyspark.sql import functions as F
+
+    assert [tuple(r) for r in rows.where(~resolved(F.col("link"), F.col("base")).eqNullSafe(F.col("want"))).collect()] == []
+    texts = spark.createDataFrame([(" http:&#x2f;&#47;a&sol;b?x=1&amp;y&lt \n", "http://a/b?x=1&y&lt"), ("a&#xD800;&#0;&#9999999;&bogus;", "a&#xD800;&#0;&#9999999;&bogus;"), ("&#x1F600;&amp", "\U0001f600&")], "link string, want string")
+    assert [tuple(r) for r in texts.where(decoded(F.col("link")) != F.col("want")).collect()] == []
+
+
+def test_relative_and_hidden_links(spark):
+    pages = [
+        (1, "http://b.org/es/2.html", ""), (2, "http://q.info/a/1.html", '<!-- <link rel=canonical href="http://e.example.com/en/7"> --><link rel="canonical" href="&#x2f;&#x2f;b.org/x/../es/2.html">'),
+        (3, "http://q.info/a/b/3.html", '<link rel="alternate" href="/en"><link href="../1.html" rel="nofollow canonical">'), (4, "http://q.info/a/4.html", '<base href="http://b.org/es/"><link rel=canonical href=2.html>'),
+        (5, "http://q.info/5", '<link rel=canonical href=/6><link rel=canonical href=/7>'), (6, "http://q.info/7", '<meta http-equiv="refresh" content="0;url=a/1.html">'),
+        (7, "http://q.info/8", '<script>"<link rel=canonical href=http://b.org/es/2.html>"</script>'),
+    ]
+    got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(pages, SCHEMA), URL_RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "allow"}
+
+
+def test_many_rules_against_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    hosts = [f"{rng.choice('abc')}{k}.{rng.choice(['com', 'x.net'])}" for k in range(300)]
+    rules = [(rng.choice(["allow", "block"]), f"{rng.choice([*hosts, 'com', 'net'])}/{'/'.join(str(rng.randrange(30)) for _ in range(rng.randrange(4)))}") for _ in range(20_000)] + [("block", "zz")]
+    rules = list({r: v for v, r in rules}.items())
+    urls = [(k, f"http://{rng.choice(['', 'w.', 'w.v.'])}{rng.choice([*hosts, 'zz', 'yzz'])}/{'/'.join(str(rng.randrange(30)) for _ in range(rng.randrange(5)))}", None) for k in range(400)] + [(None, None, None)] * 2
+    table = spark.createDataFrame([(v, r) for r, v in rules], "verdict string, rule string")
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(spark.createDataFrame(urls, SCHEMA), table).collect()}
+    for k, url, _ in urls[:-2]:
+        host, _, path = url[7:].partition("/")
+        fits = [(len(r), len(r.partition("/")[0]), r, v) for r, v in rules if ("." + host).endswith("." + r.partition("/")[0]) and ("/" + path).startswith("".join(r.partition("/")[1:]))]
+        assert got[k] == (max(fits)[2:] if fits else (None, "allow"))
+    assert got[None] == (None, "allow")
