@@ -3,7 +3,7 @@
 A page is cut into blocks at block-level tags. The first pass decides blocks by length, link density and stop-word density;
 what a block lies in is one more feature: menus, notices and the like are no text, and inside an article less is asked of a
 block. Short and middling blocks stay open, inside articles too. In the second pass an open block takes the label of its
-nearest decided neighbours, those within the same article first.
+nearest decided neighbours, those within the same article or beside it under the same parent first.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from tessera.llm.quality import STOP_WORDS
 #: Parameters of the first pass: characters, and shares of a block's characters or words.
 SHORT, LONG = 70, 200
 MAX_LINK_DENSITY, MAX_LINK_DENSITY_IN_ARTICLE = 0.5, 0.9
-LOW_STOP_WORDS, HIGH_STOP_WORDS = 0.12, 0.2
+LOWEST_STOP_WORDS, LOW_STOP_WORDS, HIGH_STOP_WORDS = 0.03, 0.12, 0.2
+#: Characters that paragraphs side by side must have together, so that they stand without a decided one among them.
+TOGETHER = 100
 #: A page whose texts together have fewer stop words is in a language that the list doesn't know: there they decide nothing.
 KNOWN_LANGUAGE = 0.06
 
@@ -49,16 +51,18 @@ BOILERPLATE_NAMES = frozenset(
 MODIFIERS = frozenset("has no not with without is hide hidden show layout open enabled disabled".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ARTICLE_NAMES = frozenset(("article", "articlebody", "postbody", "postcontent", "entrycontent", "storybody", "articlecontent", "maincontent"))
+#: Tags whose blocks lie side by side as the parts of one text.
+PARAGRAPHS = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 GOOD, BAD, OPEN, HEADING = "good", "bad", "open", "heading"
 
 
 class Block:
-    __slots__ = ("parts", "link_chars", "boilerplate", "article", "tag", "text", "label")
+    __slots__ = ("parts", "link_chars", "boilerplate", "article", "parent", "tag", "text", "label")
 
-    def __init__(self, boilerplate: bool, article: int, tag: str):
+    def __init__(self, boilerplate: bool, article: int, parent: int, tag: str):
         self.parts: list[str] = []
-        self.link_chars, self.boilerplate, self.article, self.tag = 0, boilerplate, article, tag
+        self.link_chars, self.boilerplate, self.article, self.parent, self.tag = 0, boilerplate, article, parent, tag
         self.text, self.label = "", OPEN
 
 
@@ -84,11 +88,11 @@ def _role(tag: str, raw: str, in_article: bool) -> tuple[bool, bool]:
 def blocks_of(page: str) -> list[Block]:
     """The blocks with text, in page order; white space is one space, character references are decoded."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: tag, in boilerplate, number of the article around (0: none)
-    boilerplate, article, articles, links, at, breaks = False, 0, 0, 0, 0, 0
+    stack: list[tuple[str, bool, int, int]] = []  # open elements: tag, in boilerplate, number of the article around (0: none), own number
+    boilerplate, article, articles, links, at, breaks, elements = False, 0, 0, 0, 0, 0, 0
     opened: Counter[str] = Counter()  # how many elements of each tag are on the stack
     last, unclosed = page.rfind(">") + 1, set()
-    block = Block(False, 0, "")
+    block = Block(False, 0, 0, "")
 
     def cut(tag: str) -> None:
         nonlocal block, links
@@ -96,7 +100,8 @@ def blocks_of(page: str) -> list[Block]:
             block.text = " ".join("".join(block.parts).split())
             if block.text:
                 found.append(block)
-        block, links = Block(boilerplate, article, tag), 0
+        own = len(stack) - 1 - (tag in PARAGRAPHS and bool(stack) and stack[-1][0] == tag)  # not the paragraph itself
+        block, links = Block(boilerplate, article, stack[own][3] if own >= 0 else 0, tag), 0
 
     def text(piece: str) -> None:
         nonlocal breaks
@@ -149,13 +154,13 @@ def blocks_of(page: str) -> list[Block]:
                     if is_article and not article and not (boilerplate or is_boilerplate):
                         articles += 1
                     opened[tag] += 1
-                    stack.append((tag, boilerplate or is_boilerplate, article or (articles if is_article and not is_boilerplate and not boilerplate else 0)))
-                    boilerplate, article = stack[-1][1:]
+                    stack.append((tag, boilerplate or is_boilerplate, article or (articles if is_article and not is_boilerplate and not boilerplate else 0), elements := elements + 1))
+                    boilerplate, article = stack[-1][1:3]
                 elif stack and stack[-1][0] == "p":  # a new paragraph ends one that was left open
                     opened[stack.pop()[0]] -= 1
                     boilerplate, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
                 cut(tag)
-    text(page[at:].split("<", 1)[0] if at and page[at : at + 1] == "<" else page[at:])
+    text(re.split(r"<[!?/a-zA-Z]", page[at:], maxsplit=1)[0])  # a tag that isn't closed is none, and no text
     cut("")
     return found
 
@@ -190,7 +195,7 @@ def first_pass(b: Block, known_language: bool) -> str:
         return GOOD if stop >= LOW_STOP_WORDS and links <= MAX_LINK_DENSITY else OPEN
     if n > LONG and stop >= HIGH_STOP_WORDS:
         return GOOD
-    return OPEN if stop >= LOW_STOP_WORDS else BAD
+    return OPEN if stop >= LOWEST_STOP_WORDS else BAD
 
 
 def _nearest(k: int, decided: list[int]) -> list[int]:
@@ -204,21 +209,27 @@ def classify(blocks: list[Block]) -> None:
     words = " ".join(b.text for b in blocks if not b.boilerplate and not b.link_chars)
     known_language = stop_word_density(words) >= KNOWN_LANGUAGE
     first = [first_pass(b, known_language) for b in blocks]
-    # what surrounds an article, or is set into it as a box, says nothing about its blocks
-    decided, inside = [], defaultdict(list)
+    # what surrounds an article, or is set into it as a box, says nothing about its blocks; nor does what lies outside of their
+    # common parent about paragraphs side by side
+    decided, inside, beside, together = [], defaultdict(list), defaultdict(list), Counter()
     for k, b in enumerate(blocks):
         if first[k] in (GOOD, BAD):
             decided.append(k)
             if b.article and not b.boilerplate:
                 inside[b.article].append(k)
+            if b.tag in PARAGRAPHS:
+                beside[b.parent].append(k)
+        if b.tag in PARAGRAPHS and first[k] != BAD:
+            together[b.parent] += size_of(b.text)
     for k, b in enumerate(blocks):
         b.label = first[k]
         if first[k] in (GOOD, BAD):
             continue
-        near = _nearest(k, inside[b.article] if b.article else decided)
+        alone = b.tag in PARAGRAPHS and not b.article and not beside[b.parent] and together[b.parent] >= TOGETHER
+        near = [] if alone else _nearest(k, inside[b.article] if b.article else beside[b.parent] if b.tag in PARAGRAPHS and beside[b.parent] else decided)
         if not near:
-            plain = not known_language or stop_word_density(b.text) >= LOW_STOP_WORDS
-            b.label = GOOD if b.article or plain or first[k] == HEADING else BAD
+            plain = size_of(b.text) >= SHORT and (not known_language or stop_word_density(b.text) >= LOWEST_STOP_WORDS)
+            b.label = GOOD if b.article or plain or alone or first[k] == HEADING else BAD
         elif first[k] == HEADING and near[-1] > k:  # a heading belongs to what follows it
             b.label = first[near[-1]]
         else:

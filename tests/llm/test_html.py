@@ -47,12 +47,12 @@ def test_other_languages_and_copyright():
     assert main_text(f"<div><a href=/>\u9996\u9875</a></div><div><p>{chinese}</p><p>\u77ed\u53e5\u3002</p></div>") == f"{chinese}\n\u77ed\u53e5\u3002"
     russian = "\u042d\u0442\u043e \u0434\u043b\u0438\u043d\u043d\u044b\u0439 \u0442\u0435\u043a\u0441\u0442 \u043e \u0447\u0451\u043c. " * 12
     assert main_text(f"<div>{russian}</div>") == russian.strip()
-    assert main_text(f"<div><p>{LONG} \u00a9 here</p></div>") == f"{LONG} \u00a9 here"
+    assert main_text(f"<div><p>{LONG}\u00a9 here</p></div>") == f"{LONG}\u00a9 here"
 
 
 def test_densities_decide_inside_an_article():
-    page = f"<article><p>{LONG}</p><p><a href=1>{LONG}</a></p><p>Short.</p></article>"
-    assert main_text(page) == f"{LONG.strip()}\nShort."
+    page = f"<article><p>{LONG}</p><p><a href=1>{LONG}</a></p><p>Short.</p><p>{LONG}</p></article>"
+    assert main_text(page) == f"{LONG.strip()}\nShort.\n{LONG.strip()}"
 
 
 def test_hostile_pages_take_linear_time():
