@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.catalog import analysis, retrieval, text
+from tessera.catalog import analysis, retrieval, tables, text
 
-QUERIES = retrieval.QUERIES | text.QUERIES | analysis.QUERIES
-ORACLE_SQL = retrieval.ORACLE_SQL | text.ORACLE_SQL | analysis.ORACLE_SQL
+QUERIES = retrieval.QUERIES | text.QUERIES | analysis.QUERIES | tables.QUERIES
+ORACLE_SQL = retrieval.ORACLE_SQL | text.ORACLE_SQL | analysis.ORACLE_SQL | tables.ORACLE_SQL
 FLAGSHIP = "hybrid_pipeline"

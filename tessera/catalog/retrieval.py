@@ -13,7 +13,7 @@ from tessera.operators.ranking import best_of, fuse, rounded, stratified, top_k
 from tessera.operators.rerank import rerank
 from tessera.plans import retrieval as plans
 from tessera.plans.config import DEFAULTS, with_settings
-from tessera.storage import share_code
+from tessera.storage import Workspace, share_code
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,20 +29,36 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-#: A query set up to this size is sent to every task that looks for gold; Spark chooses beyond it.
-GOLD_QUESTIONS = 10_000
+#: Words of an item that a document is first looked up by.
+GRAM = 4
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, source_id): the stated query set held against every document."""
-    asked = questions(spark, sf_dir)
-    if asked.limit(GOLD_QUESTIONS + 1).count() <= GOLD_QUESTIONS:
-        asked = F.broadcast(asked)
-    return chunks(spark, sf_dir).join(asked, F.contains("text", "question")).select("query_id", F.col("chunk_id").alias("source_id"))
+    """(query_id, source_id): the documents that hold a question verbatim.
 
+    A document that does has the question's inner words in one run: the first GRAM of these (or all, if they are fewer) are
+    joined as a key with the runs of the documents, and what meets is then held against the whole question.
+    """
+    asked = questions(spark, sf_dir).withColumn("words", F.split("question", " "))
+    inner = asked.withColumn("inner", F.slice("words", 2, F.least(F.greatest(F.size("words") - 2, F.lit(0)), F.lit(GRAM)))).withColumn("n", F.size("inner"))
+    work = Workspace(spark, "gold")
+    keyed = work.save(inner.select("query_id", "question", "n", F.xxhash64("inner").alias("key")), "questions")
+    lengths = keyed.agg(F.array_sort(F.collect_set("n")).alias("lengths"))  # of 0..GRAM
+    words = F.split("text", " ")
+    runs = F.flatten(F.transform("lengths", lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, n)))).otherwise(F.array(F.xxhash64(F.slice("words", 1, 0))))))
+    docs = chunks(spark, sf_dir).crossJoin(F.broadcast(lengths)).withColumn("words", words)
+    met = docs.select("chunk_id", F.explode(F.array_distinct(runs)).alias("key")).join(keyed.select("key", "query_id", "question"), "key").select("chunk_id", "query_id", "question")
+    held = met.join(chunks(spark, sf_dir), "chunk_id").where(F.contains("text", "question"))
+    return work.save(held.select("query_id", F.col("chunk_id").alias("source_id")), "gold")
 
-def lexical(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return bm25.search(bm25.build(chunks(spark, sf_dir)), questions(spark, sf_dir), k)
+
+def index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    return bm25.build(chunks(spark, sf_dir))
+
+
+def lexical(spark: SparkSession, sf_dir: str, k: int = 10, of: bm25.Index | None = None) -> DataFrame:
+    """The k best documents of each question, as a stored table."""
+    return Workspace(spark, "lexical").save(bm25.search(of or index(spark, sf_dir), questions(spark, sf_dir), k), "hits")
 
 
 def dense(spark: SparkSession, sf_dir: str, k: int = 12, metric: str = "cosine") -> DataFrame:
@@ -97,8 +113,8 @@ def semantic_cache_lookup(spark, sf_dir):
 
 
 def hash_embed(spark, sf_dir):
-    """Hashed character n-grams of every benchmark item."""
-    return vectors.hash_features(read(spark, sf_dir, "benchmark"), "item_id", "text").select("id", "bucket", six("value"))
+    """Hashed character n-grams of every document."""
+    return vectors.hash_features(read(spark, sf_dir, "documents"), "doc_id", "text").select("id", "bucket", six("value"))
 
 
 def rrf_fusion(spark, sf_dir):
@@ -123,10 +139,11 @@ def reranked(mode):
     return query
 
 
-def hybrid(spark, sf_dir, settings=("rerank.mode=overlap",)):
+def hybrid(spark, sf_dir, settings=("rerank.mode=overlap",), channels=None):
     config = with_settings(DEFAULTS, list(settings))
     k = config["retrieval"]["candidate_k"]
-    return plans.retrieve(questions(spark, sf_dir), chunks(spark, sf_dir), [lexical(spark, sf_dir, k)], [dense(spark, sf_dir, k)], config)
+    by_words, by_vectors = channels or (lexical(spark, sf_dir, k), dense(spark, sf_dir, k))
+    return plans.retrieve(questions(spark, sf_dir), chunks(spark, sf_dir), [by_words], [by_vectors], config)
 
 
 def hybrid_pipeline(spark, sf_dir):
@@ -135,11 +152,13 @@ def hybrid_pipeline(spark, sf_dir):
 
 
 def stages(spark, sf_dir):
+    """The hits of four stages, over the same two channels."""
+    by_words, by_vectors = lexical(spark, sf_dir, 12), Workspace(spark, "dense").save(dense(spark, sf_dir), "hits")
     return {
-        "bm25_only": lexical(spark, sf_dir, 12),
-        "vector_only": dense(spark, sf_dir),
-        "hybrid": hybrid(spark, sf_dir, ("rerank.mode=none",)),
-        "hybrid_rerank": hybrid(spark, sf_dir),
+        "bm25_only": by_words,
+        "vector_only": by_vectors,
+        "hybrid": hybrid(spark, sf_dir, ("rerank.mode=none",), (by_words, by_vectors)),
+        "hybrid_rerank": hybrid(spark, sf_dir, channels=(by_words, by_vectors)),
     }
 
 
@@ -154,17 +173,17 @@ def _values(spark, sf_dir, hits):
 
 def run_compare(spark, sf_dir):
     """Two lexical runs on their common queries: wins, ties and losses by metric."""
-    index = bm25.build(chunks(spark, sf_dir))
-    a = _values(spark, sf_dir, bm25.search(index, questions(spark, sf_dir), 10))
-    b = _values(spark, sf_dir, bm25.search(index, questions(spark, sf_dir), 10, fallback=True))
+    shared = index(spark, sf_dir)
+    a = _values(spark, sf_dir, bm25.search(shared, questions(spark, sf_dir), 10))
+    b = _values(spark, sf_dir, bm25.search(shared, questions(spark, sf_dir), 10, fallback=True))
     return compare(a, b).select("metric", "n", six("mean_a"), six("mean_b"), "wins", "ties", "losses")
 
 
 def run_permutation(spark, sf_dir):
     """Seeded sign-flip test of the same two runs."""
-    index = bm25.build(chunks(spark, sf_dir))
-    a = _values(spark, sf_dir, bm25.search(index, questions(spark, sf_dir), 10))
-    b = _values(spark, sf_dir, bm25.search(index, questions(spark, sf_dir), 10, fallback=True))
+    shared = index(spark, sf_dir)
+    a = _values(spark, sf_dir, bm25.search(shared, questions(spark, sf_dir), 10))
+    b = _values(spark, sf_dir, bm25.search(shared, questions(spark, sf_dir), 10, fallback=True))
     return permutation_test(a, b)
 
 
@@ -309,7 +328,7 @@ ORACLE_SQL = {
     "vector_topk_l2": _vector_sql("l2"),
     "vector_topk_ip": _vector_sql("ip"),
     "semantic_cache_lookup": f"WITH {dense_sql(1, 'den', 'cosine', _QUERY_VECTORS, 'vec_id % 100 <> 0')} SELECT query_id, chunk_id, {r6('score')} AS score, score >= 0.9 AS hit FROM den",
-    "hash_embed": f"""WITH w AS (SELECT item_id AS id, ' ' || unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '')) || ' ' AS w FROM benchmark),
+    "hash_embed": f"""WITH w AS (SELECT doc_id AS id, ' ' || unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '')) || ' ' AS w FROM documents),
 g AS (SELECT id, unnest(list_concat(CASE WHEN true THEN list_transform(range(1, greatest(length(w) - 1, 1) + 1), lambda i: substr(w, i, 2)) END,
   CASE WHEN length(w) >= 3 THEN list_transform(range(1, greatest(length(w) - 2, 1) + 1), lambda i: substr(w, i, 3)) ELSE [] END,
   CASE WHEN length(w) >= 4 THEN list_transform(range(1, greatest(length(w) - 3, 1) + 1), lambda i: substr(w, i, 4)) ELSE [] END)) AS g FROM w),

@@ -40,8 +40,8 @@ def text_functions(spark, sf_dir):
     t = F.col("text")
     return read(spark, sf_dir, "documents").select(
         "doc_id", F.size(T.tokenize(t)).alias("n_tokens"), F.md5(T.clean_text(t)).alias("cleaned"), T.snippet(t, 80).alias("snippet"),
-        T.stable_id(F.concat("source", F.lit("/"), F.left(t, F.lit(40)))).alias("slug"), T.cache_key(F.col("doc_id"), t).alias("key"),
-        F.size(T.split_list(T.snippet(t, 200))).alias("n_parts"), F.size(T.bigrams(F.left(t, F.lit(100)))).alias("n_bigrams"),
+        T.stable_id(F.concat("source", F.lit("/"), t)).alias("slug"), T.cache_key(F.col("doc_id"), t).alias("key"),
+        F.size(T.split_list(t)).alias("n_parts"), F.size(T.bigrams(t)).alias("n_bigrams"),
     )
 
 
@@ -83,7 +83,7 @@ def values_and_units(spark, sf_dir):
 def context_blocks(spark, sf_dir):
     """Numbered context of each item's five best documents."""
     hits = lexical(spark, sf_dir, 5).join(chunks(spark, sf_dir), "chunk_id").select("query_id", "rank", F.col("chunk_id").cast("string").alias("source_id"), F.lit("").alias("title"), "text")
-    return generation.build_context(hits, 100).select("query_id", "context", F.size("sources").alias("n_sources"))
+    return generation.build_context(hits, 600).select("query_id", "context", F.size("sources").alias("n_sources"))
 
 
 def citation_metrics(spark, sf_dir):
@@ -131,7 +131,7 @@ SELECT doc_id || '::chunk_' || lpad((i - 1)::VARCHAR, greatest(3, length((i - 1)
 _TITLED = "source || chr(10) || chr(10) || text"
 _BODY = "substr(t, length(source) + 3)"
 _PARAGRAPHS = f"CASE WHEN length({_BODY}) > 360 THEN list_prepend(source, {_WINDOWS.format(t=_BODY)}) WHEN length(t) <= 360 THEN [t] ELSE [source, source || chr(10) || chr(10) || {_BODY}] END"
-_SLUG = "regexp_replace(regexp_replace(replace(lower(source || '/' || text[1:40]), '\\', '/'), '[^a-z0-9\\x{4e00}-\\x{9fff}]+', '_', 'g'), '^_+|_+$', '', 'g')"
+_SLUG = "regexp_replace(regexp_replace(replace(lower(source || '/' || text), '\\', '/'), '[^a-z0-9\\x{4e00}-\\x{9fff}]+', '_', 'g'), '^_+|_+$', '', 'g')"
 _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 
@@ -166,8 +166,8 @@ ORACLE_SQL = {
     "chunk_title": _TITLE,
     "contextual_chunks": f"SELECT chunk_id, md5(CASE WHEN chunk_index < 3 THEN 'From ' || source || '.' || chr(10) || c.text ELSE c.text END) AS digest FROM ({_TITLE}) c JOIN documents d ON d.doc_id::VARCHAR = c.source_id",
     "text_functions": f"""SELECT doc_id, len(regexp_extract_all(lower(text), '{TOKEN_SQL}')) AS n_tokens, md5({_CLEAN.format(t='text')}) AS cleaned, {_snippet(80)} AS snippet,
-  coalesce(nullif({_SLUG}, ''), 'doc')[1:120] AS slug, doc_id || ':' || md5(text)[1:12] AS key, len(list_filter(list_transform(regexp_split_to_array({_snippet(200)}, '[,，、;；]+'), lambda x: trim(x)), lambda x: x <> '')) AS n_parts,
-  len(list_distinct(list_transform(range(1, length(text[1:100])), lambda i: substr(text[1:100], i, 2)))) AS n_bigrams FROM documents""",
+  coalesce(nullif({_SLUG}, ''), 'doc')[1:120] AS slug, doc_id || ':' || md5(text)[1:12] AS key, len(list_filter(list_transform(regexp_split_to_array(text, '[,，、;；]+'), lambda x: trim(x)), lambda x: x <> '')) AS n_parts,
+  len(list_distinct(list_transform(range(1, length(text)), lambda i: substr(text, i, 2)))) AS n_bigrams FROM documents""",
     "query_rules": """SELECT conv_id, turn, CASE WHEN len(e) > 0 THEN text || ' ' || array_to_string(e, ' ') ELSE text END AS text FROM (SELECT *, list_filter(
   list_concat(list_concat(CASE WHEN contains(text, 'the') THEN ['article', 'det'] ELSE [] END, CASE WHEN contains(text, 'is') THEN ['verb'] ELSE [] END),
   CASE WHEN contains(text, 'and') THEN CASE WHEN contains(text, 'the') THEN ['junction'] ELSE ['junction', 'det'] END ELSE [] END), lambda t: NOT contains(text, t)) AS e FROM conversations)""",
@@ -176,7 +176,7 @@ ORACLE_SQL = {
     "verbalize": "SELECT p_partkey, concat_ws(chr(10) || chr(10), p_name, 'brand: ' || p_brand, 'type: ' || p_type, 'size: ' || p_size) AS content FROM part",
     "json_fields": "SELECT event_id, (props->>'k')::INT AS k, event_type AS type FROM events",
     "values_and_units": "SELECT p_partkey, p_size::VARCHAR AS value, 'mmol/L' AS unit, '1-' || p_size AS ref_range FROM part",
-    "context_blocks": f"WITH {BM25_SQL}, {lexical_sql(5)} SELECT query_id, string_agg('[' || rank || '] ' || chunk_id || chr(10) || text[1:100], chr(10) || chr(10) ORDER BY rank) AS context, count(*)::INT AS n_sources FROM lex JOIN documents ON doc_id = chunk_id GROUP BY query_id",
+    "context_blocks": f"WITH {BM25_SQL}, {lexical_sql(5)} SELECT query_id, string_agg('[' || rank || '] ' || chunk_id || chr(10) || text[1:600], chr(10) || chr(10) ORDER BY rank) AS context, count(*)::INT AS n_sources FROM lex JOIN documents ON doc_id = chunk_id GROUP BY query_id",
     "citation_metrics": f"""WITH r AS (SELECT c_custkey AS n, [c_custkey % 5, c_custkey % 3 + 1] AS cited, c_custkey % 7 = 0 AS abstained, (c_custkey % 6) AS e FROM customer),
 v AS (SELECT *, list_filter(cited, lambda x: x BETWEEN 1 AND 3) AS valid, list_transform([1, 2, 3], lambda i: (n + i) % 4) AS src FROM r),
 s AS (SELECT *, list_distinct(list_transform(valid, lambda i: (n + i) % 4)) AS cs FROM v)

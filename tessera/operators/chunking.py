@@ -18,11 +18,25 @@ def _sizes(size: int, overlap: int) -> tuple[int, int]:
 
 
 def fixed_windows(text: Column, size: int, overlap: int) -> Column:
-    """Array of windows of ``size`` characters that share ``overlap``; the last one reaches the end. Blank ones are dropped."""
+    """Array of windows of ``size`` characters that share ``overlap``; the last one reaches the end. Blank ones are dropped.
+
+    A text is cut into steps first, so that a window is put together from the few steps that it goes over, and not looked up
+    from the beginning of the text.
+    """
     size, overlap = _sizes(size, overlap)
     step = size - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / step)).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.substring(text, i * step + 1, F.lit(size))))
+    steps = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+
+    def window(parts, i):
+        whole = F.array_join(F.slice(parts, i + 1, F.lit(-(-size // step))), "")
+        return strip(F.left(whole, F.lit(size)))
+
+    # a fold over one value gives the steps a name, so that they are cut once
+    windows = F.aggregate(
+        F.array(F.lit(0)), F.struct(steps.alias("parts"), F.array().cast("array<string>").alias("out")),
+        lambda seen, _: F.struct(seen["parts"].alias("parts"), F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.length(text) - size) / step)).cast("int")), lambda i: window(seen["parts"], i)).alias("out")),
+        lambda seen: seen["out"],
+    )
     return F.when(F.length(text) > 0, F.filter(windows, lambda w: w != "")).otherwise(F.array().cast("array<string>"))
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import random
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,71 +80,113 @@ def flips(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.where("a <> b").withColumn("diff", F.col("a") - F.col("b"))
 
 
-def _picked(values: DataFrame, keys: tuple[str, ...], value: str, place: Column, name: str) -> DataFrame:
-    ordered = Window.partitionBy(*keys).orderBy(value)
-    return values.withColumn("__i", F.row_number().over(ordered) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("__i") == place).select(*keys, F.col(value).alias(name))
-
-
 def nearest_rank_percentile(values: DataFrame, keys: tuple[str, ...], value: str, p: float) -> DataFrame:
-    """The value at index round(p/100 * (n - 1)), halves to the even index."""
-    return _picked(values.where(F.col(value).isNotNull()), keys, value, F.rint(F.lit(p / 100.0) * (F.col("__n") - 1)), f"p{p:g}")
+    """The value at index round(p/100 * (n - 1)), halves to the even index; nulls are left out.
 
+    Approximate percentiles on either side, whose error is a known share of n, leave a small part of each key's values; only
+    these are counted by value and put in order, however many rows a key has.
+    """
+    share, near = p / 100.0, 0.002
+    given = values.where(F.col(value).isNotNull())
+    around = F.percentile_approx(value, [max(0.0, share - near), min(1.0, share + near)], int(10 / near))
+    bounds = given.groupBy(*keys).agg(F.count("*").alias("__n"), around.alias("__around"))
+    bounds = bounds.select(*keys, F.rint(F.lit(share) * (F.col("__n") - 1)).alias("__place"), F.col("__around")[0].alias("__low"), F.col("__around")[1].alias("__high"))
+    placed = given.join(bounds, list(keys))
+    low, high = (F.lit(False) if share <= near else F.col(value) < F.col("__low")), (F.lit(False) if share >= 1 - near else F.col(value) > F.col("__high"))
+    # what lies below goes as one row into the counts of what lies between
+    counted = placed.where(~high).groupBy(*keys, "__place", F.when(~low, F.col(value)).alias(value)).agg(F.count("*").alias("__m"))
+    upto = F.sum("__m").over(Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_first()))
+    found = counted.withColumn("__upto", upto).where((F.col("__place") < F.col("__upto")) & (F.col("__place") >= F.col("__upto") - F.col("__m")))
+    return found.select(*keys, F.col(value).alias(f"p{p:g}"))
 
-def recent_percentile(values: DataFrame, keys: tuple[str, ...], value: str, ts: str, p: float, recent: int = 1000) -> DataFrame:
-    """The value at index int(p/100 * n) of each key's last ``recent`` rows by ts."""
-    last = values.where(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(ts).desc(), F.col(value)))).where(F.col("__r") <= recent)
-    return _picked(last, keys, value, F.least(F.floor(F.lit(p / 100.0) * F.col("__n")), F.col("__n") - 1), f"p{p:g}")
 
+def recent_percentile(values: DataFrame, keys: tuple[str, ...], value: str, ts: str, p: float, recent: int = 1000) -> DataFrame:
+    """The value at index int(p/100 * n) of each key's last ``recent`` rows by ts. The limit acts before rows are shuffled."""
+    newest = Window.partitionBy(*keys).orderBy(F.col(ts).desc(), F.col(value))
+    last = values.where(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= recent)
+    ordered = last.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("__v"))
+    place = F.least(F.floor(F.lit(p / 100.0) * F.size("__v")), F.size("__v") - 1).cast("int")
+    return ordered.select(*keys, F.get("__v", place).alias(f"p{p:g}"))
 
-def bootstrap_interval(values: list[float], resamples: int = 10_000, alpha: float = 0.05, seed: int = 0) -> tuple[float, float, float]:
-    """(mean, low, high) of the mean, from seeded resamples with replacement."""
-    n = len(values)
-    if not n:
-        return 0.0, 0.0, 0.0
-    rng = random.Random(seed)
-    means = sorted(sum(rng.choices(values, k=n)) / n for _ in range(resamples))
-    return sum(values) / n, means[int(alpha / 2 * resamples)], means[min(resamples - 1, int((1 - alpha / 2) * resamples))]
 
+#: Resamples that one row stands for; a group's resamples are dealt out in blocks of this size.
+BLOCK = 500
 
-def paired_permutation(differences: list[float], permutations: int = 10_000, seed: int = 0) -> tuple[float, float]:
-    """(mean difference, two-sided p) from seeded sign flips; p is 1 if nothing differs."""
-    n = len(differences)
-    if not any(differences):
-        return 0.0, 1.0
-    observed, rng = sum(differences) / n, random.Random(seed)
-    extreme = sum(abs(sum(d if rng.random() < 0.5 else -d for d in differences) / n) >= abs(observed) - 1e-12 for _ in range(permutations))
-    return observed, (extreme + 1) / (permutations + 1)
 
+def _blocks(groups: DataFrame, n: int) -> DataFrame:
+    """groups, once for each block of n resamples: columns block and size."""
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(max(0, -(-n // BLOCK) - 1))), lambda b: F.struct(b.alias("block"), F.least(F.lit(BLOCK), F.lit(n) - b * BLOCK).alias("size")))
+    return groups.select("*", F.explode(blocks).alias("__b")).select(*groups.columns, "__b.block", "__b.size").repartition("block")
 
-def bootstrap(values: DataFrame, keys: tuple[str, ...] = ("stage", "metric"), resamples: int = 10_000, seed: int = 0) -> DataFrame:
-    """(keys, mean, low, high): an interval for each group, whose values are taken in the order of query_id."""
-    schema = ", ".join(f"{k} {values.schema[k].dataType.simpleString()}" for k in keys) + ", mean double, low double, high double"
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, *bootstrap_interval(rows.sort_values("query_id")["value"].tolist(), resamples, seed=seed)]], columns=[*keys, "mean", "low", "high"])
+def _generator(seed: int, block: int) -> np.random.Generator:
+    return np.random.default_rng([seed, block])
 
-    return values.groupBy(*keys).applyInPandas(one, schema)
 
+def bootstrap(values: DataFrame, keys: tuple[str, ...] = ("stage", "metric"), resamples: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """(keys, mean, low, high): a percentile interval of each group's mean. Values are taken in the order of query_id and null
+    ones as 0; resamples come from a generator seeded by seed and block, so that a result doesn't depend on the cluster."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("query_id", F.coalesce("value", F.lit(0.0)).alias("value")))), lambda x: x["value"])
+    groups = values.groupBy(*keys).agg(ordered.alias("v"))
 
-def permutation_test(a: DataFrame, b: DataFrame, permutations: int = 10_000, seed: int = 0) -> DataFrame:
-    """(metric, mean_diff, p_value) of two runs over their common queries, in the order of query_id."""
-    both = a.select("query_id", "metric", F.col("value").alias("x")).join(b.select("query_id", "metric", F.col("value").alias("y")), ["query_id", "metric"])
+    @F.pandas_udf("array<double>")
+    def means(v: pd.Series, block: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series([x[_generator(seed, b).integers(0, len(x), (n, len(x)))].mean(axis=1).tolist() for x, b, n in zip(v, block, size, strict=True)])
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("query_id")
-        return pd.DataFrame([[*key, *paired_permutation((rows["x"] - rows["y"]).tolist(), permutations, seed)]], columns=["metric", "mean_diff", "p_value"])
+    drawn = _blocks(groups, resamples).select(*keys, means("v", "block", "size").alias("m"))
+    sorted_ = drawn.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("m"))).alias("m"))
+    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")
+    at = lambda share: F.get("m", F.lit(min(resamples - 1, int(share * resamples)))).alias("low" if share < 0.5 else "high")
+    return groups.select(*keys, mean.alias("mean")).join(sorted_, list(keys)).select(*keys, "mean", at(alpha / 2), at(1 - alpha / 2))
 
-    return both.groupBy("metric").applyInPandas(one, "metric string, mean_diff double, p_value double")
 
+def permutation_test(a: DataFrame, b: DataFrame, permutations: int = 10_000, seed: int = 0) -> DataFrame:
+    """(metric, mean_diff, p_value) of two runs over their common queries: a two-sided test by seeded sign flips, with one added to
+    both counts. p is 1 if nothing differs."""
+    both = a.select("query_id", "metric", F.col("value").alias("x")).join(b.select("query_id", "metric", F.col("value").alias("y")), ["query_id", "metric"])
+    differences = F.transform(F.array_sort(F.collect_list(F.struct("query_id", (F.col("x") - F.col("y")).alias("d")))), lambda r: r["d"])
+    groups = both.groupBy("metric").agg(differences.alias("d"))
+
+    @F.pandas_udf("long")
+    def extreme(d: pd.Series, block: pd.Series, size: pd.Series) -> pd.Series:
+        out = []
+        for x, k, n in zip(d, block, size, strict=True):
+            signs = _generator(seed, k).integers(0, 2, (n, len(x)), dtype=np.int8) * 2.0 - 1.0
+            out.append(int((np.abs(signs @ x) >= abs(x.sum()) - 1e-12 * len(x)).sum()))
+        return pd.Series(out)
+
+    counted = _blocks(groups, permutations).select("metric", extreme("d", "block", "size").alias("n")).groupBy("metric").agg(F.sum("n").alias("extreme"))
+    total, differs = F.aggregate("d", F.lit(0.0), lambda s, x: s + x), F.exists("d", lambda x: x != 0)
+    p = F.when(differs, (F.col("extreme") + 1) / F.lit(permutations + 1)).otherwise(1.0)
+    return groups.join(counted, "metric").select("metric", F.when(differs, total / F.size("d")).otherwise(0.0).alias("mean_diff"), p.alias("p_value"))
+
+
+def exact_p(differences: np.ndarray) -> float:
+    """Share of all sign flips whose sum is as far from 0 as that of the differences: the distribution of sums is built up one
+    difference after the other, equal sums together, so that its size is the number of distinct sums and not 2**n."""
+    sums: dict[float, int] = {0.0: 1}
+    for d in differences:
+        after: dict[float, int] = {}
+        for s, n in sums.items():
+            for t in (s + d, s - d):
+                t = round(t, 9)
+                after[t] = after.get(t, 0) + n
+        sums = after
+    least = abs(round(float(differences.sum()), 9)) - 1e-9
+    return sum(n for s, n in sums.items() if abs(s) >= least) / 2 ** len(differences)
+
+
+def exact_permutation(differences: DataFrame, keys: tuple[str, ...], value: str = "diff") -> DataFrame:
+    """(keys, n, mean_diff, p_value): all 2**n sign flips of each group's differences, without sampling, for groups of any size.
+    Sums are told apart to nine decimals; differences on a common scale, as those of metrics are, have few distinct sums."""
+    groups = differences.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("d"))
+
+    @F.pandas_udf("double")
+    def p_value(d: pd.Series) -> pd.Series:
+        return d.map(exact_p)
 
-def exact_permutation(differences: DataFrame, keys: tuple[str, ...], value: str = "diff", most: int = 16) -> DataFrame:
-    """(keys, n, mean_diff, p_value): all 2**n sign flips of a group's n <= ``most`` differences, without sampling."""
-    groups = differences.groupBy(*keys).agg(F.collect_list(value).alias("d")).where(F.size("d") <= most)
-    flips_ = groups.select(*keys, "d", F.explode(F.sequence(F.lit(0), (F.pow(F.lit(2), F.size("d")) - 1).cast("int"))).alias("mask"))
-    signed = F.aggregate(F.transform("d", lambda x, i: F.when(F.expr("mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0, -x).otherwise(x)), F.lit(0.0), lambda s, x: s + x)
     total = F.aggregate("d", F.lit(0.0), lambda s, x: s + x)
-    per = flips_.select(*keys, F.size("d").alias("n"), total.alias("total"), signed.alias("signed"))
-    return per.groupBy(*keys, "n", "total").agg(F.avg((F.abs("signed") >= F.abs("total") - 1e-9).cast("double")).alias("p_value")).select(*keys, "n", (F.col("total") / F.col("n")).alias("mean_diff"), "p_value")
+    return groups.select(*keys, F.size("d").alias("n"), (total / F.size("d")).alias("mean_diff"), p_value("d").alias("p_value"))
 
 
 def token_cost(usage: DataFrame, prices: DataFrame, default: tuple[float, float]) -> DataFrame:

@@ -86,6 +86,13 @@ def build_graph(triples: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFr
     return ends.groupBy("name").agg(F.sort_array(F.collect_set("paper")).alias("papers")), edges
 
 
+def counts(triples: DataFrame) -> DataFrame:
+    """One row: n_triples, n_entities, n_relations, n_chunks of triples (source_id, head, relation, tail), names as they are."""
+    of = triples.agg(F.count("*").alias("n_triples"), F.countDistinct("relation").alias("n_relations"), F.countDistinct("source_id").alias("n_chunks"))
+    entities = triples.select(F.explode(F.array("head", "tail")).alias("name")).agg(F.countDistinct("name").alias("n_entities"))
+    return of.crossJoin(entities).select("n_triples", "n_entities", "n_relations", "n_chunks")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(name, degree): edges in and out, parallel ones each, a self-loop twice."""
     return edges.select(F.explode(F.array("head", "tail")).alias("name")).groupBy("name").agg(F.count("*").alias("degree"))

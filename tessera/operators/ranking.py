@@ -62,3 +62,16 @@ def stratified(df: DataFrame, stratum: str, n: int, seed: int = 0, key: str = "i
     rows = df.join(counts.crossJoin(total).select(stratum, quota.alias("__quota")), stratum).withColumn("__order", order)
     kept = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(stratum).orderBy("__order", key))).where("__nth <= __quota")
     return kept.orderBy("__order", key).limit(n).drop("__quota", "__order", "__nth")
+
+
+def seeded_order(df: DataFrame, seed: int = 0, key: str = "id") -> DataFrame:
+    """df with each row's place, from 1, in a seeded random order that other engines compute alike: by the md5 of seed and key.
+
+    Rows are dealt by the first digits of the md5, which are spread evenly; a row's place is its place among those with the
+    same digits, behind the rows of all lower ones.
+    """
+    hashed = df.withColumn("__order", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn("__slice", F.left("__order", F.lit(3)))
+    sizes = hashed.groupBy("__slice").agg(F.count("*").alias("__n"))
+    before = sizes.select("__slice", (F.sum("__n").over(Window.orderBy("__slice")) - F.col("__n")).alias("__before"))  # 4096 rows at most
+    nth = F.row_number().over(Window.partitionBy("__slice").orderBy("__order", key))
+    return hashed.withColumn("__nth", nth).join(before, "__slice").withColumn("place", F.col("__before") + F.col("__nth")).select(*df.columns, "place")

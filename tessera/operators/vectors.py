@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import strip
 from tessera.operators.ranking import DIGITS, top_k
+from tessera.storage import Workspace
 
 #: Query vectors held in a task at once.
 BLOCK = 1024
@@ -79,17 +80,20 @@ def hash_features(docs: DataFrame, id_col: str, text_col: str, dimension: int =
     from the first eight hexadecimal digits of the md5, which other engines compute alike.
     """
     words = F.filter(F.split(F.regexp_replace(F.lower(strip(F.coalesce(F.col(text_col), F.lit("")))), r"\s+", " "), " "), lambda w: w != "")
-    padded = docs.select(F.col(id_col).alias("id"), F.explode(words).alias("w")).select("id", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
+    held = docs.select(F.col(id_col).alias("id"), F.explode(words).alias("w")).groupBy("id", "w").agg(F.count("*").alias("times"))
+    held = Workspace(docs.sparkSession, "hash-features").save(held, "words")
+    padded = held.select("w").distinct().select("w", F.concat(F.lit(" "), "w", F.lit(" ")).alias("p"))
 
     def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length("w") - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substring("w", i, F.lit(n)))
+        starts = F.sequence(F.lit(1), F.greatest(F.length("p") - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substring("p", i, F.lit(n)))
 
     # a word shorter than n is taken once, at the first n that reaches it
-    lists = [F.when((F.length("w") > n) | (F.lit(n) == shortest) | (F.length("w") == n), grams(n)).otherwise(F.array().cast("array<string>")) for n in range(shortest, longest + 1)]
-    each = padded.select("id", F.explode(F.concat(*lists)).alias("g"))
-    bucket = F.pmod(F.conv(F.left(F.md5("g"), F.lit(8)), 16, 10).cast("long"), F.lit(dimension)).cast("int")
-    counts = each.groupBy("id", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    lists = [F.when((F.length("p") > n) | (F.lit(n) == shortest) | (F.length("p") == n), grams(n)).otherwise(F.array().cast("array<string>")) for n in range(shortest, longest + 1)]
+    # each distinct word is hashed once, wherever it comes
+    bucket = lambda g: F.pmod(F.conv(F.left(F.md5(g), F.lit(8)), 16, 10).cast("long"), F.lit(dimension)).cast("int")
+    hashed = padded.select("w", F.transform(F.concat(*lists), bucket).alias("buckets"))
+    counts = held.join(hashed, "w").select("id", "times", F.explode("buckets").alias("bucket")).groupBy("id", "bucket").agg(F.sum("times").alias("n"))
     norms = counts.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
     return counts.join(norms, "id").select("id", "bucket", (F.col("n") / F.col("norm")).alias("value"))
 
@@ -111,3 +115,12 @@ def cache_lookup(cache: DataFrame, queries: DataFrame, threshold: float = 0.9, i
 def cache_put(cache: DataFrame, new: DataFrame, capacity: int = 5000) -> DataFrame:
     """The cache with new entries, first in, first out, at most ``capacity`` of them by their column ts."""
     return cache.unionByName(new).orderBy(F.col("ts").desc()).limit(capacity)
+
+
+def cache_statistics(lookups: DataFrame) -> DataFrame:
+    """One row: lookups, hits, hit_rate, ms_saved of lookups (hit, lookup_ms, answer_ms); a hit saves what the answer took beyond the
+    lookup. A missing time counts as 0, no lookups give a rate of 0."""
+    ms = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    hits = F.count_if(F.col("hit"))
+    saved = F.sum(F.when(F.col("hit"), F.greatest(ms("answer_ms") - ms("lookup_ms"), F.lit(0.0))))
+    return lookups.agg(F.count("*").alias("lookups"), hits.alias("hits"), F.coalesce(hits / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("hit_rate"), F.coalesce(saved, F.lit(0.0)).alias("ms_saved"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,22 @@ def share_code(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+_SCOPES: list[list[Workspace]] = []
+
+
+@contextmanager
+def cleared() -> Iterator[None]:
+    """Removes the workspaces that were made inside, at the end: what is still needed then must have been saved elsewhere."""
+    made: list[Workspace] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        for work in made:
+            remove(work.spark, work.path)
+
+
 class Workspace:
     """A fresh subfolder of the shared folder, for the tables of one operator call."""
 
@@ -44,6 +62,8 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
     def new_path(self, name: str) -> str:
         self._n += 1

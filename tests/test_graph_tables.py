@@ -62,26 +62,38 @@ def test_components_and_merging(spark):
     assert {r.name: r.canonical for r in graph.merge_similar(names, 0.9, neighbours=1).collect()} == {"net": "net", "network": "net", "tree": "tree"}
 
 
-def test_grids():
+def test_grids(spark):
     assert tables.html_grid('<table><tr><th>a</th><th colspan="2">b</th></tr><tr><td rowspan=2>c</td><td>d</td><td>e</td></tr><tr><td>f</td></tr></table>') == [["a", "b", "b"], ["c", "d", "e"], ["c", "f", ""]]
     assert tables.html_grid("<tr></tr>") == [] and tables.html_grid(None) == []
-    assert tables.markdown_grid("x\n| a | b |\n|---|:-:|\n| 1 | |\n") == [["a", "b"], ["1", ""]]
+    assert tables.html_grid('<td rowspan="2">a<td>&lt;b<tr><td>c<tr>') == [["a", "<b"], ["a", "c"]]
+    assert tables.html_grid("<tr><td rowspan=3>a</td></tr>") == [["a"], ["a"], ["a"]]
+    md = spark.createDataFrame([("x\n| a | b |\n|---|:-:|\n| 1 | |\n",), (None,)], "t string")
+    assert [r.g for r in md.select(tables.markdown_cells(F.col("t")).alias("g")).collect()] == [[["a", "b"], ["1", ""]], []]
     tex = r"\begin{tabular}{|l|l|}\hline \multicolumn{2}{c}{h} \\ \multirow{2}{*}{v} & \(10^{9}/\mathrm{L}\) \\ & \begin{tabular}{l}x \\ y\end{tabular} \\ \end{tabular}"
     assert tables.latex_grids(tex) == [[["h", ""], ["v", "10^9/L"], ["v", "xy"]]]
     boxes = [(10, 10, 10, "a"), (100, 12, 10, "b"), (12, 30, 10, "c"), (14, 31, 10, "d"), (104, 30, 10, "e")]
-    assert tables.box_grid(boxes) == [["a", "b"], ["c d", "e"]] and tables.box_grid([]) == []
+    frame = spark.createDataFrame([(1, *map(float, b[:3]), b[3]) for b in boxes], "page int, x double, y double, height double, text string")
+    assert sorted((r.row, r.column, r.text) for r in tables.box_cells(frame).collect()) == [(0, 0, "a"), (0, 1, "b"), (1, 0, "c d"), (1, 1, "e")]
+    assert tables.box_cells(frame.limit(0)).count() == 0
+    assert tables.plain_math(r"\(10^{9}/\mathrm{L}\) \downarrow a_{1} x_y 5\%") == "10^9/L↓a1x_y5%"
 
 
 HEAD = ["检验大类", "项目", "结果", "单位", "参考范围", "提示"]
 
 
-def test_rows_over_pages_and_heads():
-    grids = [[HEAD, ["血", "葡萄糖", "8.5 mmol/L", "", "3.9-6.1 mmol/L", "↑"], ["", "钾", "4", "mmol/L", "3-5", ""]], [["", "钠", "140", "mmol/L", "", ""]]]
-    rows = tables.grid_rows(grids)
-    assert [r["category"] for r in rows] == ["血"] * 3 and (rows[0]["result"], rows[0]["unit"], rows[0]["ref_range"]) == ("8.5", "mmol/L", "3.9-6.1")
-    assert [r["item"] for r in tables.grid_rows(grids, robust=False)] == ["葡萄糖", "钾"]
+def test_rows_over_pages_and_heads(spark):
+    def rows(grids, robust=True):
+        frame = spark.createDataFrame([("t", k, g) for k, g in enumerate(grids)], "table_id string, grid_no int, cells array<array<string>>")
+        return tables.grid_rows(frame, robust).orderBy("row_no").collect()
+
+    grids = [[HEAD, ["血", "葡萄糖", "8.5 mmol/L", "", "3.9-6.1 mmol/L", "↑"], ["", "钾", "4", "mmol/L", "3-5", ""]], [], [["", "钠", "140", "mmol/L", None, ""]]]
+    got = rows(grids)
+    assert [r["category"] for r in got] == ["血"] * 3 and (got[0]["result"], got[0]["unit"], got[0]["ref_range"]) == ("8.5", "mmol/L", "3.9-6.1")
+    assert [r.row_no for r in got] == [0, 1, 2] and got[2].ref_range == ""
+    assert [r["item"] for r in rows(grids[:1], robust=False)] == ["葡萄糖", "钾"]
     two = [["检验大类", "项目", "结果信息", "结果信息", "参考信息", "参考信息"], ["", "", "测定值", "单位", "参考范围", "异常提示"], ["a", "b", "1", "u", "0-2", ""]]
-    assert tables.grid_rows([two])[0] | {} == {"category": "a", "item": "b", "result": "1", "unit": "u", "ref_range": "0-2", "flag": ""}
+    assert rows([two])[0].asDict() == {"table_id": "t", "row_no": 0, "category": "a", "item": "b", "result": "1", "unit": "u", "ref_range": "0-2", "flag": ""}
+    assert [r.item for r in rows([[["a", "b"], ["c", "d"]]], robust=False)] == ["d"]
 
 
 def test_scores(spark):
@@ -90,8 +102,14 @@ def test_scores(spark):
     got = tables.table_score(truth, [{"item": "血清钾(K)", "result": "4"}, {"item": "葡萄糖", "result": "5"}], ["item", "result"])
     assert got == {"n_rows": 2, "row_acc": 0.5, "field_em": {"item": 0.5, "result": 1.0}, "field_em_mean": 0.75}
     assert tables.text_hit(truth, [[["葡萄", "糖5"]]], ["item", "result"]) == 0.5
-    pages = spark.createDataFrame([("t", 2, "| 甲 | 乙 | 2 | u | | |"), ("t", 1, "|" + "|".join(HEAD) + "|\n| 甲 | 乙 | 1 | u | | |")], "table_id string, page int, content string")
-    assert [(r.row_no, r.result) for r in tables.rows_of(pages, lambda c: [tables.markdown_grid(c)]).orderBy("row_no").collect()] == [(0, "1"), (1, "2")]
+    html = lambda *rows: "".join(f"<tr>{''.join(f'<td>{c}</td>' for c in r)}</tr>" for r in rows)
+    pages = spark.createDataFrame([("t", 2, html(["甲", "乙", "2", "u", "", ""])), ("t", 1, html(HEAD, ["甲", "乙", "1", "u", "", ""]))], "table_id string, page int, content string")
+    found = tables.rows_of(pages, lambda c: [tables.html_grid(c)])
+    assert [(r.row_no, r.result) for r in found.orderBy("row_no").collect()] == [(0, "1"), (1, "2")]
+    scored = tables.score_tables(found.withColumn("result", F.lit("1")), found, ("item", "result")).first()
+    assert (scored.n_rows, scored.row_acc, scored.field_em) == (2, 0.5, {"item": 1.0, "result": 0.5})
+    pairs = spark.createDataFrame([("葡萄糖", "葡萄酒"), ("a", "a"), ("", "x")], "a string, b string")
+    assert [r.s for r in pairs.select(tables.bigram_similarity(F.col("a"), F.col("b")).alias("s")).collect()] == [tables.similarity(*p) for p in (("葡萄糖", "葡萄酒"), ("a", "a"), ("", "x"))]
 
 
 def test_citations_grades_decisions(spark):

@@ -124,22 +124,41 @@ def test_significance(spark):
     got = ev.exact_permutation(rows, ("metric",)).first()
     flips = [sum(s * x for s, x in zip(signs, d, strict=True)) for signs in itertools.product((1, -1), repeat=4)]
     assert got.n == 4 and math.isclose(got.p_value, sum(abs(f) >= 1.25 - 1e-9 for f in flips) / 16)
-    assert ev.paired_permutation([0.0, 0.0]) == (0.0, 1.0)
+    many = [float(x) for x in ([1, -1, 2, 0, 3] * 5)]  # more than can be enumerated: by the sums' distribution
+    counts = {0: 1}
+    for x in many:
+        after = {}
+        for s, n in counts.items():
+            after[s + x], after[s - x] = after.get(s + x, 0) + n, after.get(s - x, 0) + n * (x != 0)
+            if x == 0:
+                after[s] = 2 * n
+        counts = after
+    assert math.isclose(ev.exact_p(np.array(many)), sum(n for s, n in counts.items() if abs(s) >= sum(many)) / 2 ** len(many))
     a = spark.createDataFrame([(q, "m", v) for q, v in ((1, 1.0), (2, 0.0), (3, 1.0))], "query_id int, metric string, value double")
     b = spark.createDataFrame([(q, "m", v) for q, v in ((1, 0.0), (2, 0.0), (4, 1.0))], "query_id int, metric string, value double")
     c = ev.compare(a, b).first()
     assert (c.n, c.wins, c.ties, c.losses) == (2, 1, 1, 0) and ev.flips(a, b).count() == 1
     p = ev.permutation_test(a, b, 500).first()
-    rng = random.Random(0)
-    extreme = sum(abs(sum(x if rng.random() < 0.5 else -x for x in (1.0, 0.0)) / 2) >= 0.5 - 1e-12 for _ in range(500))
-    assert (p.mean_diff, p.p_value) == (0.5, (extreme + 1) / 501)
+    assert (p.mean_diff, p.p_value) == (0.5, 1.0)  # either sign is as far from 0
+    same = ev.permutation_test(a, a, 500).first()
+    assert (same.mean_diff, same.p_value) == (0.0, 1.0)
+    x = spark.createDataFrame([(q, "m", float(q % 3)) for q in range(12)], "query_id int, metric string, value double")
+    far, exact = ev.permutation_test(x, x.withColumn("value", F.lit(0.0)), 20_000).first(), ev.exact_p(np.array([float(q % 3) for q in range(12)]))
+    assert abs(far.p_value - exact) < 0.01
     ci = ev.bootstrap(a.withColumn("stage", F.lit("s")), ("stage", "metric"), 200).first()
-    assert math.isclose(ci["mean"], 2 / 3) and ci.low <= ci["mean"] <= ci.high and ev.bootstrap_interval([]) == (0.0, 0.0, 0.0)
+    assert math.isclose(ci["mean"], 2 / 3) and ci.low <= ci["mean"] <= ci.high
 
 
 def test_percentiles_and_cost(spark):
     rows = spark.createDataFrame([("k", float(i), i) for i in range(6)] + [("k", None, 9)], "k string, v double, ts int")
     assert ev.nearest_rank_percentile(rows, ("k",), "v", 50).first()["p50"] == 2.0  # 2.5 goes to the even index
+    skewed = [("a", 1.0)] * 700 + [("a", float(i % 97)) for i in range(3000)] + [("b", float(i * i)) for i in range(2001)]
+    frame = spark.createDataFrame(skewed, "k string, v double")
+    for p in (0, 1, 50, 90, 99.9, 100):
+        got = {r.k: r[1] for r in ev.nearest_rank_percentile(frame, ("k",), "v", p).collect()}
+        for k in "ab":
+            v = sorted(x for y, x in skewed if y == k)
+            assert got[k] == v[round(p / 100 * (len(v) - 1))]
     assert ev.recent_percentile(rows, ("k",), "v", "ts", 50, recent=4).first()["p50"] == 4.0
     usage = spark.createDataFrame([("t", "m", 1_000_000, 500_000), ("t", "x", 0, 1_000_000)], "trace_id string, model string, prompt_tokens long, completion_tokens long")
     prices = spark.createDataFrame([("m", 2.0, 4.0)], "model string, prompt_price double, completion_price double")
