@@ -226,11 +226,11 @@ class BenchmarkIndex:
                 continue
             first, last = places[: len(places) - need + 1], places[need - 1 :]
             good = np.flatnonzero((last - first < reach) & (owner[: len(first)] == owner[need - 1 :]))
-            at_least = -1  # stretches overlap by an item's reach, so that none is cut
+            following = (0, 0)  # stretches overlap by an item's reach, so that none is cut
             for k, p in zip(owner[good].tolist(), (places[good] - starts[owner[good]]).tolist(), strict=True):
-                if (k, p) >= (at_least if isinstance(at_least, tuple) else (-1, 0)):
+                if (k, p) >= following:
                     yield k, i, p - reach, p + reach
-                    at_least = (k, p + reach // 2)
+                    following = (k, p + reach // 2)
 
     def search(self, texts: list[str | None]) -> Iterator[tuple[int, int | None, int, int, int]]:
         """(text, item_id, start, end, edits) of every occurrence; of overlapping ones of an item, the closest. Positions
@@ -248,14 +248,18 @@ class BenchmarkIndex:
                     edits, end = hit[0], a + hit[1]
                     start = end - len(item) if not edits else true_start(item, texts[k], end, edits)
                     best.setdefault((k, i), []).append((edits, start, end))
+        # short items, and those that repeat themselves and so may follow each other closely, are looked for verbatim
+        verbatim = [(-1 - j, t) for j, (_, t) in enumerate(self.short)] + [(i, self.texts[i]) for i in self.repetitive.tolist()]
         for k, t in enumerate(texts):
-            for j, (_, short) in enumerate(self.short):
-                p = t.find(short)
+            for i, item in verbatim:
+                p = t.find(item)
                 while p >= 0:
-                    best.setdefault((k, -1 - j), []).append((0, p, p + len(short)))
-                    p = t.find(short, p + len(short))
+                    best.setdefault((k, i), []).append((0, p, p + len(item)))
+                    p = t.find(item, p + len(item))
+        at_text = -1
         for (k, i), hits in sorted(best.items()):
-            place = original_places(given[k] or "", texts[k])
+            if k != at_text:
+                at_text, place = k, original_places(given[k] or "", texts[k])
             taken: list[tuple[int, int]] = []
             for edits, start, end in sorted(set(hits)):
                 if all(end <= x or start >= y for x, y in taken):
