@@ -38,9 +38,10 @@ def join_dealt(many: DataFrame, one: DataFrame, key: str, by: list[str], work: W
     """many joined with one, which has each key once, on ``key``. A row of one that meets many rows is copied, and its
     partners are dealt out to the copies by their columns ``by``, so that no task gets all of a hot key's. counted: a table
     with the keys of many, where many itself is dear to make twice."""
-    copies = work.save((many if counted is None else counted).groupBy(key).agg(F.ceil(F.count("*") / rows_a_copy).cast("int").alias("copies")), "copies")
-    dealt = many.join(copies, key).withColumn("copy", F.pmod(F.xxhash64(*by), F.col("copies")).cast("int")).drop("copies")
-    spread = one.join(copies, key).select(F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), *one.columns)
+    copies = F.ceil(F.count("*") / rows_a_copy).cast("int")
+    hot = work.save((many if counted is None else counted).groupBy(key).agg(copies.alias("copies")).where("copies > 1"), "hot")
+    dealt = many.join(hot, key, "left").withColumn("copy", F.pmod(F.xxhash64(*by), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    spread = one.join(hot, key, "left").select(F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"), *one.columns)
     return dealt.join(spread, [key, "copy"]).drop("copy")
 
 

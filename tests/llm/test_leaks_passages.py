@@ -126,7 +126,7 @@ def test_every_exact_repeat_is_found(spark, make, texts):
 
 
 def test_bands_and_empty(empty, odd):
-    assert passages.bands_for(1, 0.8, 0.95) == 2 and passages.bands_for(2, 0.8, 0.95) == 3 and passages.bands_for(4) == 6 and passages.bands_for(4, 1.0) == 1
+    assert passages.bands_for(1, 0.8, 0.95) == 2 and passages.bands_for(2, 0.8, 0.95) == passages.bands_for() == 3 and passages.bands_for(4) == 6 and passages.bands_for(4, 1.0) == 1
     assert passages.repeated_passages(empty).count() == 0 and passages.repeated_passages(odd).count() == 0
 
 
