@@ -252,6 +252,10 @@ f1 AS (SELECT query_id, 1 AS hop, head, relation, tail, paper FROM edges JOIN s
 s2 AS (SELECT query_id, head AS name FROM f1 UNION SELECT query_id, tail FROM f1 EXCEPT SELECT * FROM s),
 f2 AS (SELECT query_id, 2 AS hop, head, relation, tail, paper FROM edges JOIN s2 ON name IN (head, tail))
 SELECT query_id, min(hop)::INT AS hop, head, relation, tail, arg_min(paper, {{'h': hop, 'p': paper}}) AS paper FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2) GROUP BY query_id, head, relation, tail""",
+    "similar_names": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+near AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a, v b WHERE a.vec_id = b.vec_id OR list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(x, y) AS (SELECT x, y FROM near UNION SELECT reach.x, near.y FROM reach JOIN near ON reach.y = near.x)
+SELECT printf('v%05d', x) AS name, printf('v%05d', min(y)) AS canonical FROM reach GROUP BY x""",
     "percentile_rank": f"""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, {r6('max(value) FILTER (WHERE i = round_even(0.5 * (n - 1), 0))')} AS p50, {r6('max(value) FILTER (WHERE i = round_even(0.9 * (n - 1), 0))')} AS p90 FROM r GROUP BY event_type""",
     "recent_percentile": f"""WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC, value) <= 1000),
