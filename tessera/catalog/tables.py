@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.catalog.retrieval import BM25_SQL, GOLD_SQL, METRICS, gold, lexical, lexical_sql, metrics_sql, r6, read, six
 from tessera.operators import evaluation, graph, ranking, tables, vectors
 from tessera.operators.ranking import rounded
+from tessera.sources import files
 
 HEAD = ("检验大类", "项目", "结果", "单位", "参考范围", "提示")
 
@@ -112,7 +113,51 @@ def random_order(spark, sf_dir):
     return ranking.seeded_order(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), seed=7).select("id", "place")
 
 
+def research_filter(spark, sf_dir):
+    """Triples made of parts, without stop entities and unknown types."""
+    k = F.col("p_partkey")
+    rows = read(spark, sf_dir, "part").select(
+        k.cast("string").alias("source_id"), F.col("p_name").alias("head"), F.when(k % 3 == 0, "模型").when(k % 3 == 1, "数据集").otherwise("unknown").alias("head_type"), F.lit("is").alias("relation"),
+        F.when(k % 5 == 0, "本文").otherwise(F.col("p_brand")).alias("tail"), F.when(k % 2 == 0, "任务").alias("tail_type"),
+    )
+    return graph.keep_research(rows).select("source_id", "head", "tail")
+
+
+def triples_in_replies(spark, sf_dir):
+    """Complete triples in a model's replies, made of parts."""
+    triple = F.concat(F.lit('{"head": "'), "p_name", F.lit('", "head_type": "", "relation": "of", "tail": "'), "p_brand", F.lit('", "tail_type": "t"}'))
+    reply = F.concat(F.lit("Here: ["), triple, F.lit(', {"head": "", "relation": "r", "tail": "x"}, '), triple, F.lit("] done"))
+    return graph.parse_triples(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_id"), reply.alias("reply")))
+
+
+def figure_scan(spark, sf_dir):
+    """Images of parts in orders' chunks, each with its first caption."""
+    line = read(spark, sf_dir, "lineitem")
+    metadata = F.create_map(F.lit("modality"), F.when(F.col("l_quantity") > 25, "figure").otherwise("text"), F.lit("image_path"), F.concat(F.lit("img_"), F.col("l_partkey").cast("string")))
+    chunks = line.select(metadata.alias("metadata"), F.col("l_orderkey").cast("string").alias("source_id"), F.col("l_linenumber").alias("chunk_index"), F.concat_ws("-", F.lit("figure"), "l_orderkey", "l_linenumber").alias("text"))
+    return files.figures(chunks)
+
+
+def page_documents(spark, sf_dir):
+    """Events as parsed pages of their users' files: short texts and empty tables are left out."""
+    n = F.col("event_id")
+    pages = read(spark, sf_dir, "events").select(F.concat(F.lit("File "), F.col("user_id").cast("string")).alias("file"), n.cast("int").alias("page"), F.when(n % 3 == 0, "table").otherwise("text").alias("modality"), F.concat(F.lit(" "), F.repeat(F.lit("x"), (n % 60).cast("int"))).alias("content"))
+    return files.page_documents(pages).select("id", "title", "content")
+
+
+def table_markdown(spark, sf_dir):
+    """Parts as pipe tables, some of which are too empty to be one."""
+    brand = F.when(F.col("p_partkey") % 4 > 0, F.col("p_brand"))
+    grid = F.array(F.array("p_name", brand), F.array("p_type", F.col("p_size").cast("string")))
+    return read(spark, sf_dir, "part").select("p_partkey", files.table_markdown(grid).alias("markdown"))
+
+
 QUERIES = {
+    "research_filter": research_filter,
+    "triples_in_replies": triples_in_replies,
+    "figure_scan": figure_scan,
+    "page_documents": page_documents,
+    "table_markdown": table_markdown,
     "html_cells": html_cells,
     "latex_cells": latex_cells,
     "markdown_cells": markdown_cells,
@@ -138,6 +183,13 @@ _PAIRS = "list_distinct(list_transform(range(1, greatest(length({x}), 2)), lambd
 _M6 = ", ".join(f"{r6(m)} AS {m}" for m in METRICS)
 _TWICE = "twice AS (SELECT query_id, chunk_id, unnest([rank * 2 - 1, rank * 2]) AS rank FROM lex)"
 ORACLE_SQL = {
+    "research_filter": "SELECT p_partkey::VARCHAR AS source_id, p_name AS head, p_brand AS tail FROM part WHERE p_partkey % 3 < 2 AND p_partkey % 5 <> 0",
+    "triples_in_replies": "SELECT p_partkey AS source_id, p_name AS head, '' AS head_type, 'of' AS relation, p_brand AS tail, 't' AS tail_type FROM part, range(2)",
+    "figure_scan": """SELECT 'img_' || l_partkey AS image_path, l_orderkey::VARCHAR AS source_id, 'figure-' || l_orderkey || '-' || l_linenumber AS caption FROM lineitem WHERE l_quantity > 25
+  QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey::VARCHAR, l_linenumber) = 1""",
+    "page_documents": """SELECT 'pdf_file_' || user_id || '_p' || lpad(event_id::VARCHAR, greatest(4, length(event_id::VARCHAR))::INT, '0') || CASE WHEN event_id % 3 = 0 THEN '_table' ELSE '' END AS id, 'File ' || user_id AS title, ' ' || repeat('x', event_id % 60) AS content
+  FROM events WHERE CASE WHEN event_id % 3 = 0 THEN event_id % 60 > 0 ELSE event_id % 60 >= 30 END""",
+    "table_markdown": "SELECT p_partkey, CASE WHEN p_partkey % 4 > 0 THEN '| ' || p_name || ' | ' || p_brand || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_type || ' | ' || p_size || ' |' || chr(10) END AS markdown FROM part",
     "html_cells": _cells_sql(("'head'", "'A & B'", "'A & B'"), ("p_name", "p_brand", "p_size::VARCHAR"), ("p_name", "p_type", "''")),
     "latex_cells": _cells_sql(("'head'", "''"), ("p_size::VARCHAR", "'10^' || p_partkey || '/L↑'"), ("p_size::VARCHAR", f"'a1' || {_BRAND}")),
     "markdown_cells": _cells_sql(("'name'", "'brand'"), ("p_name", "p_brand")),
