@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, html_text, packing, passages, quality, secret_scan, simhash, token_counts, token_file, url_filter
+from tessera.llm import conversations, decontaminate, html_text, lexical, packing, passages, quality, secret_scan, sharding, simhash, token_counts, token_file, url_filter
 from tessera.llm.common import table
 
 
@@ -75,6 +75,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation, after seeded damage."""
+    return conversations.audit(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards, in a uniform random order."""
+    placed = sharding.document_shards(table(spark, sf_dir, "documents"), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 _SPANS_SQL = """
 SELECT doc_id, '{kind}' AS kind, {rank} AS k, a, a + length(m[i]) AS b FROM (
   SELECT doc_id, m, i, list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0)::BIGINT AS a FROM (
@@ -136,6 +152,18 @@ q AS (SELECT *, {fit.format(w="max_by(rule, length(rule))", h="host", p="path")}
 SELECT page_id, host, path, rule, coalesce(own, spread, 'allow') AS verdict FROM q LEFT JOIN spread USING (node)"""
 
 
+def _op13_sql() -> str:
+    terms = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""WITH q AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({terms}) AS t FROM benchmark)),
+d AS (SELECT doc_id, row_number() OVER () AS row, {terms} AS w FROM documents),
+s AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d),
+tf AS (SELECT row, doc_id, n, t, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+weights AS (SELECT t, floor(1000 * ln((2 * any_value(s.n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY t),
+scored AS (SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * tf.n * s.n) // s.l))))::BIGINT AS score
+  FROM q JOIN tf USING (t) JOIN weights USING (t), s GROUP BY item_id, row, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10"""
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_packing": op2_packing,
@@ -147,9 +175,13 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_sharding": op12_sharding,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLE_SQL = {
     "op3_url_filters": _op3_sql(),
     "op5_secret_scans": _op5_sql(),
     "op8_quality_rules": _OP8_SQL,
+    "op13_ranked_search": _op13_sql(),
 }
