@@ -26,7 +26,7 @@ from tessera.llm.common import bound_batches, map_arrow
 from tessera.storage import Workspace
 
 #: Terms and queries of one block, documents of one tree, documents of one leaf, groups of terms.
-BLOCK_TERMS, BLOCK_QUERIES, TREE_ROWS, LEAF_ROWS, GROUPS = 16_384, 1024, 4096, 32, 16
+BLOCK_TERMS, BLOCK_QUERIES, TREE_ROWS, LEAF_ROWS, GROUPS = 16_384, 1024, 4096, 32, 256
 #: By how much a bound in doubles is widened, relative to its parts; sums of 2**20 products err by less.
 SAFE = 1e-9
 
