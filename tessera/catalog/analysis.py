@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.catalog.retrieval import dense_sql, r6, read, six
+from tessera.operators import communities as partition
 from tessera.operators import evalset, evaluation, graph, models, tables
 from tessera.operators.components import connected_components
 from tessera.sources import files
+from tessera.storage import Workspace
 from tessera.streaming import events as windows
 
 
@@ -70,12 +72,32 @@ def components(spark, sf_dir):
 
 def communities(spark, sf_dir):
     """Communities of the graph of triples."""
-    return graph.communities(the_graph(spark, sf_dir)[1])
+    return partition.communities(the_graph(spark, sf_dir)[1])
 
 
 def community_facts(spark, sf_dir):
+    """The facts within each of these communities."""
     _, edges = the_graph(spark, sf_dir)
-    return graph.community_facts(edges, graph.communities(edges)).groupBy("community").agg(F.count("*").alias("n_facts"))
+    members = Workspace(spark, "members").save(partition.communities(edges), "members")
+    return graph.community_facts(edges, members)
+
+
+def _by_nation(spark, sf_dir):
+    """Names of the graph of triples by their nation, the partition that its edges come from."""
+    t = triples(spark, sf_dir)
+    names = graph.canonical_names(t)
+    _, edges = graph.build_graph(t, names)
+    return edges, edges.select(F.explode(F.array("head", "tail")).alias("name"), "paper").groupBy("name").agg(F.min("paper").alias("community"))
+
+
+def partition_modularity(spark, sf_dir):
+    """Modularity of the partition by first paper."""
+    return partition.modularity(*_by_nation(spark, sf_dir)).select("n_edges", "n_inside", "n_communities", six("modularity"))
+
+
+def partition_facts(spark, sf_dir):
+    """The facts within each part of the same partition."""
+    return graph.community_facts(*_by_nation(spark, sf_dir))
 
 
 def similar_names(spark, sf_dir):
@@ -152,9 +174,10 @@ def keyword_sample(spark, sf_dir):
 
 
 def question_check(spark, sf_dir):
-    """The first clause of each benchmark item as a question, checked for length, names and likeness."""
-    rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring_index("text", ".", 1).alias("question"), F.lit("colloquial").alias("style"), F.lit("zz").alias("name"))
-    return evalset.checked(rows)
+    """The first clause of each document and benchmark item as a question, checked for length, names and likeness."""
+    texts = read(spark, sf_dir, "documents").select((F.col("doc_id") * 2).alias("id"), "text").unionByName(read(spark, sf_dir, "benchmark").select((F.col("item_id") * 2 + 1).alias("id"), "text"))
+    style = F.element_at(F.array(*(F.lit(s) for s in evalset.STYLES)), (F.col("id") % 4 + 1).cast("int"))
+    return evalset.checked(texts.select("id", F.substring_index("text", ".", 1).alias("question"), style.alias("style"), F.lit("the").alias("name")))
 
 
 def _figures(spark, sf_dir):
@@ -202,6 +225,8 @@ QUERIES = {
     "connected_components": components,
     "community": communities,
     "community_facts": community_facts,
+    "partition_modularity": partition_modularity,
+    "partition_facts": partition_facts,
     "similar_names": similar_names,
     "percentile_rank": percentile_rank,
     "recent_percentile": recent_percentile,
@@ -224,6 +249,17 @@ names AS (SELECT surface, canonical FROM cnt JOIN best USING (key))"""
 _GRAPH = _TRIPLES + """,
 edges AS (SELECT a.canonical AS head, relation, b.canonical AS tail, regexp_replace(source_id, '_p\\d+.*$', '') AS paper FROM t JOIN names a ON a.surface = t.head JOIN names b ON b.surface = t.tail),
 node AS (SELECT head AS name, paper FROM edges UNION ALL SELECT tail, paper FROM edges)"""
+_PARTITION = "part AS (SELECT name, min(paper) AS community FROM node GROUP BY name)"
+_QUESTION_SQL = """WITH RECURSIVE g AS MATERIALIZED (SELECT doc_id * 2 AS id, text FROM documents UNION ALL SELECT item_id * 2 + 1, text FROM benchmark),
+q AS MATERIALIZED (SELECT id, question, style, 'the' AS name, CASE WHEN length(question) NOT BETWEEN 10 AND 60 THEN 'length' WHEN style IN ('symptom_led', 'colloquial') AND contains(question, 'the') THEN 'name' END AS reason,
+    regexp_replace(question, '[^\\p{L}\\p{N}_]+', '', 'g') AS k
+  FROM (SELECT id, string_split(text, '.')[1] AS question, ['name_led', 'symptom_led', 'colloquial', 'exam_treat'][(id % 4 + 1)::INT] AS style FROM g)),
+p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) AS j, id, list_distinct(list_transform(range(1, length(k)), lambda x: substr(k, x, 2))) AS s FROM q WHERE reason IS NULL AND length(k) >= 2),
+near AS (SELECT b.j, list(a.j) AS near FROM p a JOIN p b ON a.j < b.j AND 10 * len(list_intersect(a.s, b.s)) > 8 * least(len(a.s), len(b.s)) GROUP BY b.j),
+n AS MATERIALIZED (SELECT p.j, coalesce(near, []) AS near FROM p LEFT JOIN near USING (j)),
+r(j, kept, hit) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT UNION ALL
+  SELECT n.j, CASE WHEN len(list_intersect(n.near, r.kept)) = 0 THEN list_append(r.kept, n.j) ELSE r.kept END, list_min(list_intersect(n.near, r.kept)) FROM r JOIN n ON n.j = r.j + 1)
+SELECT q.id, q.question, q.style, q.name, coalesce(q.reason, 'like:' || h.id) AS drop_reason FROM q LEFT JOIN p ON p.id = q.id LEFT JOIN r ON r.j = p.j LEFT JOIN p h ON h.j = r.hit"""
 _ASKED = "vec_id % 100 = 0"
 _TURNED = dense_sql(10, "img", "cosine", _ASKED).replace("embedding::DOUBLE[] AS e", "list_reverse(embedding)::DOUBLE[] AS e")
 ORACLE_SQL = {
@@ -252,6 +288,12 @@ f1 AS (SELECT query_id, 1 AS hop, head, relation, tail, paper FROM edges JOIN s
 s2 AS (SELECT query_id, head AS name FROM f1 UNION SELECT query_id, tail FROM f1 EXCEPT SELECT * FROM s),
 f2 AS (SELECT query_id, 2 AS hop, head, relation, tail, paper FROM edges JOIN s2 ON name IN (head, tail))
 SELECT query_id, min(hop)::INT AS hop, head, relation, tail, arg_min(paper, {{'h': hop, 'p': paper}}) AS paper FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2) GROUP BY query_id, head, relation, tail""",
+    "partition_modularity": f"""WITH {_GRAPH}, {_PARTITION}, e AS (SELECT DISTINCT least(head, tail) AS a, greatest(head, tail) AS b FROM edges WHERE head <> tail),
+x AS (SELECT x.community AS x, y.community AS y FROM e JOIN part x ON x.name = a JOIN part y ON y.name = b), d AS (SELECT c, count(*) AS d FROM (SELECT x AS c FROM x UNION ALL SELECT y FROM x) GROUP BY c)
+SELECT count(*) AS n_edges, count(*) FILTER (WHERE x = y) AS n_inside, (SELECT count(*) FROM d) AS n_communities,
+  floor((count(*) FILTER (WHERE x = y) / count(*) - (SELECT sum(d::DOUBLE * d) FROM d) / (4.0 * count(*) * count(*))) * 1e6 + 0.5) / 1e6 AS modularity FROM x""",
+    "partition_facts": f"""WITH {_GRAPH}, {_PARTITION} SELECT x.community, head, relation, tail FROM edges JOIN part x ON x.name = head JOIN part y ON y.name = tail WHERE head <> tail AND x.community = y.community""",
+    "question_check": _QUESTION_SQL,
     "similar_names": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 near AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a, v b WHERE a.vec_id = b.vec_id OR list_cosine_similarity(a.e, b.e) >= 0.9),
 reach(x, y) AS (SELECT x, y FROM near UNION SELECT reach.x, near.y FROM reach JOIN near ON reach.y = near.x)

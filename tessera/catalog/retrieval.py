@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import bm25, vectors
+from tessera.operators import bm25, vector_index, vectors
 from tessera.operators.evaluation import bootstrap, compare, leaderboard, long, mean_metrics, permutation_test, rank_metrics
 from tessera.operators.ranking import best_of, fuse, rounded, stratified, top_k
 from tessera.operators.rerank import rerank
@@ -105,6 +105,32 @@ def vector_topk(metric):
     return query
 
 
+def _asked(rows):
+    return rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+
+
+#: Cells of the registered index, and how many of them a query reads.
+CELLS, PROBES = 32, 24
+
+
+def ivf_topk(spark, sf_dir):
+    """The ten nearest of every hundredth vector, in a stored index of 32 cells of which a query reads 24."""
+    rows = read(spark, sf_dir, "embeddings")
+    return vector_index.search(vector_index.store_by_cells(rows, CELLS), _asked(rows), 10, PROBES).select("query_id", "chunk_id", "rank", six("score"))
+
+
+def ivf_all_cells(spark, sf_dir):
+    """The same with all cells read, which is exact."""
+    rows = read(spark, sf_dir, "embeddings")
+    return vector_index.search(vector_index.store_by_cells(rows, CELLS), _asked(rows), 10, CELLS).select("query_id", "chunk_id", "rank", six("score"))
+
+
+def filtered_topk(spark, sf_dir):
+    """The ten nearest among the vectors with the query's own label, from a store by label."""
+    rows = read(spark, sf_dir, "embeddings")
+    return vector_index.search(vector_index.store_by(rows, "label"), _asked(rows), 10, list_col="label").select("query_id", "chunk_id", "rank", six("score"))
+
+
 def semantic_cache_lookup(spark, sf_dir):
     """Every hundredth vector asks a cache of all others."""
     rows = read(spark, sf_dir, "embeddings")
@@ -292,6 +318,9 @@ QUERIES = {
     "vector_topk_cosine": vector_topk("cosine"),
     "vector_topk_l2": vector_topk("l2"),
     "vector_topk_ip": vector_topk("ip"),
+    "ivf_topk": ivf_topk,
+    "ivf_all_cells": ivf_all_cells,
+    "filtered_topk": filtered_topk,
     "semantic_cache_lookup": semantic_cache_lookup,
     "hash_embed": hash_embed,
     "rrf_fusion": rrf_fusion,
@@ -327,6 +356,10 @@ ORACLE_SQL = {
     "vector_topk_cosine": _vector_sql("cosine"),
     "vector_topk_l2": _vector_sql("l2"),
     "vector_topk_ip": _vector_sql("ip"),
+    "ivf_all_cells": _vector_sql("cosine"),
+    "filtered_topk": f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, list_cosine_similarity(a.e, b.e) AS score FROM v a JOIN v b USING (label) WHERE a.vec_id % 100 = 0)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY floor(score * 1e9 + 0.5) / 1e9 DESC, chunk_id) AS rank, {r6('score')} AS score FROM s QUALIFY rank <= 10""",
     "semantic_cache_lookup": f"WITH {dense_sql(1, 'den', 'cosine', _QUERY_VECTORS, 'vec_id % 100 <> 0')} SELECT query_id, chunk_id, {r6('score')} AS score, score >= 0.9 AS hit FROM den",
     "hash_embed": f"""WITH w AS (SELECT doc_id AS id, ' ' || unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '')) || ' ' AS w FROM documents),
 g AS (SELECT id, unnest(list_concat(CASE WHEN true THEN list_transform(range(1, greatest(length(w) - 1, 1) + 1), lambda i: substr(w, i, 2)) END,

@@ -8,6 +8,7 @@ from tessera.catalog.retrieval import BM25_SQL, TOKEN_SQL, chunks, lexical, lexi
 from tessera.functions import text as T
 from tessera.operators import chunking, evaluation, generation, rewriting
 from tessera.operators.ranking import rounded
+from tessera.storage import spread
 
 
 def chunked(strategy, prepend):
@@ -38,7 +39,7 @@ def parent_documents(spark, sf_dir):
 def text_functions(spark, sf_dir):
     """The scalar functions over every document."""
     t = F.col("text")
-    return read(spark, sf_dir, "documents").select(
+    return spread(read(spark, sf_dir, "documents")).select(
         "doc_id", F.size(T.tokenize(t)).alias("n_tokens"), F.md5(T.clean_text(t)).alias("cleaned"), T.snippet(t, 80).alias("snippet"),
         T.stable_id(F.concat("source", F.lit("/"), t)).alias("slug"), T.cache_key(F.col("doc_id"), t).alias("key"),
         F.size(T.split_list(t)).alias("n_parts"), F.size(T.bigrams(t)).alias("n_bigrams"),

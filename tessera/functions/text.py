@@ -65,11 +65,18 @@ def without_unit(ref_range: Column, unit: Column) -> Column:
     return F.when(tail, F.rtrim(F.left(ref_range, F.length(ref_range) - F.length(unit)))).otherwise(ref_range)
 
 
+def characters(text: Column) -> Column:
+    """The characters of a text, in one pass over it."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
 def bigrams(text: Column) -> Column:
     """The set of character pairs; one character is its own set, nothing an empty one."""
-    n = F.length(text)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
-    return F.when(n >= 2, F.array_distinct(pairs)).when(n == 1, F.array(text)).otherwise(F.array().cast("array<string>"))
+
+    def pairs(c: Column) -> Column:
+        return F.when(F.size(c) >= 2, F.array_distinct(F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda x, y: F.concat(x, y)))).otherwise(c)
+
+    return let(characters(text), pairs)
 
 
 def question_bigrams(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -161,24 +163,59 @@ def permutation_test(a: DataFrame, b: DataFrame, permutations: int = 10_000, see
     return groups.join(counted, "metric").select("metric", F.when(differs, total / F.size("d")).otherwise(0.0).alias("mean_diff"), p.alias("p_value"))
 
 
+class NotExact(ValueError):
+    """So many differences, on so fine a scale, that their sign flips can't be counted exactly."""
+
+
+#: Decimals at which sums are told apart; distinct sums that are counted one by one; differences whose sums are listed in halves.
+DECIMALS, MOST_SUMS, MOST_LISTED = 9, 1 << 24, 44
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    """The sums of all sign flips, in order."""
+    sums = np.zeros(1, np.int64)
+    for v in values:
+        low, high = sums - v, sums + v
+        sums = np.sort(np.concatenate([low, high]), kind="stable")  # two sorted runs: one merge
+    return sums
+
+
 def exact_p(differences: np.ndarray) -> float:
-    """Share of all sign flips whose sum is as far from 0 as that of the differences: the distribution of sums is built up one
-    difference after the other, equal sums together, so that its size is the number of distinct sums and not 2**n."""
-    sums: dict[float, int] = {0.0: 1}
-    for d in differences:
-        after: dict[float, int] = {}
-        for s, n in sums.items():
-            for t in (s + d, s - d):
-                t = round(t, 9)
-                after[t] = after.get(t, 0) + n
-        sums = after
-    least = abs(round(float(differences.sum()), 9)) - 1e-9
-    return sum(n for s, n in sums.items() if abs(s) >= least) / 2 ** len(differences)
+    """Share of all sign flips whose sum is as far from 0 as that of the differences. Sums are whole multiples of 10**-DECIMALS.
+
+    Differences on a common scale, as those of metrics are, have few distinct sums: their distribution is built up one
+    difference after the other. Others are cut into halves, whose sums are listed, and pairs of sums counted by binary search, so that
+    2**(n/2) sums stand for 2**n. NotExact is raised where neither will do.
+    """
+    whole = [abs(int(v)) for v in np.rint(np.asarray(differences, np.float64) * 10**DECIMALS)]
+    least, values = abs(int(np.rint(np.asarray(differences, np.float64) * 10**DECIMALS).sum())), [v for v in whole if v]
+    if not values or least == 0:
+        return 1.0
+    unit = math.gcd(*values)
+    values, least = sorted((v // unit for v in values), reverse=True), least // unit
+    total = sum(values)
+    if total <= MOST_SUMS and total * len(values) <= MOST_SUMS << 10:
+        share = np.zeros(2 * total + 1)
+        share[total] = 1.0
+        reach = 0
+        for v in values:
+            before = share[total - reach : total + reach + 1] / 2
+            share[total - reach : total + reach + 1] = 0
+            share[total - reach - v : total + reach - v + 1] += before
+            share[total - reach + v : total + reach + v + 1] += before
+            reach += v
+        return float(min(1.0, share[: total - least + 1].sum() + share[total + least :].sum()))
+    if len(values) > MOST_LISTED or total >= 1 << 62:
+        raise NotExact(f"{len(values)} differences with {2 * total + 1} possible sums")
+    a, b = _sums(np.array(values[::2], np.int64)), _sums(np.array(values[1::2], np.int64))
+    # sums are symmetric around 0, so those of -least or less are as many as those of least or more
+    far = sum(int((len(b) - np.searchsorted(b, least - part, side="left")).sum()) for part in np.array_split(a, max(1, len(a) >> 18)))
+    return min(1.0, 2 * far / 2 ** len(values))
 
 
 def exact_permutation(differences: DataFrame, keys: tuple[str, ...], value: str = "diff") -> DataFrame:
-    """(keys, n, mean_diff, p_value): all 2**n sign flips of each group's differences, without sampling, for groups of any size.
-    Sums are told apart to nine decimals; differences on a common scale, as those of metrics are, have few distinct sums."""
+    """(keys, n, mean_diff, p_value): all 2**n sign flips of each group's differences, without sampling: any number of differences on a
+    common scale (up to 2**24 distinct sums), up to 44 others; beyond both the job fails with NotExact. Nulls are left out."""
     groups = differences.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("d"))
 
     @F.pandas_udf("double")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import json_array, norm_key, paper_of
 from tessera.operators.components import connected_components
-from tessera.operators.vectors import search
+from tessera.operators.vector_index import similar_links
 from tessera.storage import Workspace
 
 #: Spellings of known entities, types that are kept, names that are no entity.
@@ -56,20 +53,14 @@ def canonical_names(triples: DataFrame, aliases: DataFrame | None = None) -> Dat
     return counted.join(named.select("key", F.coalesce("canonical", "mode").alias("canonical")), "key").select("surface", "canonical")
 
 
-def merge_similar(names: DataFrame, threshold: float = 0.9, neighbours: int = 50) -> DataFrame:
+def merge_similar(names: DataFrame, threshold: float = 0.9) -> DataFrame:
     """names (name, embedding) -> (name, canonical): components of the graph of names whose cosine reaches the threshold;
-    the shortest name stands for each. Every name is held against all others; ``neighbours`` links of a name suffice to
-    connect it, and the cut is widened until no name's last kept neighbour reaches the threshold."""
+    the shortest name stands for each. Names without a vector stand alone."""
     work = Workspace(names.sparkSession, "merge-similar")
     # names with one vector are alike before any comparison, so that a large group of them isn't compared in pairs
-    keyed = work.save(names.select(F.xxhash64(F.col("embedding").cast("string")).alias("vec_id"), "name", "embedding"), "names")
+    keyed = work.save(names.select(F.xxhash64(F.coalesce(F.col("embedding").cast("string"), F.col("name"))).alias("vec_id"), "name", "embedding"), "names")
     distinct = work.save(keyed.groupBy("vec_id").agg(F.any_value("embedding").alias("embedding")), "vectors")
-    while True:
-        near = work.save(search(distinct, distinct.withColumnRenamed("vec_id", "query_id"), neighbours, "cosine"), "near")
-        if near.where((F.col("rank") == neighbours) & (F.col("score") >= threshold)).isEmpty():
-            break
-        neighbours *= 4
-    found = connected_components(near.where(F.col("score") >= threshold).select(F.col("query_id").alias("src"), F.col("chunk_id").alias("dst")), work)
+    found = connected_components(similar_links(distinct, threshold, work), work)
     joined = keyed.join(found, keyed["vec_id"] == found["node"], "left").withColumn("component", F.coalesce("component", "vec_id"))
     shortest = joined.groupBy("component").agg(F.min_by("name", F.struct(F.length("name"), "name")).alias("canonical"))
     return joined.join(shortest, "component").select("name", "canonical")
@@ -138,50 +129,6 @@ def gather_facts(edges: DataFrame, entities: DataFrame, hops: int = 1) -> DataFr
     return first.select("query_id", F.col("f.hop").alias("hop"), "head", "relation", "tail", F.col("f.paper").alias("paper"))
 
 
-def greedy_modularity(edges: list[tuple[str, str]]) -> list[list[str]]:
-    """Communities of one undirected simple graph: the pair of communities whose merger raises modularity most is merged,
-    the smallest names first among equals, until no merger raises it. Largest communities first."""
-    pairs = {(min(e), max(e)) for e in edges if e[0] != e[1]}
-    m, degree, near = len(pairs), defaultdict(int), defaultdict(lambda: defaultdict(int))
-    for a, b in pairs:
-        degree[a] += 1
-        degree[b] += 1
-        near[a][b] += 1
-        near[b][a] += 1
-    members = {v: [v] for v in degree}
-    while True:
-        # gain of a merger, times 2 m squared, in whole numbers
-        best = min(((-(2 * m * w - degree[a] * degree[b]), a, b) for a in sorted(members) for b, w in near[a].items() if a < b), default=None)
-        if best is None or best[0] >= 0:
-            break
-        _, a, b = best
-        members[a] += members.pop(b)
-        degree[a] += degree.pop(b)
-        for c, w in near.pop(b).items():
-            near[c].pop(b, None)
-            if c != a:
-                near[a][c] += w
-                near[c][a] += w
-    return sorted((sorted(x) for x in members.values()), key=lambda x: (-len(x), x))
-
-
-def communities(edges: DataFrame, least: int = 2) -> DataFrame:
-    """(community, name): greedy modularity within each connected component; communities of fewer than ``least`` are left out.
-
-    Components are found in a distributed way; one component is then one task, as the greedy order asks for. ``community``
-    is its smallest name. Modularity is that of the component, so that the result doesn't depend on the rest of the graph.
-    """
-    simple = edges.where("head <> tail").select(F.least("head", "tail").alias("head"), F.greatest("head", "tail").alias("tail")).distinct()
-    component = connected_components(simple.select(F.col("head").alias("src"), F.col("tail").alias("dst")))
-    rows = simple.join(component, simple["head"] == component["node"]).select("component", "head", "tail")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = greedy_modularity(list(zip(pdf["head"], pdf["tail"], strict=True)))
-        return pd.DataFrame([(c[0], v) for c in found if len(c) >= least for v in c], columns=["community", "name"])
-
-    return rows.groupBy("component").applyInPandas(one, "community string, name string")
-
-
 def community_facts(edges: DataFrame, members: DataFrame) -> DataFrame:
     """(community, head, relation, tail): edges whose ends are two members of one community."""
     a = members.select(F.col("community"), F.col("name").alias("head"))

@@ -6,16 +6,18 @@ and query reach the shuffle. Scores are similarities: the cosine, the inner prod
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip
 from tessera.operators.ranking import DIGITS, top_k
-from tessera.storage import Workspace
+from tessera.storage import spread
 
 #: Query vectors held in a task at once.
 BLOCK = 1024
@@ -73,37 +75,87 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
     return top_k(every, k).select("query_id", "chunk_id", "rank", "score")
 
 
-def hash_features(docs: DataFrame, id_col: str, text_col: str, dimension: int = 768, shortest: int = 2, longest: int = 4) -> DataFrame:
-    """(id, bucket, value): character n-grams within words, hashed to buckets and scaled to unit length.
+#: Words and n-grams whose buckets a worker remembers.
+REMEMBERED = 1 << 18
+
+
+class _Buckets:
+    """The buckets of a word's n-grams. Words are padded with a space on both sides; a padded word no longer than n gives itself
+    once, at the first n that reaches it."""
+
+    def __init__(self, dimension: int, shortest: int, longest: int):
+        self.dimension, self.lengths = dimension, range(shortest, longest + 1)
+        self.words: dict[str, np.ndarray] = {}
+        self.grams: dict[str, int] = {}
+
+    def bucket(self, gram: str) -> int:
+        if (found := self.grams.get(gram)) is None:
+            if len(self.grams) >= REMEMBERED:
+                self.grams.clear()
+            found = self.grams[gram] = int(hashlib.md5(gram.encode(), usedforsecurity=False).hexdigest()[:8], 16) % self.dimension
+        return found
+
+    def of(self, word: str) -> np.ndarray:
+        if (found := self.words.get(word)) is None:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            p = f" {word} "
+            lengths = [n for n in self.lengths if len(p) >= n or n == self.lengths[0]]
+            found = self.words[word] = np.array([self.bucket(p[i : i + n]) for n in lengths for i in range(max(1, len(p) - n + 1))], np.int64)
+        return found
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, n-grams in each) of a text, by bucket."""
+        held = Counter(w for w in text.split(" ") if w)
+        found = [self.of(w) for w in held]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0)
+        times = np.repeat(np.fromiter(held.values(), np.float64, len(held)), [len(f) for f in found])
+        every = np.concatenate(found)
+        if self.dimension > 1 << 16:
+            buckets, place = np.unique(every, return_inverse=True)
+            return buckets, np.bincount(place, times)
+        n = np.bincount(every, times, self.dimension)
+        buckets = np.nonzero(n)[0]
+        return buckets, n[buckets]
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str, dimension: int, shortest: int, longest: int, dense: bool) -> DataFrame:
+    """One narrow pass: texts are cleaned by Spark, and hashed in Arrow batches."""
+    clean = F.regexp_replace(F.lower(strip(F.coalesce("text", F.lit("")))), r"\s+", " ")
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", clean.alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        buckets = _Buckets(dimension, shortest, longest)
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                found = [buckets.counts(t) for t in part.column("text").to_pylist()]
+                row = np.repeat(np.arange(len(found)), [len(b) for b, _ in found])
+                bucket = np.concatenate([b for b, _ in found]).astype(np.int64)
+                value = np.concatenate([n / np.sqrt((n * n).sum()) for _, n in found])
+                if dense:
+                    m = np.zeros((len(found), dimension))
+                    m[row, bucket] = value
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * dimension, pa.int32()), pa.array(m.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([part.column("id"), flat], ["id", "embedding"])
+                else:
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(bucket, pa.int32()), pa.array(value)], ["id", "bucket", "value"])
 
-    Words are padded with a space on both sides; a padded word no longer than n gives itself once. The bucket is taken
-    from the first eight hexadecimal digits of the md5, which other engines compute alike.
-    """
-    words = F.filter(F.split(F.regexp_replace(F.lower(strip(F.coalesce(F.col(text_col), F.lit("")))), r"\s+", " "), " "), lambda w: w != "")
-    held = docs.select(F.col(id_col).alias("id"), F.explode(words).alias("w")).groupBy("id", "w").agg(F.count("*").alias("times"))
-    held = Workspace(docs.sparkSession, "hash-features").save(held, "words")
-    padded = held.select("w").distinct().select("w", F.concat(F.lit(" "), "w", F.lit(" ")).alias("p"))
+    return rows.mapInArrow(run, f"id {kind}, " + ("embedding array<double>" if dense else "bucket int, value double"))
 
-    def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length("p") - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substring("p", i, F.lit(n)))
 
-    # a word shorter than n is taken once, at the first n that reaches it
-    lists = [F.when((F.length("p") > n) | (F.lit(n) == shortest) | (F.length("p") == n), grams(n)).otherwise(F.array().cast("array<string>")) for n in range(shortest, longest + 1)]
-    # each distinct word is hashed once, wherever it comes
-    bucket = lambda g: F.pmod(F.conv(F.left(F.md5(g), F.lit(8)), 16, 10).cast("long"), F.lit(dimension)).cast("int")
-    hashed = padded.select("w", F.transform(F.concat(*lists), bucket).alias("buckets"))
-    counts = held.join(hashed, "w").select("id", "times", F.explode("buckets").alias("bucket")).groupBy("id", "bucket").agg(F.sum("times").alias("n"))
-    norms = counts.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
-    return counts.join(norms, "id").select("id", "bucket", (F.col("n") / F.col("norm")).alias("value"))
+def hash_features(docs: DataFrame, id_col: str, text_col: str, dimension: int = 768, shortest: int = 2, longest: int = 4) -> DataFrame:
+    """(id, bucket, value), a row for each bucket that isn't empty: character n-grams within words, hashed to buckets and scaled to unit
+    length. The bucket is taken from the first eight hexadecimal digits of the md5, which other engines compute alike. Each row of
+    docs is embedded for itself, without a shuffle."""
+    return _hashed(docs, id_col, text_col, dimension, shortest, longest, False)
 
 
 def hash_embed(docs: DataFrame, id_col: str, text_col: str, dimension: int = 768) -> DataFrame:
     """(id, embedding): hash_features() as dense vectors; texts without a word have zeros only."""
-    sparse = hash_features(docs, id_col, text_col, dimension).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
-    every = docs.select(F.col(id_col).alias("id")).join(sparse, "id", "left")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return every.select("id", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dimension)).otherwise(dense).alias("embedding"))
+    return _hashed(docs, id_col, text_col, dimension, 2, 4, True)
 
 
 def cache_lookup(cache: DataFrame, queries: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -38,6 +38,13 @@ def share_code(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df with a task for every core: where a small table lies in fewer splits than that, its rows are dealt out; a larger one is left as
+    it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _SCOPES: list[list[Workspace]] = []
 
 

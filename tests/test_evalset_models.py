@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -33,3 +35,51 @@ def test_traces(spark):
     usage = spark.createDataFrame([("t", "m", 5, 6), ("t", "m", 1, 1)], "trace_id string, model string, prompt_tokens int, completion_tokens int")
     got = {r.trace_id: r for r in models.trace_summary(spans, usage).collect()}
     assert got["t"].total_ms == 6.0 and got["t"].stages == {"a": 5.0, "b": 1.0} and got["t"].usage["m"].prompt == 6 and got["u"].usage is None
+
+
+def greedy(rows):
+    """The loop that checked() must agree with: each question against those kept before it."""
+    kept, out = [], []
+    for i, question, style, name in rows:
+        letters = "".join(c for c in question if c.isalnum() or c == "_")
+        pairs = {letters[k : k + 2] for k in range(len(letters) - 1)}
+        reason = "length" if not 10 <= len(question) <= 60 else "name" if style in evalset.HIDDEN_NAME and name and name in question else None
+        if reason is None and pairs:
+            reason = next((f"like:{j}" for other, j in kept if 10 * len(pairs & other) > 8 * min(len(pairs), len(other))), None)
+            if reason is None:
+                kept.append((pairs, i))
+        out.append((i, reason))
+    return out
+
+
+def questions_of(n, seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzé病", k=rng.randint(2, 7))) for _ in range(400)]
+    rows = []
+    for i in range(n):
+        kind = rng.random()
+        if kind < 0.35 and rows:  # an earlier question with a word more, less or changed
+            parts = rng.choice(rows)[1].split(" ")
+            parts[rng.randrange(len(parts))] = rng.choice([*words, ""])
+            text = " ".join(parts)
+        elif kind < 0.5:
+            text = f"how is the case number {rng.randrange(500)} treated"
+        elif kind < 0.53:
+            text = rng.choice(["??????? aa ???", "............", "? a ? b ? c ?", "aaaaaaaaaaaa"])
+        else:
+            text = " ".join(rng.choices(words, k=rng.randint(1, 9)))
+        rows.append((i, text, rng.choice(evalset.STYLES), rng.choice([None, "", words[0]])))
+    return rows
+
+
+def test_question_check_equals_the_loop(spark, monkeypatch):
+    schema = "id int, question string, style string, name string"
+    for n, candidates in ((5000, evalset.CANDIDATES), (600, 1)):  # few allowed candidates: leaders go first
+        monkeypatch.setattr(evalset, "CANDIDATES", candidates)
+        rows = questions_of(n, n)
+        got = evalset.checked(spark.createDataFrame(rows, schema).repartition(5)).collect()
+        assert sorted((r.id, r.drop_reason) for r in got) == greedy(rows)
+    odd = [(None, None, None, None), (1, "", "x", "y"), (2, "é" * 12, "x", None), (2, "é" * 12, "x", None), (3, "é" * 13, "x", None)]
+    got = sorted((str(r.id), str(r.drop_reason)) for r in evalset.checked(spark.createDataFrame(odd, schema)).collect())
+    assert got == [("1", "length"), ("2", "None"), ("2", "like:2"), ("3", "like:2"), ("None", "length")]
+    assert evalset.checked(spark.createDataFrame([], schema)).count() == 0

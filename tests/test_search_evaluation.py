@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import bm25, vectors
@@ -177,3 +178,16 @@ def test_registered_resamples_are_the_default(spark, sf):
     values = retrieval.long(retrieval.metrics_of(spark, sf, retrieval.lexical(spark, sf)), "bm25_only")
     want = ev.bootstrap(values, ("stage", "metric"), 10_000)
     assert sorted(retrieval.bootstrap_ci(spark, sf).collect()) == sorted(want.collect())
+
+
+def test_exact_p_of_real_differences():
+    """Against all sign flips at 16, and in halves beyond what can be listed."""
+    rng = np.random.default_rng(3)
+    for d in (rng.normal(size=16), rng.choice([0.0, 1 / 3, -0.5, 1.0], 14), np.zeros(3), rng.integers(-9, 9, 15) / 10):
+        whole = np.rint(d * 1e9).astype(np.int64)
+        sums = np.array(list(itertools.product((1, -1), repeat=len(d))), np.int64) @ whole
+        assert math.isclose(ev.exact_p(d), (np.abs(sums) >= abs(whole.sum())).mean(), abs_tol=1e-12)
+    assert 0 < ev.exact_p(rng.normal(size=40)) <= 1
+    assert 0 < ev.exact_p(rng.integers(-50, 50, 2000) / 100) <= 1
+    with pytest.raises(ev.NotExact):
+        ev.exact_p(rng.normal(size=60))

@@ -103,3 +103,12 @@ def test_rewriting(spark):
     assert [(s.vector_text, s.bm25_text) for s in specs] == [("拉肚子 吗 腹泻", "拉肚子 腹泻"), ("one", "one"), ("two", "two")]
     hyde = rewriting.retrieval_queries(queries, mode="hyde", model=lambda q: F.lit("answer")).first()
     assert (hyde.vector_text, hyde.bm25_text) == ("answer", "拉肚子 吗")
+
+
+def test_bigrams_of_long_and_odd_texts(spark):
+    for text in ("", "a", "aa", "é🙂é🙂", "\n\n", None):
+        want = None if text is None else {text[i : i + 2] for i in range(len(text) - 1)} or set(text)
+        got = one(spark, T.bigrams(F.col("a")), a=text)
+        assert (got or set()) == (want or set()) if got is None or want is None else set(got) == want and len(got) == len(want)
+    long = "".join(chr(97 + i * i % 26) for i in range(1_000_000))  # quadratic work would take hours
+    assert one(spark, F.size(T.bigrams(F.col("a"))), a=long) == len({long[i : i + 2] for i in range(len(long) - 1)})
