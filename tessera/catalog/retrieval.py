@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import bm25, vector_index, vectors
+from tessera.operators import block_index, bm25, vector_index, vectors
 from tessera.operators.evaluation import bootstrap, compare, leaderboard, long, mean_metrics, permutation_test, rank_metrics
 from tessera.operators.ranking import best_of, fuse, rounded, stratified, top_k
 from tessera.operators.rerank import rerank
@@ -82,6 +82,12 @@ def bm25_fallback_topk(spark, sf_dir):
     return found.select("query_id", "chunk_id", "rank", six("raw"), six("score"))
 
 
+def bm25_block_topk(spark, sf_dir):
+    """The ten best documents of each benchmark item, by an index of blocks that skips what can't be among them."""
+    found = block_index.search(block_index.build(index(spark, sf_dir)), questions(spark, sf_dir), 10)
+    return found.select("query_id", "chunk_id", "rank", six("raw"), six("score"))
+
+
 def metrics_of(spark, sf_dir, hits):
     return rank_metrics(hits.withColumn("source_id", F.col("chunk_id")), gold(spark, sf_dir))
 
@@ -312,6 +318,7 @@ both_ AS (SELECT c.query_id, c.chunk_id, c.score, coalesce(rs, 0.0) AS rerank_sc
 
 QUERIES = {
     "bm25_topk": bm25_topk,
+    "bm25_block_topk": bm25_block_topk,
     "bm25_fallback_topk": bm25_fallback_topk,
     "bm25_eval": bm25_eval,
     "rank_metrics": rank_metrics_query,
@@ -350,6 +357,7 @@ def _vector_sql(metric: str) -> str:
 _COMPARE = " UNION ALL ".join(f"SELECT '{m.replace('_', '@')}' AS metric, count(*) AS n, {r6(f'avg(a.{m})')} AS mean_a, {r6(f'avg(b.{m})')} AS mean_b, count(*) FILTER (WHERE a.{m} > b.{m}) AS wins, count(*) FILTER (WHERE a.{m} = b.{m}) AS ties, count(*) FILTER (WHERE a.{m} < b.{m}) AS losses FROM ma a JOIN mb b USING (query_id)" for m in METRICS)
 ORACLE_SQL = {
     "bm25_topk": f"WITH {BM25_SQL}, {lexical_sql(10)} {_TOPK}",
+    "bm25_block_topk": f"WITH {BM25_SQL}, {lexical_sql(10)} {_TOPK}",
     "bm25_fallback_topk": f"WITH {BM25_SQL}, {lexical_sql(10, scores='plain')} {_TOPK}",
     "bm25_eval": f"WITH {BM25_SQL}, {lexical_sql(10)}, {GOLD_SQL}, {metrics_sql('lex')} {means_sql('bm25_only')}",
     "rank_metrics": f"WITH {BM25_SQL}, {lexical_sql(10)}, {GOLD_SQL}, {metrics_sql('lex')} SELECT query_id, first_rank, {_M6} FROM m",
