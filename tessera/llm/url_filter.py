@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import let
 from tessera.operators.components import connected_components
 from tessera.storage import Workspace
 
@@ -40,7 +41,7 @@ def rule_table(spark: SparkSession, rules: DataFrame | list[tuple[str, str]]) ->
     return named.select("host", "folder", F.col("path").substr(F.length("folder") + 1, F.length("path")).alias("rest"), "rule", "verdict")
 
 
-def fitting_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def fitting_rules(urls: DataFrame, rules: DataFrame, work: Workspace) -> DataFrame:
     """(host, path, own): the longest rule that fits each distinct host and path, as a struct (rule, verdict); those that no
     rule fits have no row. rules: a rule_table().
 
@@ -48,7 +49,7 @@ def fitting_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     what follows as its rest. Hosts and folders are joined as keys with the lengths that rests under them have, then rests.
     """
     depth = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("labels"), F.max(F.size(F.split("folder", "/"))).alias("folders")).first()
-    lengths = rules.groupBy("host", "folder").agg(F.collect_set(F.length("rest")).alias("lengths"))
+    lengths = work.save(rules.groupBy("host", "folder").agg(F.collect_set(F.length("rest")).alias("lengths")), "lengths")
     labels, parts = F.split("host", r"\."), F.split("path", "/")
     n_labels = F.least(F.size(labels), F.lit(depth["labels"] or 1))
     n_parts = F.least(F.size(parts) - 1, F.lit(depth["folders"] or 0))
@@ -82,24 +83,31 @@ def without_dots(path: Column) -> Column:
         up = F.when(F.size(kept) > 1, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
         return F.when(part == ".", kept).when(part == "..", up).otherwise(F.concat(kept, F.array(part)))
 
-    joined = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.when(path.rlike(r"/\.\.?$"), F.concat(joined, F.lit("/"))).otherwise(joined)).otherwise(path)
+    def of(p):
+        joined = F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step), "/")
+        return F.when(p.rlike(r"(^|/)\.\.?(/|$)"), F.concat(joined, F.when(p.rlike(r"/\.\.?$"), "/").otherwise(""))).otherwise(p)
+
+    return let(path, of)
+
+
+def _parts(url: Column) -> Column:
+    return F.struct(*(F.regexp_extract(url, REFERENCE, k).alias(name) for k, name in enumerate(("scheme", "authority", "path", "query"), 1)))
 
 
 def resolved(link: Column, base: Column) -> Column:
     """A reference as an absolute url, by the rules for resolving it against base. Null if base has no ://, or for a link whose
-    scheme takes no host (mailto, javascript)."""
-    scheme, authority, path, query = (F.regexp_extract(link, REFERENCE, k) for k in (1, 2, 3, 4))
-    b_scheme, b_authority, b_path, b_query = (F.regexp_extract(base, REFERENCE, k) for k in (1, 2, 3, 4))
-    folder = F.when(b_path == "", F.lit("/")).otherwise(F.regexp_extract(b_path, r"^(?s:.*/)?", 0))
-    relative = (
-        F.when(authority != "", F.concat(b_scheme, authority, without_dots(path), query))
-        .when(path == "", F.concat(b_scheme, b_authority, b_path, F.when(query != "", query).otherwise(b_query)))
-        .when(path.startswith("/"), F.concat(b_scheme, b_authority, without_dots(path), query))
-        .otherwise(F.concat(b_scheme, b_authority, without_dots(F.concat(folder, path)), query))
-    )
-    absolute = F.when(authority != "", F.concat(scheme, authority, without_dots(path), query))
-    return F.when(scheme != "", absolute).when(F.contains(base, F.lit("://")), relative)
+    scheme takes no host (mailto, javascript). Parts are named once, so that the expression stays small."""
+
+    def of(r, b):
+        own, alone = r["authority"] != "", (r["authority"] == "") & (r["path"] == "")
+        folder = F.when(b["path"] == "", F.lit("/")).otherwise(F.regexp_extract(b["path"], r"^(?s:.*/)?", 0))
+        path = F.when(alone, b["path"]).otherwise(without_dots(F.when(own | r["path"].startswith("/"), r["path"]).otherwise(F.concat(folder, r["path"]))))
+        query = F.when(alone & (r["query"] == ""), b["query"]).otherwise(r["query"])
+        whole = F.concat(F.when(r["scheme"] != "", r["scheme"]).otherwise(b["scheme"]), F.when(own, r["authority"]).otherwise(b["authority"]), path, query)
+        return F.when(F.when(r["scheme"] != "", own).otherwise(b["known"]), whole)
+
+    known = F.coalesce(F.contains(base, F.lit("://")), F.lit(False))
+    return let(_parts(link), lambda r: let(let(_parts(F.coalesce(base, F.lit(""))), lambda b: b.withField("known", known)), lambda b: of(r, b)))
 
 
 #: Names of character references that a url may be written with.
@@ -119,13 +127,16 @@ def decoded(link: Column) -> Column:
         character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         return F.when(found.startswith("&#"), F.when(valid, character).otherwise(found)).otherwise(F.coalesce(names[F.regexp_extract(found, "[A-Za-z]+", 0)], found))
 
-    pieces = F.arrays_zip(F.split(link, _CHARACTER, -1).alias("gap"), F.regexp_extract_all(link, F.lit(_CHARACTER), F.lit(0)).alias("found"))
-    whole = F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(one(p["found"]), F.lit("")))), "")
-    return F.regexp_replace(F.when(F.contains(link, F.lit("&")), whole).otherwise(link), r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\r\n]", "")
+    def whole(x):
+        pieces = F.arrays_zip(F.split(x, _CHARACTER, -1).alias("gap"), F.regexp_extract_all(x, F.lit(_CHARACTER), F.lit(0)).alias("found"))
+        replaced = F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(one(p["found"]), F.lit("")))), "")
+        return F.regexp_replace(F.when(F.contains(x, F.lit("&")), replaced).otherwise(x), r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\r\n]", "")
+
+    return let(link, whole)
 
 
 #: What holds no tags of the page; the tags of canonical links, refreshes and bases; where each has its target.
-NO_TAGS = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\z)"
+NO_TAGS = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\z)"
 CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?[^"'>]*\bcanonical\b[^>]*>"""
 HREF = r"""(?i)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
@@ -137,16 +148,20 @@ def _href(tag: Column) -> Column:
     return F.concat(*(F.regexp_extract(tag, HREF, k) for k in (1, 2, 3)))
 
 
-def links_of(pages: DataFrame) -> DataFrame:
+def links_of(pages: DataFrame, work: Workspace) -> DataFrame | None:
     """(from_url, to_url): all canonical links and refresh redirects in the html of pages (url, html), comments and scripts
-    left out, resolved against the page's base."""
+    left out, resolved against the page's base; None if there are none. What stands in the tags is written first, for the few pages
+    that have any; only then are references decoded and resolved."""
     with_links = pages.where(F.col("html").rlike(CANONICAL) | F.col("html").rlike(REFRESH))
     seen = with_links.select("url", F.regexp_replace("html", NO_TAGS, "").alias("html"))
     canonical = F.transform(F.regexp_extract_all("html", F.lit(CANONICAL), F.lit(0)), _href)
     refresh = F.transform(F.regexp_extract_all("html", F.lit(REFRESH), F.lit(0)), lambda tag: F.regexp_extract(tag, REFRESH_URL, 1))
-    base = decoded(_href(F.regexp_extract("html", BASE, 0)))
-    found = seen.select("url", base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("link")).select("url", "base", decoded(F.col("link")).alias("link")).where("link <> ''")
-    against = found.select("url", "link", F.when(F.col("base") != "", resolved(F.col("base"), F.col("url"))).otherwise(F.col("url")).alias("base"))
+    base = let(F.regexp_extract("html", BASE, 0), _href)
+    found = work.save(seen.select("url", base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("link")).where("link <> ''").distinct(), "tags")
+    if found.isEmpty():
+        return None
+    read = work.save(found.select("url", decoded(F.col("base")).alias("base"), decoded(F.col("link")).alias("link")).where("link <> ''"), "decoded")
+    against = work.save(read.select("url", "link", F.when(F.col("base") != "", resolved(F.col("base"), F.col("url"))).otherwise(F.col("url")).alias("base")), "bases")
     return against.select(F.col("url").alias("from_url"), resolved(F.col("link"), F.col("base")).alias("to_url")).where("to_url is not null")
 
 
@@ -163,18 +178,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame | list[tuple[str, str]], redir
     work = Workspace(spark, "url-filter")
     table = work.save(rule_table(spark, rules), "rules")
     page = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), (F.col(html_col) if html_col else F.lit(None).cast("string")).alias("html"))
-    found = [links_of(page.select("url", "html"))] if html_col else []
+    found = [f for f in [links_of(page.select("url", "html"), work) if html_col else None] if f is not None]
     if redirects is not None:
         found.append(redirects.select("from_url", "to_url"))
     urls = page.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
-    judged = urls.join(fitting_rules(urls, table), ["host", "path"], "left")
+    # written first, so that the join has plain exchanges, and a host and path that very many pages have can be split
+    judged = urls.join(work.save(fitting_rules(urls, table, work), "fitting"), ["host", "path"], "left")
     edges = work.save(reduce(DataFrame.unionByName, found).distinct(), "links") if found else None
     if edges is None or edges.isEmpty():  # nothing has an alias
         return judged.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", F.lit(ALLOW)).alias("verdict"))
     ends = edges.select("from_url").unionByName(edges.select(F.col("to_url").alias("from_url"))).distinct()
     ends = ends.select(host_of(F.col("from_url")).alias("host"), path_of(F.col("from_url")).alias("path"), node_of(F.col("from_url")).alias("node")).where("node is not null")
     own = F.col("own.verdict")
-    nodes = ends.join(fitting_rules(ends, table), ["host", "path"]).groupBy("node").agg(F.max(own == ALLOW).alias("allow"), F.max(own == BLOCK).alias("block"))
+    nodes = ends.join(work.save(fitting_rules(ends, table, work), "fitting"), ["host", "path"]).groupBy("node").agg(F.max(own == ALLOW).alias("allow"), F.max(own == BLOCK).alias("block"))
     component = connected_components(edges.select(node_of(F.col("from_url")).alias("src"), node_of(F.col("to_url")).alias("dst")), work)
     decided = component.join(nodes, "node").groupBy("component").agg(F.max("allow").alias("allow"), F.max("block").alias("block"))
     decided = decided.select("component", F.when(F.col("allow"), ALLOW).when(F.col("block"), BLOCK).alias("spread")).where("spread is not null")

@@ -92,3 +92,60 @@ def test_many_rules_against_brute_force(spark):
         fits = [(len(r), len(r.partition("/")[0]), r, v) for r, v in rules if ("." + host).endswith("." + r.partition("/")[0]) and ("/" + path).startswith("".join(r.partition("/")[1:]))]
         assert got[k] == (max(fits)[2:] if fits else (None, "allow"))
     assert got[None] == (None, "allow")
+
+
+def test_redirects_within_noscript(spark):
+    pages = [(1, "http://q.info/1", '<noscript><meta http-equiv="refresh" content="0;url=http://b.org/es/1"></noscript>'), (2, "http://q.info/2", "<noscript>no link</noscript>")]
+    assert {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(pages, SCHEMA), URL_RULES).collect()} == {1: "block", 2: "allow"}
+
+
+def test_many_linked_pages_against_brute_force(spark):
+    """5000 pages, most of them linked in chains and stars, a third of them with one url."""
+    import random
+
+    rng = random.Random(9)
+    urls = [f"http://s{rng.randrange(900)}.{rng.choice(['info', 'info', 'info', 'com', 'net', 'org', 'example.com'])}/{rng.choice(['en', 'de', 'es', 'x'])}/{rng.randrange(90)}" for _ in range(3000)]
+    pages, edges = [], []
+    for k in range(5000):
+        url, html = "http://hot.info/index?id=7" if k % 3 == 0 else rng.choice(urls), ""
+        if rng.random() < 0.25:
+            to = rng.choice(urls)
+            html = rng.choice([CANONICAL, REFRESH]).format(to if rng.random() < 0.7 else to[5:])
+            edges.append((url, to))
+        pages.append((k, url, html))
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    node = lambda u: u.partition("://")[2]
+    for a, b in edges:
+        parent[root(node(a))] = root(node(b))
+
+    def rule(n):
+        host, _, path = n.partition("/")
+        fits = [(len(r), r, v) for v, r in URL_RULES if ("." + host).endswith("." + r.partition("/")[0]) and ("/" + path.partition("?")[0]).startswith("/" + r.partition("/")[2])]
+        return max(fits)[1:] if fits else (None, None)
+
+    spread = {}
+    for n in list(parent):
+        if rule(n)[1]:
+            spread.setdefault(root(n), set()).add(rule(n)[1])
+    want = {}
+    for k, url, _ in pages:
+        r, v = rule(node(url))
+        others = spread.get(root(node(url)), set())
+        want[k] = (r, v or ("allow" if "allow" in others or not others else "block"))
+    df = spark.createDataFrame(pages, SCHEMA)
+    assert {r.page_id: (r.rule, r.verdict) for r in judge_urls(df, URL_RULES).collect()} == want
+    assert len({v for _, v in want.values()}) == 2
+
+
+def test_expressions_stay_small(spark, sf):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("a", "http://b")], "link string, base string")
+    plan = rows.select(resolved(decoded(F.col("link")), F.col("base")).alias("u"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000
