@@ -47,6 +47,11 @@ def bridge_entities(spark, sf_dir):
     return graph.bridges(the_graph(spark, sf_dir)[1])
 
 
+def hub_neighbours(spark, sf_dir):
+    """The relations of the entity with most edges."""
+    return graph.hub_neighbours(the_graph(spark, sf_dir)[1])
+
+
 def entity_linking(spark, sf_dir):
     """Nodes named in questions about every nation."""
     nodes, _ = the_graph(spark, sf_dir)
@@ -220,6 +225,7 @@ QUERIES = {
     "graph_nodes": graph_nodes,
     "degree_topk": degree_topk,
     "bridge_entities": bridge_entities,
+    "hub_neighbours": hub_neighbours,
     "entity_linking": entity_linking,
     "khop_facts": khop_facts,
     "connected_components": components,
@@ -280,6 +286,13 @@ LEFT JOIN embeddings f ON f.vec_id = cap.chunk_id WHERE w.vec_id % 100 = 0 GROUP
     "graph_nodes": f"WITH {_GRAPH} SELECT name, string_agg(DISTINCT paper, ',' ORDER BY paper) AS papers FROM node GROUP BY name",
     "degree_topk": f"WITH {_GRAPH} SELECT name, count(*) AS degree FROM node GROUP BY name ORDER BY degree DESC, name LIMIT 10",
     "bridge_entities": f"WITH {_GRAPH} SELECT name, count(DISTINCT paper) AS n_papers FROM node GROUP BY name HAVING n_papers > 1",
+    "hub_neighbours": f"""WITH {_GRAPH}, h AS (SELECT name AS hub FROM node GROUP BY name ORDER BY count(*) DESC, name LIMIT 1)
+SELECT DISTINCT * FROM (SELECT hub, 'out' AS direction, relation, tail AS name FROM edges JOIN h ON hub = head UNION ALL SELECT hub, 'in', relation, head FROM edges JOIN h ON hub = tail)""",
+    "connected_components": """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT l_orderkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem),
+both_ AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+cc(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM both_ GROUP BY a UNION
+  SELECT n.b, min(n.c) FROM (SELECT both_.b, cc.component AS c FROM cc JOIN both_ ON both_.a = cc.node) n JOIN recurring.cc r ON r.node = n.b WHERE n.c < r.component GROUP BY n.b)
+SELECT node, component FROM cc""",
     "entity_linking": f"""WITH {_GRAPH}, k AS (SELECT DISTINCT name, regexp_replace(lower(trim(name)), '[\\s\\-_:：,.()（）]+', '', 'g') AS key FROM node),
 a AS (SELECT n_nationkey AS query_id, regexp_replace(lower('Which parts of N-' || n_nationkey || ' are in R-' || n_regionkey || '?'), '[\\s\\-_:：,.()（）]+', '', 'g') AS q FROM nation)
 SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY length(name) DESC, name) AS place FROM a JOIN k ON contains(q, key) WHERE length(key) >= 2""",

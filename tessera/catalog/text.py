@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.catalog.retrieval import BM25_SQL, TOKEN_SQL, chunks, lexical, lexical_sql, r6, read, six
 from tessera.functions import text as T
-from tessera.operators import chunking, evaluation, generation, rewriting
+from tessera.functions.table_functions import register_all
+from tessera.operators import chunking, evaluation, generation, rewriting, segmentation
 from tessera.operators.ranking import rounded
 from tessera.storage import spread
 
@@ -33,7 +34,23 @@ def parent_documents(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
     made = chunking.make_chunks(docs, "fixed", 360, 80, False)
     hits = lexical(spark, sf_dir, 10).select("query_id", "rank", F.col("chunk_id").cast("string").alias("source_id"))
-    return chunking.parent_documents(hits, made, 5, 4000).select("query_id", "parent_rank", "source_id", F.length("text").alias("n_chars"))
+    return chunking.parent_documents(hits, made, 5, 4000).select("query_id", "parent_rank", "source_id", "text")
+
+
+def chunk_lateral(spark, sf_dir):
+    """chunk_fixed again, by the registered table function in SQL."""
+    register_all(spark)
+    title = F.coalesce(F.col("source"), F.col("doc_id").cast("string"))
+    body = T.clean_text(F.concat(title, F.lit("\n\n"), F.coalesce("text", F.lit(""))))
+    docs = spread(read(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("source_id"), body.alias("body"))
+    return spark.sql("SELECT format_string('%s::chunk_%03d', source_id, chunk_index) AS chunk_id, source_id, chunk_index, piece AS text FROM {docs}, LATERAL fixed_chunks(body, 360, 80)", docs=docs)
+
+
+def segmented_items(spark, sf_dir):
+    """Benchmark items written without spaces, cut into words again by the words of the documents."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace("text", r"\s+", "").alias("question"))
+    found = segmentation.segmented(items, segmentation.corpus_words(read(spark, sf_dir, "documents")))
+    return found.join(items, F.col("id") == F.col("query_id")).select("query_id", segmentation.without_stop_words(F.col("words"), F.col("question")).alias("keywords"))
 
 
 def text_functions(spark, sf_dir):
@@ -142,6 +159,8 @@ def _snippet(limit: int) -> str:
 
 QUERIES = {
     "chunk_fixed": chunked("fixed", False),
+    "chunk_lateral": chunk_lateral,
+    "segmented_items": segmented_items,
     "chunk_paragraph": chunked("paragraph", False),
     "chunk_title": chunked("fixed", True),
     "contextual_chunks": contextual_chunks,
@@ -163,6 +182,7 @@ _FIXED = _chunk_sql(_TITLED, _WINDOWS.format(t="t"))
 _TITLE = _chunk_sql("text", _WINDOWS.format(t="t"), "source || chr(10) || p[i]")
 ORACLE_SQL = {
     "chunk_fixed": _FIXED,
+    "chunk_lateral": _FIXED,
     "chunk_paragraph": _chunk_sql(_TITLED, _PARAGRAPHS),
     "chunk_title": _TITLE,
     "contextual_chunks": f"SELECT chunk_id, md5(CASE WHEN chunk_index < 3 THEN 'From ' || source || '.' || chr(10) || c.text ELSE c.text END) AS digest FROM ({_TITLE}) c JOIN documents d ON d.doc_id::VARCHAR = c.source_id",

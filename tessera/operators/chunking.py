@@ -78,8 +78,8 @@ def make_chunks(docs: DataFrame, strategy: str = "paragraph", size: int = 360, o
     return rows.select(F.format_string("%s::chunk_%03d", "source_id", "chunk_index").alias("chunk_id"), "source_id", "chunk_index", "title", text.alias("text"), *kept)
 
 
-def contextual_prefix(chunks: DataFrame, describe, cached: DataFrame | None = None, first: int = 1_000_000) -> DataFrame:
-    """chunks with a sentence of context before the text of each document's first chunks.
+def contextual_prefix(chunks: DataFrame, describe, cached: DataFrame | None = None, first: int | None = None) -> DataFrame:
+    """chunks with a sentence of context before the text of each document's first chunks, or of all of them.
 
     ``describe``: column function (title, text) -> sentence, a stand-in for a model. cached (key, sentence) is looked up
     first, so that only misses are described.
@@ -87,7 +87,8 @@ def contextual_prefix(chunks: DataFrame, describe, cached: DataFrame | None = No
     keyed = chunks.withColumn("key", cache_key(F.col("source_id"), F.col("text")))
     keyed = keyed.join(cached.select("key", F.col("sentence").alias("known")), "key", "left") if cached is not None else keyed.withColumn("known", F.lit(None).cast("string"))
     sentence = F.coalesce("known", describe(F.col("title"), F.col("text")))
-    return keyed.withColumn("text", F.when(F.col("chunk_index") < first, F.concat(sentence, F.lit("\n"), F.col("text"))).otherwise(F.col("text"))).drop("key", "known")
+    told = F.concat(sentence, F.lit("\n"), F.col("text"))
+    return keyed.withColumn("text", told if first is None else F.when(F.col("chunk_index") < first, told).otherwise(F.col("text"))).drop("key", "known")
 
 
 def parent_documents(hits: DataFrame, chunks: DataFrame, max_parents: int = 5, max_chars: int = 4000) -> DataFrame:

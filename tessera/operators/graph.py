@@ -95,6 +95,17 @@ def bridges(edges: DataFrame) -> DataFrame:
     return ends.groupBy("name").agg(F.countDistinct("paper").alias("n_papers")).where("n_papers > 1")
 
 
+def hub_neighbours(edges: DataFrame, hub: str | None = None) -> DataFrame:
+    """(hub, direction, relation, name): the distinct relations of one entity with others, out of it and into it. Without a name the
+    hub is the entity with most edges, of equals the first by name. An unknown hub has no rows."""
+    if hub is None:
+        one = degrees(edges).orderBy(F.col("degree").desc(), "name").limit(1).select(F.col("name").alias("hub"))
+    else:
+        one = edges.sparkSession.createDataFrame([(hub,)], "hub string")
+    side = lambda direction, own, other: edges.select(F.col(own).alias("hub"), F.lit(direction).alias("direction"), "relation", F.col(other).alias("name"))
+    return side("out", "head", "tail").unionByName(side("in", "tail", "head")).join(F.broadcast(one), "hub").distinct()
+
+
 def link_entities(queries: DataFrame, nodes: DataFrame, aliases: DataFrame | None = None, least: int = 2) -> DataFrame:
     """(query_id, name): nodes whose key, or an alias's key, lies in the query's key; longer names first by ``place``.
 
