@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import Workspace
+
 #: Digits at which scores tie, so that the order of a float sum doesn't decide a rank.
 DIGITS = 9
 
@@ -54,14 +56,24 @@ def dedupe_sources(hits: DataFrame) -> DataFrame:
 
 
 def stratified(df: DataFrame, stratum: str, n: int, seed: int = 0, key: str = "id") -> DataFrame:
-    """About n rows: each stratum gives max(1, round(n * its share)) of its rows, in a seeded hash order, cut to n."""
-    counts = df.groupBy(stratum).agg(F.count("*").alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    quota = F.greatest(F.lit(1), F.rint(F.lit(float(n)) * F.col("__n") / F.col("__total"))).cast("int")
+    """About n rows: each stratum gives max(1, round(n * its share)) of its rows, in a seeded hash order, cut to n.
+
+    Hashes are spread evenly, so a stratum's first rows lie in its first slices of hashes: only slices that begin within the quota are
+    put in order, each for itself, and the place of a row is its place in the slice behind the rows of the slices before.
+    Rows of a null stratum are left out.
+    """
+    work = Workspace(df.sparkSession, "stratified")
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    rows = df.join(counts.crossJoin(total).select(stratum, quota.alias("__quota")), stratum).withColumn("__order", order)
-    kept = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(stratum).orderBy("__order", key))).where("__nth <= __quota")
-    return kept.orderBy("__order", key).limit(n).drop("__quota", "__order", "__nth")
+    hashed = df.where(F.col(stratum).isNotNull()).withColumn("__order", order).withColumn("__slice", F.left("__order", F.lit(3)))
+    sizes = work.save(hashed.groupBy(stratum, "__slice").agg(F.count("*").alias("__m")), "slices")
+    own, upto = Window.partitionBy(stratum), Window.partitionBy(stratum).orderBy("__slice")  # 4096 slices at most
+    total = sizes.agg(F.sum("__m").alias("__total"))
+    quota = F.greatest(F.lit(1), F.rint(F.lit(float(n)) * F.sum("__m").over(own) / F.col("__total"))).cast("int")
+    needed = sizes.crossJoin(F.broadcast(total)).select(stratum, "__slice", quota.alias("__quota"), (F.sum("__m").over(upto) - F.col("__m")).alias("__before"))
+    needed = work.save(needed.where("__before < __quota"), "needed")
+    nth = F.row_number().over(Window.partitionBy(stratum, "__slice").orderBy("__order", key)) + F.col("__before")
+    kept = hashed.join(needed, [stratum, "__slice"]).withColumn("__nth", nth).where("__nth <= __quota")
+    return kept.orderBy("__order", key).limit(n).select(*df.columns)
 
 
 def seeded_order(df: DataFrame, seed: int = 0, key: str = "id") -> DataFrame:

@@ -1,11 +1,13 @@
 import json
 
 import pytest
+import yaml
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tessera.sources import files, sinks
 from tessera.storage import Workspace, exists, shared_dir
-from tessera.streaming import events
+from tessera.streaming import events, logs
 
 
 def test_jsonl_and_text_files(spark, tmp_path):
@@ -60,6 +62,12 @@ def test_collections_and_logs(spark, tmp_path):
     c.upsert(rows(("a", 1), ("b", 1)))
     c.upsert(rows(("b", 2), ("c", 2)))
     assert {r.chunk_id: r.v for r in c.read().collect()} == {"a": 1, "b": 2, "c": 2}
+    assert len(c.versions()) == 2 and c.spark.read.parquet(c.versions()[1]).count() == 2  # an upsert writes its own rows only
+    c.compact()
+    assert len(c.versions()) == 1 and {r.chunk_id: r.v for r in c.read().collect()} == {"a": 1, "b": 2, "c": 2}
+    c.upsert(rows(("a", 7)), name="seven")
+    c.upsert(rows(("a", 8)), name="seven")
+    assert {r.chunk_id: r.v for r in c.read().collect()} == {"a": 7, "b": 2, "c": 2}
     c.upsert(rows(("z", 9)), reset=True)
     assert c.count() == 1
     c.drop()
@@ -72,6 +80,47 @@ def test_collections_and_logs(spark, tmp_path):
     assert [df.count() for df in sinks.read_graph(spark, f"file://{tmp_path}/g")] == [1, 1]
 
 
+def test_written_sets_and_dumps(spark, tmp_path):
+    query = lambda *p: spark.createDataFrame(p, "query_id string, question string, expected array<string>, note string")
+    manual, made = query(("m2", "b: c", ["x"], None), ("m1", "a", [], "n")), query(*((f"q{i:03d}", f"question {i}\n- x", ["d", "é"], "") for i in range(50)))
+    sinks.write_query_set(manual, made, f"file://{tmp_path}/set")
+    text = "\n".join(r.value for f in sorted((tmp_path / "set").glob("part-*")) for r in spark.read.text(f"file://{f}").collect())
+    assert yaml.safe_load(text) == yaml.safe_load(sinks.query_set_yaml(manual, made))
+    sinks.write_vectors(spark.createDataFrame([(1, [0.5, 1.0], "m")], "vec_id long, embedding array<double>, meta string"), f"file://{tmp_path}/v")
+    assert tuple(sinks.read_vectors(spark, f"file://{tmp_path}/v").first()) == (1, [0.5, 1.0], "m")
+    chunks = spark.createDataFrame([("a::chunk_000", "t")], "chunk_id string, text string")
+    sinks.write_chunks(chunks, f"file://{tmp_path}/chunks")
+    assert sinks.read_chunks(spark, f"file://{tmp_path}/chunks").collect() == chunks.collect()
+
+
+def test_log_stream_survives_a_crash_between_write_and_commit(spark, tmp_path, monkeypatch):
+    schema = "chunk_id string, v int, seq int"
+    put = lambda n, *p: spark.createDataFrame(p, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    c = sinks.Collection(spark, f"file://{tmp_path}/keyed")
+    put(0, ("a", 1, 1), ("b", 1, 2), ("a", 2, 3), (None, 0, 4))
+    run = lambda: logs.into_collection(stream(), c, "seq", f"file://{tmp_path}/ck").awaitTermination(120)
+    assert run() and {r.chunk_id: r.v for r in c.read().collect()} == {"a": 2, "b": 1}
+    put(1, ("b", 5, 5), ("d", 6, 6))
+    with monkeypatch.context() as m:  # dies when the rows are written and the log doesn't name them yet
+        m.setattr(sinks.Collection, "_log", lambda *_: 1 / 0)
+        with pytest.raises(StreamingQueryException):
+            run()
+    assert {r.chunk_id: r.v for r in c.read().collect()} == {"a": 2, "b": 1}
+    original = sinks.Collection._log
+
+    def logged_then_dead(self, *args):
+        original(self, *args)
+        raise RuntimeError("dead")
+
+    with monkeypatch.context() as m:  # dies when the log names them and the batch isn't committed yet
+        m.setattr(sinks.Collection, "_log", logged_then_dead)
+        with pytest.raises(StreamingQueryException):
+            run()
+    for _ in range(2):
+        assert run() and {r.chunk_id: r.v for r in c.read().collect()} == {"a": 2, "b": 5, "d": 6} and len(c.versions()) == 2
+
+
 def test_workspace(spark):
     work = Workspace(spark, "t")
     saved = work.save(spark.range(3).toDF("id"))
