@@ -179,15 +179,15 @@ WIDE_RADIUS = 28
 
 
 def _wide_marks(text: str | None, words: int) -> tuple[int, int, int, int]:
-    """Two fingerprints, the number of shingles, and a digest of the sequence of words."""
+    """Two fingerprints, the number of shingles, each counted once as in the similarity, and a digest of the sequence of words."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    halves = [shingle_digests(text, words, seed) for seed in (SEED, SEED + 1)]
+    halves = [np.unique(np.frombuffer(shingle_digests(text, words, seed), ">u8")) for seed in (SEED, SEED + 1)]
     marks = []
     for h in halves:
-        bits = np.unpackbits(np.frombuffer(h, np.uint8)).reshape(-1, 64)
+        bits = np.unpackbits(h.view(np.uint8)).reshape(-1, 64)
         marks.append(int(np.packbits(2 * bits.sum(axis=0, dtype=np.uint32) > len(bits)).view(">i8")[0]))
     content = int.from_bytes(xxhash.xxh64_digest(b" ".join(raw), SEED), "big", signed=True)
-    return *marks, len(halves[0]) // 8, content
+    return *marks, len(halves[0]), content
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:

@@ -125,3 +125,18 @@ def test_near_copies_by_brute_force(make):
     assert all(any((d, e) in near for e in sets) for d in gone)
     pairs = [(d, e) for d, e in near if d < e]
     assert len(pairs) > 150 and sum(not {d, e} <= stay for d, e in pairs) >= 0.95 * len(pairs)
+
+
+def test_a_text_and_its_repetitions_are_near_copies(make):
+    """Similarity is that of sets of shingles, so a text said twice or thrice is a near copy of itself, and so is one with a repeated line."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    texts, other = {}, [" ".join(word() for _ in range(300)) for _ in range(40)]
+    base = " ".join(word() for _ in range(300))
+    line = " ".join(word() for _ in range(12))
+    texts |= {1: base, 2: f"{base} {base}", 3: f"{base} {base} {base}", 4: f"{base} {line}", 5: " ".join([base] + [line] * 30)}
+    texts |= {10 + i: t for i, t in enumerate(other)}
+    left = {r.doc_id for r in simhash.one_of_each(make(list(texts.items()))).collect()}
+    assert left == {1, *range(10, 50)}
