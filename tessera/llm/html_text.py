@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by length, link density and stop-word density;
 what a block lies in is one more feature: menus, notices and the like are no text, and inside an article less is asked of a
-block. Short and middling blocks stay open, inside articles too. In the second pass an open block takes the label of its
+block. Of class names and ids, those that only name such a part decide by themselves, those that also speak of the layout
+do so where the page has text beside them, and those that may be about the subject only together with links or short texts. Short and middling blocks stay open, inside articles too. In the second pass an open block takes the label of its
 nearest decided neighbours, those within the same article or beside it under the same parent first.
 """
 
@@ -50,6 +51,22 @@ BOILERPLATE_NAMES = frozenset(
 #: Parts that make a name say something about the layout: "has-sidebar" is no sidebar.
 MODIFIERS = frozenset("has no not with without is hide hidden show layout open enabled disabled".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Parts that place or shape a named part, and say nothing else: "sidebar-right", "commentBody".
+LAYOUT = frozenset(
+    "container wrapper wrap box block section list item items inner outer area left right top bottom center col column row grid panel module unit slot zone region "
+    "content body text message msg title heading header label link links icon icons bar button btn buttons group card cards primary secondary main page site global "
+    "mobile desktop sticky fixed float small large big first last thread author meta form feed post posts article articles story stories count image video tools".split()
+)
+#: Parts that are subjects as well: beside a part that isn't of the layout ("share-price") they are a hint only.
+AMBIGUOUS = frozenset(
+    "ad ads social share sharing related legal search notice notices discussion reply replies respond alert alerts promotion copyright skip foot menu menus banner "
+    "recommended recommendations consent subscription login navigation comment dialog toolbar sponsor widget aside".split()
+)
+#: Link density, and characters outside an article, that bear out such a hint.
+HINT_LINK_DENSITY, HINT_SHORT = 0.3, 200
+PURE, PLACED, HINT = "pure", "placed", "hint"
+#: Headings of what readers wrote.
+_READERS = re.compile(r"(?:\d[\d.,]*\s+)?(?:reader\s+|user\s+)?(?:comments?|responses|replies)(?:\s*[(:]?\s*\d*\s*\)?)|(?:leave|post|add) a (?:comment|reply)|join the (?:discussion|conversation)", re.I)
 ARTICLE_NAMES = frozenset(("article", "articlebody", "postbody", "postcontent", "entrycontent", "storybody", "articlecontent", "maincontent"))
 #: Tags whose blocks lie side by side as the parts of one text.
 PARAGRAPHS = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6".split())
@@ -58,10 +75,11 @@ GOOD, BAD, OPEN, HEADING = "good", "bad", "open", "heading"
 
 
 class Block:
-    __slots__ = ("parts", "link_chars", "boilerplate", "article", "parent", "tag", "text", "label")
+    __slots__ = ("parts", "link_chars", "boilerplate", "named", "article", "parent", "end", "tag", "text", "label")
 
-    def __init__(self, boilerplate: bool, article: int, parent: int, tag: str):
+    def __init__(self, boilerplate: bool, named: int, article: int, parent: int, tag: str):
         self.parts: list[str] = []
+        self.named, self.end = named, 0
         self.link_chars, self.boilerplate, self.article, self.parent, self.tag = 0, boilerplate, article, parent, tag
         self.text, self.label = "", OPEN
 
@@ -70,8 +88,21 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(raw)} if "=" in raw or "hidden" in raw else {}
 
 
-def _role(tag: str, raw: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is boilerplate, and whether it holds an article."""
+def _kind_of(name: list[str]) -> str:
+    """What a class name or id, given by its parts, says about boilerplate: PURE, PLACED, HINT or nothing."""
+    parts = {p.lower() for p in name if not p.isdigit()}
+    listed = parts & BOILERPLATE_NAMES
+    if not listed or parts & MODIFIERS:
+        return ""
+    if parts == {"discussion"}:
+        return HINT  # a usual heading of papers too
+    if parts == listed:
+        return PURE
+    return HINT if listed <= AMBIGUOUS and not parts <= listed | LAYOUT else PLACED
+
+
+def _role(tag: str, raw: str, in_article: bool) -> tuple[bool, str, bool]:
+    """Whether an element is boilerplate, whether it is so by a name that needs more (PLACED or HINT), and whether it holds an article."""
     attributes = _attributes(raw)
     named = [_NAME_PARTS.findall(x) for k in ("class", "id") for x in attributes.get(k, "").split()]
     lowered = [{p.lower() for p in parts} for parts in named]
@@ -81,18 +112,25 @@ def _role(tag: str, raw: str, in_article: bool) -> tuple[bool, bool]:
     article = tag in ("article", "main") or role in ("article", "main") or bool(whole & ARTICLE_NAMES)
     hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
     header = (tag == "header" or "header" in names) and not in_article and not names & {"article", "post", "entry"} and tag not in _HEADINGS
-    named_so = bool(names & BOILERPLATE_NAMES) and tag not in ("html", "body", "main")
-    return tag in BOILERPLATE_TAGS or header or named_so or role in BOILERPLATE_ROLES or hidden, article
+    kinds = {_kind_of(parts) for parts in named} if tag not in ("html", "body", "main") else set()
+    sure = tag in BOILERPLATE_TAGS or header or PURE in kinds or role in BOILERPLATE_ROLES or hidden
+    return sure, "" if sure else PLACED if PLACED in kinds else HINT if HINT in kinds else "", article
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks with text, in page order; white space is one space, character references are decoded."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int, int]] = []  # open elements: tag, in boilerplate, number of the article around (0: none), own number
-    boilerplate, article, articles, links, at, breaks, elements = False, 0, 0, 0, 0, 0, 0
+    # open elements: tag, in boilerplate, number of the article around (0: none), own number, innermost element around with a name to weigh (0: none)
+    stack: list[tuple[str, bool, int, int, int]] = []
+    weighed: list[tuple[str, int]] = [("", 0)]  # those elements: kind and the one around
+    ends: dict[int, int] = {}  # the number of the last element within each element that was closed
+    boilerplate, named, article, articles, links, at, breaks, elements = False, 0, 0, 0, 0, 0, 0, 0
     opened: Counter[str] = Counter()  # how many elements of each tag are on the stack
     last, unclosed = page.rfind(">") + 1, set()
-    block = Block(False, 0, 0, "")
+    block = Block(False, 0, 0, 0, "")
+
+    def around() -> tuple[bool, int, int]:
+        return (stack[-1][1], stack[-1][2], stack[-1][4]) if stack else (False, 0, 0)
 
     def cut(tag: str) -> None:
         nonlocal block, links
@@ -101,7 +139,7 @@ def blocks_of(page: str) -> list[Block]:
             if block.text:
                 found.append(block)
         own = len(stack) - 1 - (tag in PARAGRAPHS and bool(stack) and stack[-1][0] == tag)  # not the paragraph itself
-        block, links = Block(boilerplate, article, stack[own][3] if own >= 0 else 0, tag), 0
+        block, links = Block(boilerplate, named, article, stack[own][3] if own >= 0 else 0, tag), 0
 
     def text(piece: str) -> None:
         nonlocal breaks
@@ -122,14 +160,13 @@ def blocks_of(page: str) -> list[Block]:
                 links = max(0, links - 1)
             if tag in BLOCK_TAGS or tag in RAW_TAGS or any(s[0] == tag for s in reversed(stack[-8:])):
                 while opened[tag]:
-                    gone = stack.pop()[0]
-                    opened[gone] -= 1
-                    if gone == tag:
+                    gone = stack.pop()
+                    opened[gone[0]] -= 1
+                    ends[gone[3]] = elements
+                    if gone[0] == tag:
                         break
-                boilerplate, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                if tag in BLOCK_TAGS:
-                    cut("")
-                elif block.boilerplate != boilerplate:
+                boilerplate, article, named = around()
+                if tag in BLOCK_TAGS or block.boilerplate != boilerplate or block.named != named:
                     cut("")
         elif tag in RAW_TAGS:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at) if tag not in unclosed else None
@@ -148,23 +185,90 @@ def blocks_of(page: str) -> list[Block]:
         else:
             if tag == "a":
                 links += 1
-            is_boilerplate, is_article = _role(tag, m[3] or "", article > 0) if tag in BLOCK_TAGS or m[3] else (False, False)
-            if tag in BLOCK_TAGS or is_boilerplate:
-                if tag != "p" or is_boilerplate:
+            is_boilerplate, by_name, is_article = _role(tag, m[3] or "", article > 0) if tag in BLOCK_TAGS or m[3] else (False, "", False)
+            if tag in BLOCK_TAGS or is_boilerplate or by_name:
+                if tag != "p" or is_boilerplate or by_name:
                     if is_article and not article and not (boilerplate or is_boilerplate):
                         articles += 1
                     opened[tag] += 1
-                    stack.append((tag, boilerplate or is_boilerplate, article or (articles if is_article and not is_boilerplate and not boilerplate else 0), elements := elements + 1))
-                    boilerplate, article = stack[-1][1:3]
+                    if by_name:
+                        weighed.append((by_name, named))
+                        named = len(weighed) - 1
+                    stack.append((tag, boilerplate or is_boilerplate, article or (articles if is_article and not is_boilerplate and not boilerplate else 0), elements := elements + 1, named))
+                    boilerplate, article, named = around()
                 elif stack and stack[-1][0] == "p":  # a new paragraph ends one that was left open
-                    opened[stack.pop()[0]] -= 1
-                    boilerplate, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+                    gone = stack.pop()
+                    opened["p"] -= 1
+                    ends[gone[3]] = elements
+                    boilerplate, article, named = around()
                 cut(tag)
     text(re.split(r"<[!?/a-zA-Z]", page[at:], maxsplit=1)[0])  # a tag that isn't closed is none, and no text
     cut("")
+    for b in found:
+        b.end = ends.get(b.parent, elements)
+    _weigh_names(found, weighed)
+    _readers_parts(found)
     return found
 
 
+def _weigh_names(blocks: list[Block], weighed: list[tuple[str, int]]) -> None:
+    """Decides the elements with names that need more, from the outside in, and marks the blocks of those that are boilerplate.
+
+    A PLACED name holds where text remains outside of the element: an article, or LONG characters without links. A HINT holds
+    where much of the element's text is links or, outside an article, where it has little text.
+    """
+    n = len(weighed)
+    if n == 1:
+        return
+    own, size, links = [0] * n, [0] * n, [0] * n  # of each element: text without links of its own, all its text, its links
+    own_article = [False] * n
+    for b in blocks:
+        if not b.boilerplate:
+            chars = size_of(b.text)
+            own[b.named] += max(0, chars - b.link_chars)
+            size[b.named] += chars
+            links[b.named] += b.link_chars
+            own_article[b.named] |= b.article > 0
+    in_article = list(own_article)
+    for e in range(n - 1, 0, -1):
+        around = weighed[e][1]
+        in_article[around] |= in_article[e]
+        size[around] += size[e]
+        links[around] += links[e]
+    outside, article_outside, gone = own[0], own_article[0], [False] * n
+    for e in range(1, n):
+        kind, around = weighed[e]
+        if gone[around]:
+            gone[e] = True
+        elif kind == HINT:
+            gone[e] = links[e] > HINT_LINK_DENSITY * size[e] or (size[e] < HINT_SHORT and not in_article[e])
+        else:
+            gone[e] = article_outside or outside >= LONG or 2 * size[e] <= size[0]
+        if not gone[e]:
+            outside += own[e]
+            article_outside |= own_article[e]
+    for b in blocks:
+        b.boilerplate |= gone[b.named]
+
+
+def _readers_parts(blocks: list[Block]) -> None:
+    """Marks what stands under a heading of readers' comments, up to the end of its part or a heading as high."""
+    after_article, k = False, 0
+    while k < len(blocks):
+        b = blocks[k]
+        after_article |= b.article > 0 and not b.boilerplate
+        k += 1
+        if b.tag in _HEADINGS and len(b.text) < SHORT and not b.boilerplate and _READERS.fullmatch(b.text):
+            b.boilerplate = True
+            while k < len(blocks):
+                x = blocks[k]
+                higher = x.tag in _HEADINGS and x.tag <= b.tag
+                if higher or not b.parent <= x.parent <= b.end or (x.article != b.article and x.article and not after_article):
+                    break
+                x.boilerplate = True
+                k += 1
+
+
 def stop_word_density(text: str) -> float:
     words = text.lower().split()
     return sum(w.strip(".,;:!?\"'()[]#*$%&").encode("utf-8", "surrogatepass") in STOP_WORDS for w in words) / max(1, len(words))

@@ -59,7 +59,7 @@ def test_hostile_pages_take_linear_time():
     import time
 
     began = time.perf_counter()
-    for page in ("<a" * 200_000, "<div>" * 100_000 + "</p>" * 100_000, "<head>" * 50_000, '<p title="' * 50_000, "<b><i>" * 50_000 + "</b></i>" * 50_000):
+    for page in ("<a" * 200_000, "<div>" * 100_000 + "</p>" * 100_000, "<head>" * 50_000, '<p title="' * 50_000, "<b><i>" * 50_000 + "</b></i>" * 50_000, '<div class="share-price">x' * 50_000, "<h3>Comments</h3><p>x" * 50_000):
         main_text(page)
     assert time.perf_counter() - began < 20
 
@@ -73,3 +73,40 @@ def test_pages_without_container_tags(spark, sf):
         total += len(set(want) | set(got))
         right += len(set(want) & set(got))
     assert right / total >= 0.95
+
+
+def test_names_that_are_about_the_subject_or_the_layout():
+    for name in ("wrapper sidebar-right", "legal-news", "search-engines", "notice-period", "related-work", "share-price", "ad-hoc", "social-policy", "discussion"):
+        for page in (f'<div class="{name}"><h1>Head</h1><p>{LONG}</p></div>', f'<div id="{name.split()[-1]}"><article><h1>Head</h1><p>{LONG}</p></article></div>'):
+            assert main_text(page) == f"Head\n{LONG.strip()}", page
+    page = f'<article><p>{LONG}</p><section id="discussion"><h2>Discussion</h2><p>{LONG}</p></section><div class="social-history"><p>A smoker.</p></div></article>'
+    assert main_text(page) == f"{LONG.strip()}\nDiscussion\n{LONG.strip()}\nA smoker."
+
+
+def test_names_that_hold_beside_other_text():
+    for name in ("sidebar-right", "cookie-policy", "comment-body", "adSlot", "newsletter-cta", "related-posts", "notice", "comments", "ad-728"):
+        for page in (f'<article><p>{LONG}</p></article><div class="{name}"><p>{LONG}</p></div>', f'<div class="{name}"><p>{LONG}</p></div><div><p>{LONG}</p></div>'):
+            assert main_text(page) == LONG.strip(), page
+    links = "<a href=1>Some other story of the day</a> " * 5
+    assert main_text(f'<article><p>{LONG}</p><div class="share-price"><p>{links}</p></div></article>') == LONG.strip()
+    assert main_text(f'<div class="page-widget-area"><div class="sidebar-left"><p>{LONG}</p></div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div>').startswith("Head")
+
+
+def test_comments_of_readers_without_names():
+    comments = f"<section><h3>3 comments</h3><ol><li><p>{LONG}</p></li><li><h4>Ann</h4><p>{LONG}</p></li></ol></section>"
+    for page in (f"<article><h1>Head</h1><p>{LONG}</p></article>{comments}<footer>x</footer>", f"<div><h1>Head</h1><p>{LONG}</p>{comments}</div>", f"<article><h1>Head</h1><p>{LONG}</p>{comments}</article>"):
+        assert main_text(page) == f"Head\n{LONG.strip()}"
+    assert main_text(f"<article><h2>Comments on the treaty</h2><p>{LONG}</p></article>") == f"Comments on the treaty\n{LONG.strip()}"
+    assert main_text(f"<h3>Comments</h3><article><p>{LONG}</p></article>") == LONG.strip()
+
+
+def test_pages_without_names_and_containers(spark, sf):
+    """Neither class names, ids and roles nor container tags: the densities and the neighbours alone."""
+    right = total = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        want = main_text(r.html).split("\n")
+        bare = re.sub(r"\s(?:class|id|role|itemprop)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", r.html)
+        got = main_text(re.sub(r"<(/?)(article|main|nav|footer|header|aside|section|form)\b", r"<\1div", bare)).split("\n")
+        total += len(set(want) | set(got))
+        right += len(set(want) & set(got))
+    assert right / total >= 0.9, right / total
