@@ -208,7 +208,7 @@ def test_third_document_with_the_anchors_only(make):
     for t in range(20):
         shared = prose(60)
         words = np.array([passages.xxhash.xxh32_intdigest(w) for w in shared], np.uint32)
-        _, _, at = passages.anchors_of(words, np.array([0, 60]), passages.bands_for(2))
+        _, _, at, *_ = passages.anchors_of(words, np.array([0, 60]), passages.bands_for(2))
         rows[10 * t] = [w for p in sorted(set(at.tolist())) for w in prose(30) + shared[p : p + 5]]
         rows[10 * t + 1], rows[10 * t + 2] = prose(70) + shared + prose(70), prose(70) + shared + prose(70)
     got, _ = found_words(make([(d, " ".join(w)) for d, w in rows.items()]))
@@ -224,3 +224,29 @@ def test_repeated_ids_and_long_texts(make):
     got, kept = found_words(make([(d, " ".join(w)) for d, w in rows]))
     assert got[1] == set(range(20, 80)) and set(range(30_060)) - got[2] == set() and got[3] == set(range(30_000))
     assert not kept[3] and set(range(300)) <= got[5] and got[4]
+
+
+def test_near_copies_in_stock_sentences(make):
+    """80 pairs of four stock sentences, one word changed, among 1,200 documents made of the same 60 sentences."""
+    rng = random.Random(17)
+    prose = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    stock = [prose(15) for _ in range(60)]
+    rows = {d: [w for _ in range(rng.randint(10, 30)) for w in rng.choice(stock)] for d in range(1200)}
+    where, wanted = rng.sample(range(1200), 160), []
+    for t in range(80):
+        shared = [w for s in rng.sample(stock, 4) for w in s]
+        for d, words in ((where[2 * t], shared), (where[2 * t + 1], [*shared[: (m := rng.randrange(60))], *prose(1), *shared[m + 1 :]])):
+            at = 15 * rng.randrange(len(rows[d]) // 15)
+            rows[d] = rows[d][:at] + words + rows[d][at:]
+            wanted.append((d, at))
+    grams = lambda words: [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+
+    def alike(a, b):  # of the windows of both passages
+        windows = [[set(grams(w[i : i + 51])) for i in range(10)] for w in (a, b)]
+        return max(len(x & y) / len(x | y) for x in windows[0] for y in windows[1]) >= 0.8
+
+    got, _ = found_words(make([(d, " ".join(w)) for d, w in rows.items()]))
+    pairs = [(wanted[2 * t], wanted[2 * t + 1]) for t in range(80)]
+    pairs = [x for x in pairs if alike(*(rows[d][at : at + 60] for d, at in x))]
+    found = sum(all(len(got[d] & set(range(at, at + 60))) >= 46 for d, at in x) for x in pairs)
+    assert len(pairs) > 60 and found >= 0.9 * len(pairs), (found, len(pairs))
