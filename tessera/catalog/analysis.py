@@ -3,6 +3,8 @@ ordered by priority and status, in the paper of its nation."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tessera.catalog.retrieval import dense_sql, r6, read, six
@@ -10,8 +12,10 @@ from tessera.operators import communities as partition
 from tessera.operators import evalset, evaluation, graph, models, tables
 from tessera.operators.components import connected_components
 from tessera.sources import files
+from tessera.sources.pages import read_pages
 from tessera.storage import Workspace
 from tessera.streaming import events as windows
+from tessera.streaming import stateful
 
 
 def triples(spark, sf_dir):
@@ -124,6 +128,47 @@ def recent_percentile(spark, sf_dir):
     return evaluation.recent_percentile(e, ("event_type",), "value", "at", 95).select("event_type", six("p95"))
 
 
+def event_stream(spark, sf_dir):
+    path = f"{sf_dir}/events.parque[t]"  # a pattern, as a stream takes a plain path for a folder
+    return spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(path)
+
+
+def stream_recent_percentile(spark, sf_dir):
+    """Of the last thousand events of each type, held as the state of a stream."""
+    work = Workspace(spark, "stream-percentile")
+    running = stateful.running_percentile(event_stream(spark, sf_dir), "event_type", "value", "ts", "event_id", 95, 1000)
+    batches = stateful.run_to_table(running, work.new_path("batches"), work.new_path("checkpoint"), "update")
+    return batches.groupBy("key").agg(F.max_by("value", "batch").alias("value")).select(F.col("key").alias("event_type"), six("value").alias("p95"))
+
+
+def stream_trace_totals(spark, sf_dir):
+    """Sums by user, day and type of event, of the days that are over for a user: an hour without an event, behind the watermark."""
+    work = Workspace(spark, "stream-traces")
+    traced = event_stream(spark, sf_dir).withColumn("trace", F.concat(F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd")))
+    totals = stateful.trace_totals(traced, "trace", "event_type", "value", "ts", 3_600_000, "10 minutes")
+    done = stateful.run_to_table(totals, work.new_path("batches"), work.new_path("checkpoint"))
+    return done.where("not late").select("trace_id", F.col("name").alias("event_type"), "n", six("ms").alias("value"))
+
+
+def _line_pages():
+    """A parser of files with a page a line."""
+
+    def parse(file, raw):
+        for line in raw.decode("utf-8").splitlines():
+            page = json.loads(line)
+            yield page["page_id"], "text", page.get("html"), 0
+
+    return parse
+
+
+def parsed_pages(spark, sf_dir):
+    """Every page, read back from files that hold up to 500 of them, through a parser."""
+    path = Workspace(spark, "page-files").new_path("files")
+    read(spark, sf_dir, "pages").select(F.to_json(F.struct("page_id", "html"))).write.option("maxRecordsPerFile", 500).text(path)
+    got = read_pages(spark, path, _line_pages, "*.txt")
+    return got.select(F.col("page").alias("page_id"), F.length("content").cast("long").alias("n_chars"), "error")
+
+
 def exact_permutation(spark, sf_dir):
     """All sign flips of the discount differences within each order."""
     d = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.round(F.col("l_discount") * 100).cast("int") - F.round(F.col("l_tax") * 100).cast("int")).cast("double").alias("diff"))
@@ -236,6 +281,9 @@ QUERIES = {
     "similar_names": similar_names,
     "percentile_rank": percentile_rank,
     "recent_percentile": recent_percentile,
+    "stream_recent_percentile": stream_recent_percentile,
+    "stream_trace_totals": stream_trace_totals,
+    "parsed_pages": parsed_pages,
     "exact_permutation": exact_permutation,
     "events_tumbling": events_tumbling,
     "events_sliding": events_sliding,
@@ -316,6 +364,13 @@ SELECT event_type, {r6('max(value) FILTER (WHERE i = round_even(0.5 * (n - 1), 0
     "recent_percentile": f"""WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC, value) <= 1000),
 r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM l)
 SELECT event_type, {r6('value')} AS p95 FROM r WHERE i = least(floor(0.95 * n), n - 1)""",
+    "stream_recent_percentile": f"""WITH l AS (SELECT * FROM events WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC, value) <= 1000),
+r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM l)
+SELECT event_type, {r6('value')} AS p95 FROM r WHERE i = least(floor(0.95 * n), n - 1)""",
+    "stream_trace_totals": f"""WITH e AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS trace_id, event_type, value, epoch_ms(ts) AS t_ms FROM events),
+t AS (SELECT trace_id FROM e GROUP BY trace_id HAVING max(t_ms) + 3600000 <= (SELECT max(t_ms) - 600000 FROM e))
+SELECT trace_id, event_type, count(*) AS n, {r6('sum(value)')} AS value FROM e JOIN t USING (trace_id) GROUP BY ALL""",
+    "parsed_pages": "SELECT page_id, length(html) AS n_chars, NULL::VARCHAR AS error FROM pages",
     "exact_permutation": f"""WITH d AS (SELECT l_orderkey, list(round(l_discount * 100)::INT - round(l_tax * 100)::INT) AS d FROM lineitem GROUP BY 1),
 m AS (SELECT l_orderkey, d, unnest(range(0, (1 << len(d)))) AS mask FROM d),
 s AS (SELECT l_orderkey, len(d) AS n, list_sum(d) AS total, list_sum(list_transform(d, lambda x, i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN -x ELSE x END)) AS s FROM m)

@@ -6,6 +6,7 @@ A model is given as a function without arguments that makes it, once a task: ``m
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -131,3 +132,17 @@ def corrective_retrieval(questions: DataFrame, retrieve: Callable[[DataFrame], D
     decided = work.save(decided.select("query_id", "decision", F.when(refined, F.col("after")).otherwise(F.col("before")).alias("top_score"), F.when(refined, F.col("rewrite")).alias("rewrite")), "decisions")
     kept = hits.join(decided.where("decision = 'proceed'").select("query_id"), "query_id", "left_semi")
     return kept.unionByName(hits2.join(decided.where("decision = 'refined'").select("query_id"), "query_id", "left_semi")), decided
+
+
+def judged(prompts: DataFrame, make: Make, system: str = "", tries: int = 2) -> DataFrame:
+    """(query_id, reply, tried): a judge's replies to prompts (query_id, user). Where a reply is no JSON object with a score, only that
+    prompt is sent again, up to ``tries`` times in all; its last reply stays. ``judge_means`` takes the result. query_id is a key of prompts."""
+    work = Workspace(prompts.sparkSession, "judged")
+    asked, done = prompts.select("query_id", "user", F.array().cast("array<string>").alias("images")), []
+    score = json_object(F.coalesce("reply", F.lit("")), "faithfulness double, relevance double")
+    told = F.coalesce(score["faithfulness"], score["relevance"]).isNotNull()
+    for n in range(1, tries + 1):
+        replied = work.save(answered(asked, make, system, "reply").select("query_id", "user", "reply", F.lit(n).alias("tried"), told.alias("told")), f"try-{n}")
+        done.append(replied if n == tries else replied.where("told"))
+        asked = replied.where("not told").select("query_id", "user", F.array().cast("array<string>").alias("images"))
+    return reduce(DataFrame.unionByName, done).select("query_id", "reply", "tried")

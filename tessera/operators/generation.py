@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,3 +123,29 @@ def visible(deltas: Iterator[str]) -> Iterator[str]:
             break
     if held and not inside:
         yield held
+
+
+def event_deltas(lines: Iterable[str | bytes]) -> Iterator[str]:
+    """The pieces of text in server-sent events of a chat service, to be passed to ``visible``. An event is its data lines up to a blank
+    one; other fields, comments and events that are no JSON object with a piece are passed over; [DONE] ends the stream."""
+    data: list[str] = []
+
+    def piece() -> str:
+        try:
+            found = json.loads("\n".join(data))["choices"][0]["delta"]["content"]
+        except (ValueError, LookupError, TypeError):
+            return ""
+        return found if isinstance(found, str) else ""
+
+    for raw in lines:
+        line = (raw.decode("utf-8", "replace") if isinstance(raw, bytes) else raw).rstrip("\r\n")
+        if line.startswith("data:"):
+            data.append(line[5:].removeprefix(" "))
+            if data == ["[DONE]"]:
+                return
+        elif not line and data:
+            if text := piece():
+                yield text
+            data = []
+    if data and (text := piece()):
+        yield text
