@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import functions as F
 
 from tessera.catalog.retrieval import BM25_SQL, TOKEN_SQL, chunks, lexical, lexical_sql, r6, read, six
 from tessera.functions import text as T
 from tessera.functions.table_functions import register_all
-from tessera.operators import chunking, evaluation, generation, rewriting, segmentation
+from tessera.operators import chunking, evaluation, evalset, generation, rewriting, segmentation
 from tessera.operators.ranking import rounded
+from tessera.plans.retrieval import ask
 from tessera.storage import spread
 
 
@@ -137,6 +141,54 @@ def token_cost(spark, sf_dir):
     return evaluation.token_cost(usage, prices, (1.0, 4.0)).select("trace_id", "prompt_tokens", "completion_tokens", rounded(F.col("cost")).alias("cost"))
 
 
+def briefs(spark, sf_dir):
+    """Every document as the brief of a document, and as that of a record whose description is its text."""
+    t = F.coalesce("text", F.lit(""))
+    record = T.record_brief(F.col("doc_id").cast("string"), {"department": F.col("source"), "symptoms": F.lit("")}, F.concat(F.lit("x\n\n【描述】"), t))
+    return read(spark, sf_dir, "documents").select("doc_id", T.document_brief(F.col("source"), t).alias("document"), record.alias("record"))
+
+
+def judge_of_lengths():
+    """A stand-in for a model that judges questions: it keeps those of an even length."""
+
+    def model(system, user, images):
+        told = re.findall(r"### 第(\d+)题\n问题：(.*)\n对应记录：\n", user)
+        return "Verdicts: " + json.dumps([{"index": int(j), "keep": len(q) % 2 == 0, "reason": f"{len(q)}"} for j, q in told])
+
+    return model
+
+
+def question_verdicts(spark, sf_dir):
+    """Verdicts on a question made of every document, of which every third has one in the cache already."""
+    docs = read(spark, sf_dir, "documents")
+    t = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").alias("id"), T.snippet(t, 60).alias("question"), T.document_brief(F.col("source"), t).alias("brief"))
+    cache = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit(True).alias("keep"), F.lit("known").alias("reason"))
+    return evalset.verdicts(rows, cache, judge_of_lengths).select(F.col("id").alias("doc_id"), "keep", "reason")
+
+
+def reader_of_lengths():
+    """A stand-in for a model that answers: it tells how long the prompt is, and cites its first source."""
+    return lambda system, user, images: f"{len(user)} [1]"
+
+
+def ask_items(spark, sf_dir):
+    """Every benchmark item asked over its five best documents."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    source = chunks(spark, sf_dir).select("chunk_id", F.col("chunk_id").cast("string").alias("source_id"), F.lit("").alias("title"), "text")
+    told = ask(items, lambda q: lexical(spark, sf_dir, 5), source, reader_of_lengths)
+    return told.select("query_id", "answer", F.transform("sources", lambda s: s["source_id"])[0].alias("first_source"), F.size("sources").alias("n_sources"))
+
+
+def labelled_compare(spark, sf_dir):
+    """The last runs of two labels compared; their logged values are made of orders."""
+    o = read(spark, sf_dir, "orders")
+    runs = o.select(F.col("o_orderkey").alias("query_id"), "o_custkey", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("label")).withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))
+    value = F.pmod(F.col("o_custkey") * F.when(F.col("label") == "a", 3).otherwise(5) + F.col("query_id") * F.col("seq"), F.lit(11)).cast("double")
+    values = runs.select("seq", "label", F.lit("items").alias("eval_set"), F.lit("hybrid_rerank").alias("stage"), "query_id", F.lit("recall@5").alias("metric"), value.alias("value"))
+    return evaluation.compare_labels(values, "a", "b").withColumn("mean_a", six("mean_a")).withColumn("mean_b", six("mean_b"))
+
+
 _WINDOWS = "list_filter(list_transform(range(0, greatest(0, ceil((length({t}) - 360) / 280.0)::INT) + 1), lambda i: trim(substr({t}, i * 280 + 1, 360), ' ' || chr(10) || chr(9))), lambda w: w <> '')"
 _CLEAN = "trim(regexp_replace(regexp_replace({t}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9))"
 
@@ -177,6 +229,10 @@ QUERIES = {
     "crag_confusion": crag_confusion,
     "judge_means": judge_means,
     "token_cost": token_cost,
+    "briefs": briefs,
+    "question_verdicts": question_verdicts,
+    "ask_items": ask_items,
+    "labelled_compare": labelled_compare,
 }
 _FIXED = _chunk_sql(_TITLED, _WINDOWS.format(t="t"))
 _TITLE = _chunk_sql("text", _WINDOWS.format(t="t"), "source || chr(10) || p[i]")
@@ -186,6 +242,16 @@ ORACLE_SQL = {
     "chunk_paragraph": _chunk_sql(_TITLED, _PARAGRAPHS),
     "chunk_title": _TITLE,
     "contextual_chunks": f"SELECT chunk_id, md5(CASE WHEN chunk_index < 3 THEN 'From ' || source || '.' || chr(10) || c.text ELSE c.text END) AS digest FROM ({_TITLE}) c JOIN documents d ON d.doc_id::VARCHAR = c.source_id",
+    "briefs": """SELECT doc_id, '标题：' || source || chr(10) || '摘要：' || coalesce(text, '')[1:300] AS document, concat_ws(chr(10), '疾病名称：' || doc_id, '就诊科室：' || source,
+  '描述节选：' || replace(trim(coalesce(text, '')[1:196], ' ' || chr(10) || chr(9)), chr(10), ' ')) AS record FROM documents""",
+    "question_verdicts": f"""SELECT doc_id, doc_id % 3 = 0 OR n % 2 = 0 AS keep, CASE WHEN doc_id % 3 = 0 THEN 'known' ELSE n::VARCHAR END AS reason
+FROM (SELECT doc_id, length({_snippet(60)}) AS n FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))""",
+    "ask_items": f"""WITH {BM25_SQL}, {lexical_sql(5)}, c AS (SELECT query_id, string_agg('[' || rank || '] ' || chunk_id || chr(10) || text[1:600], chr(10) || chr(10) ORDER BY rank) AS context,
+  arg_min(chunk_id, rank)::VARCHAR AS first_source, count(*)::INT AS n_sources FROM lex JOIN documents ON doc_id = chunk_id GROUP BY query_id)
+SELECT item_id AS query_id, length('问题：' || text || chr(10) || chr(10) || '【资料】' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || '请只依据以上资料（含图片）回答，并在关键结论后标注引用编号。') || ' [1]' AS answer,
+  first_source, n_sources FROM benchmark LEFT JOIN c ON query_id = item_id""",
+    "labelled_compare": f"""SELECT 'recall@5' AS metric, count(*) AS n, {r6('avg(x)')} AS mean_a, {r6('avg(y)')} AS mean_b, count(*) FILTER (WHERE x > y) AS wins, count(*) FILTER (WHERE x = y) AS ties,
+  count(*) FILTER (WHERE x < y) AS losses FROM (SELECT (o_custkey * 3 + o_orderkey * 2) % 11 AS x, (o_custkey * 5 + o_orderkey * 2) % 11 AS y FROM orders)""",
     "text_functions": f"""SELECT doc_id, len(regexp_extract_all(lower(text), '{TOKEN_SQL}')) AS n_tokens, md5({_CLEAN.format(t='text')}) AS cleaned, {_snippet(80)} AS snippet,
   coalesce(nullif({_SLUG}, ''), 'doc')[1:120] AS slug, doc_id || ':' || md5(text)[1:12] AS key, len(list_filter(list_transform(regexp_split_to_array(text, '[,，、;；]+'), lambda x: trim(x)), lambda x: x <> '')) AS n_parts,
   len(list_distinct(list_transform(range(1, length(text)), lambda i: substr(text, i, 2)))) AS n_bigrams FROM documents""",

@@ -121,6 +121,26 @@ def verbalize(name: Column, fields: list[tuple[str, Column]]) -> Column:
     return F.when(F.coalesce(strip(name), F.lit("")) != "", F.concat_ws("\n\n", strip(name), *full))
 
 
+#: The heads of briefs, and what a record's description stands behind.
+TITLE_HEAD, SUMMARY_HEAD, NAME_HEAD, EXCERPT_HEAD, DESCRIPTION = "标题：", "摘要：", "疾病名称：", "描述节选：", "【描述】"
+RECORD_HEADS = {"department": "就诊科室：", "symptoms": "症状：", "exams": "检查项目：", "treatments": "治疗方式："}
+
+
+def document_brief(title: Column, content: Column, limit: int = 300) -> Column:
+    """Title and the beginning of the content, for a prompt; nulls are empty."""
+    return F.concat(F.lit(TITLE_HEAD), F.coalesce(title, F.lit("")), F.lit(f"\n{SUMMARY_HEAD}"), F.left(F.coalesce(content, F.lit("")), F.lit(limit)))
+
+
+def record_brief(name: Column, fields: dict[str, Column], content: Column, with_name: bool = True, excerpt: int = 196) -> Column:
+    """A record for a prompt, one headed line a field (by the names of RECORD_HEADS): empty ones are left out. Of the content comes the beginning of its
+    description, on one line, where it has one."""
+    lines = [F.concat(F.lit(NAME_HEAD), F.coalesce(name, F.lit("")))] if with_name else []
+    lines += [F.when(F.coalesce(fields[k], F.lit("")) != "", F.concat(F.lit(head), fields[k])) for k, head in RECORD_HEADS.items() if k in fields]
+    at = F.instr(F.coalesce(content, F.lit("")), DESCRIPTION)
+    begun = F.replace(strip(F.substring(content, at + len(DESCRIPTION), F.lit(excerpt))), F.lit("\n"), F.lit(" "))
+    return F.concat_ws("\n", *lines, F.when(at > 0, F.concat(F.lit(EXCERPT_HEAD), begun)))
+
+
 def replace_all(text: Column, words: list[str], by: str = " ") -> Column:
     return reduce(lambda t, w: F.replace(t, F.lit(w), F.lit(by)), words, text)
 

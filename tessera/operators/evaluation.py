@@ -76,6 +76,33 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def run_values(values: DataFrame, label: str, stage: str, metric: str) -> tuple[str, DataFrame]:
+    """(query set, (query_id, metric, value)) of the last run of a label, from the logged values (seq, label, eval_set, stage, query_id,
+    metric, value). A ValueError says so if there is no such run, if some query of it has no values for the stage (old logs
+    don't have them), or if the stage hasn't the metric. A null value counts as 0."""
+    of_label = values.where(F.col("label") == label)
+    last = of_label.agg(F.max("seq").alias("seq"), F.max_by("eval_set", "seq").alias("eval_set")).first()
+    if last.seq is None:
+        raise ValueError(f"no run has the label {label!r}")
+    run = of_label.where(F.col("seq") == last.seq)
+    at_stage = F.col("stage") == stage
+    n = run.agg(F.count_distinct("query_id").alias("all"), F.count_distinct(F.when(at_stage, F.col("query_id"))).alias("some"), F.collect_set(F.when(at_stage, F.col("metric"))).alias("metrics")).first()
+    if n.some < n.all:
+        raise ValueError(f"run {label!r} has no values for stage {stage!r} in {n.all - n.some} of {n.all} queries; run it again")
+    if metric not in n.metrics:
+        raise ValueError(f"run {label!r} has no metric {metric!r}, but {sorted(n.metrics)}")
+    found = run.where(at_stage & (F.col("metric") == metric)).select("query_id", "metric", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return last.eval_set, found
+
+
+def compare_labels(values: DataFrame, a: str, b: str, stage: str = "hybrid_rerank", metric: str = "recall@5") -> DataFrame:
+    """compare() of the last runs of two labels; runs over different query sets are a ValueError."""
+    (set_a, run_a), (set_b, run_b) = (run_values(values, label, stage, metric) for label in (a, b))
+    if set_a != set_b:
+        raise ValueError(f"the runs have different query sets: {set_a!r} and {set_b!r}")
+    return compare(run_a, run_b)
+
+
 def flips(a: DataFrame, b: DataFrame) -> DataFrame:
     """The queries whose values differ, with the difference a - b."""
     both = a.select("query_id", "metric", F.col("value").alias("a")).join(b.select("query_id", "metric", F.col("value").alias("b")), ["query_id", "metric"])
