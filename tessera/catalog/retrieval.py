@@ -199,24 +199,26 @@ def stage_comparison(spark, sf_dir):
     return plans.evaluate_stages(stages(spark, sf_dir), gold(spark, sf_dir)).select("stage", "metric", six("mean"), "n")
 
 
-def _values(spark, sf_dir, hits):
-    return long(metrics_of(spark, sf_dir, hits), "run").select("query_id", "metric", "value")
+def _two_runs(spark, sf_dir):
+    """The values (query_id, metric, value) of two lexical runs over one index."""
+    shared, right = index(spark, sf_dir), gold(spark, sf_dir)
+    work = Workspace(spark, "runs")
+
+    def values(fallback):
+        hits = bm25.search(shared, questions(spark, sf_dir), 10, fallback=fallback).withColumn("source_id", F.col("chunk_id"))
+        return work.save(long(rank_metrics(hits, right), "run").select("query_id", "metric", "value"), "values")
+
+    return values(False), values(True)
 
 
 def run_compare(spark, sf_dir):
     """Two lexical runs on their common queries: wins, ties and losses by metric."""
-    shared = index(spark, sf_dir)
-    a = _values(spark, sf_dir, bm25.search(shared, questions(spark, sf_dir), 10))
-    b = _values(spark, sf_dir, bm25.search(shared, questions(spark, sf_dir), 10, fallback=True))
-    return compare(a, b).select("metric", "n", six("mean_a"), six("mean_b"), "wins", "ties", "losses")
+    return compare(*_two_runs(spark, sf_dir)).select("metric", "n", six("mean_a"), six("mean_b"), "wins", "ties", "losses")
 
 
 def run_permutation(spark, sf_dir):
     """Seeded sign-flip test of the same two runs."""
-    shared = index(spark, sf_dir)
-    a = _values(spark, sf_dir, bm25.search(shared, questions(spark, sf_dir), 10))
-    b = _values(spark, sf_dir, bm25.search(shared, questions(spark, sf_dir), 10, fallback=True))
-    return permutation_test(a, b)
+    return permutation_test(*_two_runs(spark, sf_dir))
 
 
 def bootstrap_ci(spark, sf_dir):

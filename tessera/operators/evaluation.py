@@ -34,7 +34,9 @@ def rank_metrics(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS, ded
     found = [F.min("rank").alias("first_rank")]
     for k in ks:
         inside = F.col("rank") <= k
-        found += [F.countDistinct(F.when(inside, F.col("source_id"))).alias(f"n{k}"), F.sum(F.when(inside, gain)).alias(f"dcg{k}")]
+        # gains are added up by rank, so that equal places give equal sums to the last bit, and runs tie
+        gains = F.array_sort(F.collect_list(F.when(inside, F.struct("rank", gain.alias("gain")))))
+        found += [F.countDistinct(F.when(inside, F.col("source_id"))).alias(f"n{k}"), F.aggregate(gains, F.lit(0.0), lambda s, g: s + g["gain"]).alias(f"dcg{k}")]
     per = n.join(right.groupBy("query_id").agg(*found), "query_id", "left")
     out = ["query_id", "first_rank", F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0)).alias("mrr")]
     for k in ks:
