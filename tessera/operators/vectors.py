@@ -19,8 +19,8 @@ from tessera.functions.text import strip
 from tessera.operators.ranking import DIGITS, top_k
 from tessera.storage import spread
 
-#: Query vectors held in a task at once.
-BLOCK = 1024
+#: Query vectors held in a task at once, and scores computed at once, so that a task's memory grows with neither queries nor rows.
+BLOCK, SCORES_AT_ONCE = 1024, 1 << 19
 HITS = "query_id long, chunk_id long, score double"
 
 
@@ -41,6 +41,26 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norms == 0, 1, norms)
 
 
+def _best(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, k: int, metric: str) -> Iterator[pa.RecordBatch]:
+    """The k best rows of all batches for each query vector of q."""
+    held_ids, held = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+    step = max(k, SCORES_AT_ONCE // len(ids))
+    for batch in (whole.slice(at, step) for whole in batches for at in range(0, len(whole), step)):
+        m = batch.column("v").flatten().to_numpy().reshape(len(batch), -1)
+        chunk = batch.column("chunk_id").to_numpy()
+        if metric == "cosine":
+            s = q @ _unit(m).T
+        elif metric == "ip":
+            s = q @ m.T
+        else:
+            s = -((q**2).sum(1)[:, None] - 2 * q @ m.T + (m**2).sum(1)[None, :])
+        held_ids, held = np.concatenate([held_ids, np.broadcast_to(chunk, s.shape)], axis=1), np.concatenate([held, s], axis=1)
+        order = np.lexsort((held_ids, -np.floor(held * 10**DIGITS + 0.5)), axis=1)[:, :k]
+        held_ids, held = np.take_along_axis(held_ids, order, 1), np.take_along_axis(held, order, 1)
+    n = held.shape[1]
+    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(held_ids.reshape(-1)), pa.array(held.reshape(-1))], ["query_id", "chunk_id", "score"])
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding") -> DataFrame:
     """(query_id, chunk_id, rank, score): the k best rows for each query, ties by chunk_id. metric: cosine, ip or l2.
 
@@ -51,22 +71,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
     for ids, q in _blocks(queries.where(F.col(query_vector).isNotNull()), query_id, query_vector):
 
         def best(batches, ids=ids, q=_unit(q) if metric == "cosine" else q):
-            held_ids, held = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-            for batch in batches:
-                column = batch.column("v")
-                m = column.flatten().to_numpy().reshape(len(column), -1)
-                chunk = batch.column("chunk_id").to_numpy()
-                if metric == "cosine":
-                    s = q @ _unit(m).T
-                elif metric == "ip":
-                    s = q @ m.T
-                else:
-                    s = -((q**2).sum(1)[:, None] - 2 * q @ m.T + (m**2).sum(1)[None, :])
-                held_ids, held = np.concatenate([held_ids, np.broadcast_to(chunk, s.shape)], axis=1), np.concatenate([held, s], axis=1)
-                order = np.lexsort((held_ids, -np.floor(held * 10**DIGITS + 0.5)), axis=1)[:, :k]
-                held_ids, held = np.take_along_axis(held_ids, order, 1), np.take_along_axis(held, order, 1)
-            n = held.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(held_ids.reshape(-1)), pa.array(held.reshape(-1))], ["query_id", "chunk_id", "score"])
+            return _best(batches, ids, q, k, metric)
 
         one = rows.mapInArrow(best, HITS)
         every = one if every is None else every.unionByName(one)
