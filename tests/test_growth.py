@@ -7,10 +7,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.operators import bm25, vectors
+from tessera.operators import bm25, evalset, vectors
 from tessera.operators.evaluation import compare, long, rank_metrics
 from tessera.operators.components import connected_components
 from tessera.storage import fine_tasks
+from tessera.streaming import stateful
 
 
 def test_runs_with_equal_places_tie_whatever_the_order_of_rows(spark):
@@ -69,3 +70,50 @@ def test_components_are_made_by_more_tasks_as_edges_grow(spark):
     got = connected_components(spark.createDataFrame([(1, 2), (2, 3), (7, 7), (9, 8)], "src long, dst long"))
     assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 8), (9, 8)]
     assert [spark.conf.get(n) for n in names] == before
+
+
+def test_sets_of_questions_go_by_numbers(spark, monkeypatch):
+    kinds = []
+    made = evalset._Alike.__init__
+
+    def init(self, sets, work):
+        made(self, sets, work)
+        kinds.extend(t.schema["key"].dataType.simpleString() for t in (self.small, self.large, self.sets))
+
+    monkeypatch.setattr(evalset._Alike, "__init__", init)
+    asked = [(9, "how is the weather today"), (10, "how is the weather todays"), (2, "what does it cost to fly"), (3, "short"), (11, "what does it cost to fly")]
+    questions = spark.createDataFrame([(i, q, "name_led", "") for i, q in asked], "id long, question string, style string, name string").repartition(3)
+    got = {r.id: r.drop_reason for r in evalset.checked(questions).collect()}
+    assert got == {9: None, 10: "like:9", 2: None, 3: "length", 11: "like:2"}
+    assert kinds == ["bigint"] * 3
+
+
+def test_a_trace_is_one_value_of_state():
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        registerTimer = deleteTimer = lambda self, at: calls.append("timer")
+
+        def getValueState(self, name, schema):
+            return Value()
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 100
+
+    quiet = stateful._Quiet(10)
+    quiet.init(Handle())
+    rows = [{"name": f"n{i % 7}", "ms": 1.0, "at": 100 + i} for i in range(50)] + [{"name": "x", "ms": 2.0, "at": 99}]
+    late = list(quiet.handleInputRows(("t",), iter(rows), Times()))
+    assert calls == ["get", "timer", "update"] and [(r.name, r.ms, r.last, r.late) for r in late] == [("x", 2.0, 99, True)]
+    assert sum(quiet.held.held[2]) == 50 and quiet.held.held[3] == 149
