@@ -140,3 +140,38 @@ def test_a_text_and_its_repetitions_are_near_copies(make):
     texts |= {10 + i: t for i, t in enumerate(other)}
     left = {r.doc_id for r in simhash.one_of_each(make(list(texts.items()))).collect()}
     assert left == {1, *range(10, 50)}
+
+
+def test_no_link_at_the_similarity_is_lost(make):
+    """Short texts, whose fingerprints tell little, and long families of which many pairs lie about 0.8: the groups are those of all pairs."""
+    rng = np.random.default_rng(5)
+    rows, vocabulary = [], np.array([f"w{i}" for i in range(5000)])
+    for g in range(150):  # four and five shingles
+        words = vocabulary[rng.integers(0, 5000, 9)]
+        rows += [words, words[:8]]
+    for g in range(12):
+        base = vocabulary[rng.integers(0, 5000, 150)]
+        for k in range(25):
+            copy = base.copy()
+            copy[rng.integers(0, 150, int(rng.integers(1, 6)))] = f"e{g} {k}"
+            rows.append(copy)
+    line = vocabulary[:40]  # a line of many documents
+    rows += [np.concatenate([line, vocabulary[rng.integers(0, 5000, 60)]]) for _ in range(60)]
+    texts = [" ".join(r) for r in rows]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.split() for t in texts)]
+    first = list(range(len(texts)))
+
+    def find(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+                low, high = sorted((find(i), find(j)))
+                first[high] = low
+    for tile in (16, simhash.TILE):
+        stay = {r.doc_id for r in simhash.one_of_each(make(list(enumerate(texts))), tile=tile).collect()}
+        assert stay == {find(i) for i in range(len(texts))}
