@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,6 +75,11 @@ def secret_spans(blobs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> Data
     return spans.groupBy("digest").agg(F.array_sort(F.collect_list(span)).cast(SPANS).alias("spans"))
 
 
+def _has_match(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Whether any rule matches, also by a match that is too short. Most texts have none, and need not be moved."""
+    return reduce(lambda a, b: a | b, [F.coalesce(text, F.lit("")).rlike(r.pattern) for r in rules], F.lit(False))
+
+
 def ledger(spark, ledger_path: str, version: str) -> DataFrame | None:
     if not exists(spark, ledger_path):
         return None
@@ -92,7 +98,8 @@ def scan(versions: DataFrame, ledger_path: str | None = None, rules: tuple[Rule,
     ledger_path = ledger_path or work.new_path("ledger")
     version = rules_version(rules)
     keyed = texts(versions, id_col, text_col).withColumn("digest", content_digest(F.col("text")))
-    blobs = keyed.groupBy("digest").agg(F.first("text").alias("text"))
+    # texts without a match go into the ledger by their digests alone
+    blobs = keyed.select("digest", F.when(_has_match(F.col("text"), rules), F.col("text")).alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
     seen = ledger(spark, ledger_path, version)
     unseen = blobs if seen is None else blobs.join(seen.select("digest").distinct(), "digest", "left_anti")
     secret_spans(unseen, rules).select("digest", F.lit(version).alias("rule_version"), "spans").write.mode("overwrite").parquet(f"{ledger_path}/{uuid.uuid4().hex}")
@@ -133,17 +140,19 @@ def redact(text: Column, blocks: Column, spans: Column, mask: str = "[secret]")
 def redacted(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = BASE_RULES, text_col: str = "text", chars_col: str = "n_chars", mask: str = "[secret]") -> DataFrame:
     """docs with every secret in a text masked; all rows and columns stay, and ``chars_col`` follows the new text.
 
-    Null and empty texts stay as they are, repeated rows are masked alike, and an empty table stays empty. The ledger says which blobs hold secrets; those few rows are joined to it by digest, the others pass unchanged.
+    Null and empty texts stay as they are, repeated rows are masked alike, and an empty table stays empty. The ledger says which blobs hold secrets; rows that a
+    rule matches are joined to it by digest, the others pass unchanged and are not shuffled.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "redacted")
     ledger_path = ledger_path or work.new_path("ledger")
     scan(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text")), ledger_path, rules)
     found = ledger(spark, ledger_path, rules_version(rules)).where(F.size("spans") > 0).select(F.col("digest").alias("__digest"), F.col("spans").alias("__spans")).dropDuplicates(["__digest"])
-    keyed = docs.withColumn("__digest", content_digest(F.coalesce(F.col(text_col), F.lit(""))))
+    has = _has_match(F.col(text_col), rules)
+    keyed = docs.where(has).withColumn("__digest", content_digest(F.coalesce(F.col(text_col), F.lit(""))))
     joined = keyed.join(found, "__digest", "left").withColumn("__blocks", F.when(F.col("__spans").isNotNull(), blocks_of(F.col(text_col))))
     joined = joined.withColumn("__text", F.when(F.col("__spans").isNotNull(), redact(F.col(text_col), F.col("__blocks"), F.col("__spans"), mask)).otherwise(F.col(text_col)))
     out = {text_col: F.col("__text")}
     if chars_col in docs.columns:
         out[chars_col] = F.when(F.col("__spans").isNotNull(), F.length("__text").cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
-    return joined.select(*(out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    return docs.where(~has).unionByName(joined.select(*(out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns)))

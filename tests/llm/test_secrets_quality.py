@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import time
 from collections import Counter
@@ -124,3 +125,25 @@ def test_good_documents_stay(spark, sf):
     good = [r.doc_id for r in labels if r.quality == 1 and len(r.text.split()) >= 50]
     bad = [r.doc_id for r in labels if r.quality == 0]
     assert sum(d in kept for d in good) >= 0.99 * len(good) and sum(d in kept for d in bad) <= 0.1 * len(bad)
+
+
+def shuffled_bytes(spark):
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_without_a_match_are_not_shuffled(spark, make):
+    rng = random.Random(3)
+    plain = [(i, "".join(rng.choices("ghijklmnopqrs uvwxyz", k=5_000))) for i in range(200)]
+    rows = make([*plain, (900, "a token = abcdefgh b"), (901, "apikey=short"), (902, None), (903, "")])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are larger
+    try:
+        before = shuffled_bytes(spark)
+        got = {r.doc_id: r.text for r in secret_scan.redacted(rows).collect()}
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert moved < 100_000, moved
+    assert got == dict(plain) | {900: "a [secret] b", 901: "apikey=short", 902: None, 903: ""}
