@@ -185,7 +185,7 @@ WIDE_RADIUS = 28
 #: which shingles are taken, and so on the work, but not on what is found.
 SAMPLE, FREQUENT = 16, 1 << 17
 #: Pairs of one batch of places that are compared at once.
-PAIRS_AT_ONCE = 1 << 21
+PAIRS_AT_ONCE = 1 << 18
 
 
 def _shingle_set(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
