@@ -9,7 +9,9 @@ Colliding paragraphs are joined with the first document that has the key and, wi
 them in further MinHashes too (the rows of another band): a third document that shares a phrase only rarely does. They are verified
 by the Jaccard similarity of their windows around the anchor, repeated shingles counted. The windows that this document doesn't stand for are joined with each
 other by two digests of all their shingles: so an exact repeat is never lost to a third document that shares a phrase with
-it. Overlapping spans are clustered by connected components; words stay unless a smaller document has their copy.
+it. Those of one key are then held against each other, and against the near copies of its first document, by bitmaps of their shingles; what these
+don't exclude is verified too, so that every pair of paragraphs that collides is verified, or stands in one cluster by what equals it.
+Overlapping spans are clustered by connected components; words stay unless a smaller document has their copy.
 """
 
 from __future__ import annotations
@@ -174,9 +176,15 @@ def shifted(a: np.ndarray, b: np.ndarray, width: int, least: int) -> tuple[np.nd
 
 
 #: What a row of SPANS is: a span whose copy is in a larger document, in a smaller one, in the same one; or a window that is left,
-#: from start, with its digests as end and key.
-FIRST, COPY, SAME, LEFT = range(4)
-SPANS = "doc_id long, start long, end long, key long, kind long"
+#: from start, with its digests as end and key; or a run of windows with one key that the key's first document has no copy of (OPEN) or a copy that
+#: isn't equal (NEAR), with the anchor's place as start, a digest as end, and bitmaps of the shingles that all its windows have, and that any has.
+FIRST, COPY, SAME, LEFT, OPEN, NEAR = range(6)
+#: Words of 64 bits of a bitmap.
+BITMAP = 4
+BITMAPS = [f"{kind}{k}" for kind in ("all", "any") for k in range(BITMAP)]
+SPANS = "doc_id long, start long, end long, key long, kind long, " + ", ".join(f"{b} long" for b in BITMAPS)
+#: Runs of one key with which one task holds the others of the key.
+RUNS_A_PART = 8192
 
 
 class _Stretches:
@@ -220,6 +228,15 @@ def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (at[np.concatenate([[0], edge + 1])], at[np.concatenate([edge, [len(at) - 1]])]) if len(at) else (at, at)
 
 
+def _bitmaps(shingles: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A row of BITMAP words for each range of shingles."""
+    bits = np.zeros((len(shingles) + 1, BITMAP), np.uint64)
+    bits[np.arange(len(shingles)), (shingles >> np.uint64(6)) % np.uint64(BITMAP)] = np.uint64(1) << (shingles & np.uint64(63))
+    found = np.bitwise_or.reduceat(bits, np.stack([start, end], axis=1).reshape(-1), axis=0)[::2] if len(start) else bits[:0]
+    found[end <= start] = 0
+    return found.view(np.int64)
+
+
 def _verify(passage: int, similarity: float, recall: float):
     """Compares the stretch ``a`` of a document with the stretch ``b`` of a smaller one (or of the same).
 
@@ -240,7 +257,7 @@ def _verify(passage: int, similarity: float, recall: float):
         owner = np.repeat(np.arange(batch.num_rows), np.diff(a.at))[: len(a.shingles)]
         n = max(0, len(a.shingles) - width + 1)
         whole = np.arange(n) - a.at[owner[:n]] + width <= a.length[owner[:n]]
-        good, spans = np.zeros(n, bool), []  # spans: pair, start and end in a, start and end in b, key
+        good, equal, spans = np.zeros(n, bool), np.zeros(n, bool), []  # spans: pair, start and end in a, start and end in b, key
 
         _, one = np.unique(of * (1 << 34) + (p - r), return_index=True)
         number, in_a, in_b = on_diagonals(a, b, of[one], (p - r)[one])
@@ -252,6 +269,7 @@ def _verify(passage: int, similarity: float, recall: float):
         at = np.flatnonzero(fits)
         at = at[sums[at + width] - sums[at] >= least]
         good[in_a[at]] = True
+        equal[in_a[at[sums[at + width] - sums[at] == width]]] = True
         start, end = _runs(at)
         shared = np.flatnonzero(same)
         low, high = shared[np.searchsorted(shared, start)], shared[np.searchsorted(shared, end + width) - 1]
@@ -261,11 +279,12 @@ def _verify(passage: int, similarity: float, recall: float):
         place = np.full(len(a.shingles), -1)
         by_size = shared[np.argsort(np.bincount(number[shared], minlength=len(one))[number[shared]], kind="stable")]
         place[in_a[by_size]] = in_b[by_size]
-        open_, left = np.flatnonzero(whole & ~good), np.zeros(0, np.int64)
+        open_, left, runs = np.flatnonzero(whole & ~good), np.zeros(0, np.int64), []
+        tag = _mixed(np.arange(batch.num_rows, dtype=np.uint64))
+        asked = key.view(np.uint64) ^ tag[of]
+        made = [band_keys(a.shingles, width, ROWS, band) for band in range(bands)] if (whole & ~equal).any() else []
         if len(open_):
-            tag = _mixed(np.arange(batch.num_rows, dtype=np.uint64))
-            own = [band_keys(a.shingles, width, ROWS, band)[0][open_] ^ tag[owner[open_]] for band in range(bands)]
-            asked = key.view(np.uint64) ^ tag[of]
+            own = [keys[open_] ^ tag[owner[open_]] for keys, *_ in made]
             met = open_[np.any([np.isin(k, asked) for k in own], axis=0)]
             # shingles of documents with such windows that are on no diagonal are looked for anywhere in b
             lost = np.flatnonzero((place < 0) & np.isin(owner, owner[met]))
@@ -291,6 +310,14 @@ def _verify(passage: int, similarity: float, recall: float):
             # equal windows have equal keys in every band, and so meet the same document in the first: there both are left
             left = open_[np.isin(own[0], asked[others.astype(bool)])]
             left = left[~good[left]]
+        many = np.unique(asked[others.astype(bool)])
+        for keys, places, _ in made if len(many) else []:
+            for kind, some in ((OPEN, whole & ~good), (NEAR, whole & good & ~equal)):
+                w = np.flatnonzero(some)
+                w = w[np.isin(keys[w] ^ tag[owner[w]], many)]
+                if len(w):
+                    edge = np.flatnonzero((np.diff(w) > 1) | (keys[w[1:]] != keys[w[:-1]]) | (owner[w[1:]] != owner[w[:-1]]))
+                    runs.append((kind, w[np.concatenate([[0], edge + 1])], w[np.concatenate([edge, [len(w) - 1]])], keys, places))
 
         pair, s, e, ms, me, x = (np.concatenate(c).astype(np.int64) for c in zip(*spans, strict=True))
         s, e, ms, me = s - a.at[pair] + lows[pair], e - a.at[pair] + lows[pair], ms - b.at[pair] + m_lows[pair], me - b.at[pair] + m_lows[pair]
@@ -299,7 +326,22 @@ def _verify(passage: int, similarity: float, recall: float):
         if len(left):
             pair, some = owner[left], np.lib.stride_tricks.sliding_window_view(a.shingles, width)[left]
             rows.append((ids[pair], left - a.at[pair] + lows[pair], digests(some, 1), digests(some, 0), np.full(len(left), LEFT)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows, strict=True)], ["doc_id", "start", "end", "key", "kind"])
+        without = sum(len(r[0]) for r in rows)
+        marks = [np.zeros((without, 2 * BITMAP), np.int64)]
+        for kind, first, last, keys, places in runs:
+            pair = owner[first]
+            hashed = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(a.shingles) * (np.arange(len(a.shingles), dtype=np.uint64) * np.uint64(2) + np.uint64(1)), dtype=np.uint64)])
+            plain = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(a.shingles), dtype=np.uint64)])
+            stop = last + width
+            # places count from the run's first window: the sum over (2 * (place - first) + 1) * shingle
+            content = hashed[stop] - hashed[first] - np.uint64(2) * first.astype(np.uint64) * (plain[stop] - plain[first])
+            content = _mixed(_mixed(content) ^ (last - first).astype(np.uint64)).view(np.int64)
+            rows.append((ids[pair], places[first] - a.at[pair] + lows[pair], content, keys[first].view(np.int64), np.full(len(first), kind)))
+            marks.append(np.concatenate([_bitmaps(a.shingles, last, first + width), _bitmaps(a.shingles, first, stop)], axis=1))
+        columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows, strict=True)]
+        marks = np.concatenate(marks)
+        none = np.arange(len(marks)) < without
+        return pa.RecordBatch.from_arrays(columns + [pa.array(marks[:, k], mask=none) for k in range(2 * BITMAP)], ["doc_id", "start", "end", "key", "kind", *BITMAPS])
 
     def verify(batch: pa.RecordBatch):
         hits, offsets = batch.column("hits").flatten(), batch.column("hits").offsets.to_numpy()
@@ -402,13 +444,19 @@ def _compared(colliding: DataFrame, held: DataFrame, verify, passage: int, work:
     placed = work.save(reduce(DataFrame.unionByName, [m.select("doc_id", "pos", "key", "label", "n", "mate") for m in met]), "placed")
     mates = work.save(placed.where("doc_id = mate").groupBy("label").agg(F.min("pos").alias("mate_pos")), "mates")
     members = placed.join(mates.hint("merge"), "label").where("doc_id <> mate or pos <> mate_pos")
+    found = _verified(members, held, verify, passage, work)
+    work.drop(first, known, placed, mates)
+    return found
+
+
+def _verified(members: DataFrame, held: DataFrame, verify, passage: int, work: Workspace) -> DataFrame:
+    """SPANS of the comparisons of places (doc_id, pos, mate, mate_pos, key, label, n)."""
     hit = F.struct("pos", "mate_pos", "key", "label", ((F.col("n") > 2) & (F.col("key") == F.col("label"))).alias("others"))
     stretch = F.floor(F.col("pos") / STRETCH)
     pairs = members.groupBy("doc_id", "mate", stretch.alias("stretch"), F.floor(F.col("mate_pos") / STRETCH).alias("m_stretch")).agg(
         F.collect_list(hit).alias("hits"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.min("mate_pos").alias("m_low"), F.max("mate_pos").alias("m_high")
     )
     pairs = work.save(pairs.withColumn("low", F.greatest(F.lit(0), F.col("low") - passage)).withColumn("m_low", F.greatest(F.lit(0), F.col("m_low") - passage)), "pairs")
-    work.drop(first, known, placed, mates)
 
     def cut(words, low, high):
         return F.substring(words, 4 * F.col(low) + 1, 4 * (F.col(high) + passage + SHINGLE - F.col(low)))
@@ -421,6 +469,30 @@ def _compared(colliding: DataFrame, held: DataFrame, verify, passage: int, work:
     return found
 
 
+def _still_open(verified: DataFrame, passage: int, similarity: float, work: Workspace) -> DataFrame:
+    """(doc_id, pos, mate, mate_pos, key, label, n): of each key, the runs that its first document has no copy of, with each other and with
+    those that it has a near copy of, unless bitmaps tell that no windows of both are similar. Of equal runs one is taken; the others are known as its repeats.
+
+    A window shares all but ``lost`` of its shingles with one that is similar. What all windows of a run have lies in this window, and what this has in
+    what any of the other run has: no more than ``lost`` bits are missing there. A bit may stand for several shingles, so only too many pairs stay.
+    """
+    width = passage - SHINGLE + 1
+    lost = width - needed(width, similarity)
+    rows = verified.where(F.col("kind") >= OPEN).select("key", F.col("end").alias("content"), F.struct("doc_id", F.col("start").alias("pos"), *BITMAPS).alias("at"), "kind")
+    runs = work.save(rows.groupBy("key", "content").agg(F.min("at").alias("at"), F.min("kind").alias("kind")).select("key", "kind", "at.*"), "runs-open")
+    keys = runs.groupBy("key").agg(F.ceil(F.count("*") / RUNS_A_PART).cast("int").alias("parts"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("kind").alias("least"))
+    keys = work.save(keys.where((F.col("low") < F.col("high")) & (F.col("least") == OPEN)).select("key", "parts"), "keys-open")
+    runs = runs.join(keys.hint("merge"), "key")
+    left = runs.where(F.col("kind") == OPEN).select("key", F.pmod(F.xxhash64("doc_id", "pos"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(f"a_{c}") for c in ("doc_id", "pos", *BITMAPS)))
+    right = runs.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "kind", "doc_id", "pos", *BITMAPS)
+    missing = lambda one, two: sum((F.bit_count(F.col(f"{one}all{k}").bitwiseAND(F.bitwise_not(F.col(f"{two}any{k}")))) for k in range(BITMAP)), F.lit(0))
+    once = (F.col("doc_id") < F.col("a_doc_id")) | ((F.col("kind") == NEAR) & (F.col("doc_id") > F.col("a_doc_id")))
+    met = left.join(right.hint("merge"), ["key", "part"]).where(once & (missing("a_", "") <= lost) & (missing("", "a_") <= lost))
+    after = F.col("a_doc_id") > F.col("doc_id")
+    ends = [F.when(after, F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in (("doc_id", "a_doc_id", "doc_id"), ("pos", "a_pos", "pos"), ("mate", "doc_id", "a_doc_id"), ("mate_pos", "pos", "a_pos"))]
+    return work.save(met.select(*ends, "key", F.col("key").alias("label"), F.lit(2).cast("long").alias("n")), "met-open")
+
+
 def _equal(left: DataFrame, passage: int, work: Workspace) -> DataFrame:
     """SPANS of the windows that are left and that another document has too, by both digests. Equal ones need no comparison."""
     same = ["key", "end"]
@@ -474,10 +546,13 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float
 
     once = source.join(wanted, "doc_id")
     held = work.save(map_arrow(once, words, "doc_id long, words binary"), "words")
-    verified = _compared(colliding, held, _verify(passage, similarity, recall), passage, work)
-    work.drop(colliding, held)
+    verify, span = _verify(passage, similarity, recall), ["doc_id", "start", "end", "key", "kind"]
+    verified = _compared(colliding, held, verify, passage, work)
+    work.drop(colliding)
+    more = _verified(_still_open(verified, passage, similarity, work), held, verify, passage, work)
+    work.drop(held)
     left = verified.where(F.col("kind") == LEFT).select("doc_id", "start", "end", "key")
-    found = verified.where(F.col("kind") < LEFT).unionByName(_equal(left, passage, work))
+    found = verified.unionByName(more).where(F.col("kind") < LEFT).select(span).unionByName(_equal(left, passage, work))
 
     order = Window.partitionBy("doc_id").orderBy("start", "end", "key")
     open_end = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))

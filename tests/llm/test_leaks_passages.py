@@ -250,3 +250,34 @@ def test_near_copies_in_stock_sentences(make):
     pairs = [x for x in pairs if alike(*(rows[d][at : at + 60] for d, at in x))]
     found = sum(all(len(got[d] & set(range(at, at + 60))) >= 46 for d, at in x) for x in pairs)
     assert len(pairs) > 60 and found >= 0.9 * len(pairs), (found, len(pairs))
+
+
+def test_no_colliding_near_copy_is_lost(make):
+    """Near copies in stock sentences, as above: all that collide in a band are found, whatever documents have their keys first."""
+    import numpy as np
+
+    rng = random.Random(17)
+    prose = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    stock = [prose(15) for _ in range(40)]
+    rows = {d: [w for _ in range(rng.randint(10, 30)) for w in rng.choice(stock)] for d in range(600)}
+    where, wanted = rng.sample(range(300, 600), 160), []
+    for t in range(80):
+        shared = [w for s in rng.sample(stock, 4) for w in s]
+        for d, words in ((where[2 * t], shared), (where[2 * t + 1], [*shared[: (m := rng.randrange(60))], *prose(1), *shared[m + 1 :]])):
+            at = 15 * rng.randrange(len(rows[d]) // 15)
+            rows[d] = rows[d][:at] + words + rows[d][at:]
+            wanted.append((d, at))
+
+    def keys(words):
+        shingles = passages.shingles_of(np.array([passages.xxhash.xxh32_intdigest(w) for w in words], np.uint32))
+        return shingles, [passages.band_keys(shingles, 47, passages.ROWS, band)[0] for band in range(passages.bands_for())]
+
+    def collide(a, b):
+        (x, ka), (y, kb) = keys(a), keys(b)
+        return any(p == q and len(np.intersect1d(x[i : i + 47], y[j : j + 47])) >= 42 for m, n in zip(ka, kb) for i, p in enumerate(m) for j, q in enumerate(n))
+
+    got, _ = found_words(make([(d, " ".join(w)) for d, w in rows.items()]))
+    pairs = [(wanted[2 * t], wanted[2 * t + 1]) for t in range(80)]
+    pairs = [x for x in pairs if collide(*(rows[d][at : at + 60] for d, at in x))]
+    lost = [x for x in pairs if any(len(got[d] & set(range(at, at + 60))) < 46 for d, at in x)]
+    assert len(pairs) > 60 and not lost, (len(lost), len(pairs))
