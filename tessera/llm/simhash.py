@@ -250,7 +250,7 @@ def _verified(edges: DataFrame, source: DataFrame, marked: DataFrame, words: int
     ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     one = marked.groupBy("node").agg(F.min("row").alias("row"))
     wanted = work.save(one.join(ends.hint("merge"), "node").select("row", "node"), "wanted")
-    held = source.select("row", "text").join(wanted, "row").select("node", "text")
+    held = source.select("row", "text").join(wanted.hint("merge"), "row").select("node", "text")
     held = work.save(held.dropDuplicates(["node"]) if repeated else held, "texts")
     side = lambda end, name: held.select(F.col("node").alias(end), F.col("text").alias(name)).hint("merge")
     both = join_dealt(join_dealt(edges, side("src", "a"), "src", ["dst"], work), side("dst", "b"), "dst", ["src"], work, edges)
@@ -379,6 +379,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     other = ~(groups["doc_id"].eqNullSafe(stays["doc_id"]) & (groups["row"] == stays["row"]))
     gone = work.save(groups.join(stays, "group").where(other).select(groups["doc_id"].alias("__id"), groups["row"].alias("__row")).distinct(), "gone")
     keyed = docs.withColumn("__row", key)
+    gone = gone.hint("merge")
     rest = keyed.join(gone, F.col(id_col).cast("long").eqNullSafe(gone["__id"]) & (keyed["__row"] == gone["__row"]), "left_anti")
     if not again:
         return rest.select(docs.columns)

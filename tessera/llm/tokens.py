@@ -17,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries that a worker keeps in each of two generations. It bounds memory only: a piece that has been dropped is encoded again.
-PIECES_KEPT = 600_000
-#: Bytes of text that are cut and looked up at once.
-BYTES_AT_ONCE = 16_000_000
+#: Entries that a worker keeps in each of two generations. It bounds memory only: a piece that has been dropped is encoded again. An
+#: entry takes some 300 bytes, and in a corpus of many rare words nearly every piece is one.
+PIECES_KEPT = 60_000
+#: Bytes of text that are cut and looked up at once. What these hold that is new is kept beside the entries.
+BYTES_AT_ONCE = 1_000_000
 #: A space is a certain cut for the byte-level vocabulary if something other than white space follows.
 _UNSURE_SPACE = r" (?:[\s\pZ\x0b\x1c-\x1f\x{85}]|\z)|\x01"
 #: White space to some, but not to the library.

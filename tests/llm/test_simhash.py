@@ -85,6 +85,12 @@ def test_forest_keeps_components():
     assert len({find(v) for v in parent}) == 1
 
 
+def test_a_small_corpus_is_joined_as_a_large_one(make):
+    stay = simhash.one_of_each(make([(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(20)]))
+    stay.collect()
+    assert "BroadcastHashJoin" not in stay._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_of_each(spark, make, empty, texts):
     distinct = [t for t in dict.fromkeys(texts.values()) if len(t.split()) > 300][:20]
     rows = []

@@ -41,6 +41,22 @@ def test_any_text(texts_):
 PIECES = {}
 
 
+def test_many_rare_words_are_held_in_bounded_number():
+    texts_ = [" ".join(f"w{i}x{k}" for k in range(2000)) for i in range(200)]  # 400,000 distinct words
+    for path in (BYTE, WORD):
+        encoder, most, known = PieceEncoder(path), [], PieceEncoder._known
+
+        def counted(pieces):
+            made = known(encoder, pieces)
+            most.append(len(encoder.pieces) + len(encoder.older) + len(pieces))
+            return made
+
+        encoder._known = counted
+        got = list(encoder.encode(texts_))
+        assert max(most) < 400_000
+        assert got[::50] == [by_library(encoder, t) for t in texts_[::50]]
+
+
 def test_counts(spark, odd, empty, tmp_path):
     cache = f"file://{tmp_path}/cache"
     got = token_counts.token_counts(odd, BYTE, cache).collect()
