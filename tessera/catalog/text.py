@@ -34,11 +34,11 @@ def contextual_chunks(spark, sf_dir):
 
 
 def parent_documents(spark, sf_dir):
-    """The documents behind the ten best chunks of each item, put together again from their chunks."""
+    """All the documents behind the ten best chunks of each item, put together again as a whole from their chunks."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
     made = chunking.make_chunks(docs, "fixed", 360, 80, False)
     hits = lexical(spark, sf_dir, 10).select("query_id", "rank", F.col("chunk_id").cast("string").alias("source_id"))
-    return chunking.parent_documents(hits, made, 5, 4000).select("query_id", "parent_rank", "source_id", "text")
+    return chunking.parent_documents(hits, made, None, None, 80).select("query_id", "parent_rank", "source_id", "text")
 
 
 def chunk_lateral(spark, sf_dir):

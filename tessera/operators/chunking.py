@@ -91,15 +91,18 @@ def contextual_prefix(chunks: DataFrame, describe, cached: DataFrame | None = No
     return keyed.withColumn("text", told if first is None else F.when(F.col("chunk_index") < first, told).otherwise(F.col("text"))).drop("key", "known")
 
 
-def parent_documents(hits: DataFrame, chunks: DataFrame, max_parents: int = 5, max_chars: int = 4000) -> DataFrame:
+def parent_documents(hits: DataFrame, chunks: DataFrame, max_parents: int | None = 5, max_chars: int | None = 4000, overlap: int = 200) -> DataFrame:
     """hits (query_id, rank, source_id), chunks -> (query_id, parent_rank, source_id, text): the whole documents behind
-    the hits, in the order of their first hit, overlaps written once."""
+    the hits, in the order of their first hit, overlaps written once. max_parents, max_chars: what a prompt has room for; None: all
+    of a query's documents, or all of a text. overlap: what chunks share at most; in a text that repeats itself more would fit."""
     from pyspark.sql import Window
 
     first = hits.groupBy("query_id", "source_id").agg(F.min("rank").alias("rank"))
     order = Window.partitionBy("query_id").orderBy("rank", "source_id")
-    parents = Workspace(hits.sparkSession, "parents").save(first.withColumn("parent_rank", F.row_number().over(order)).where(F.col("parent_rank") <= max_parents))
+    ranked = first.withColumn("parent_rank", F.row_number().over(order))
+    parents = Workspace(hits.sparkSession, "parents").save(ranked if max_parents is None else ranked.where(F.col("parent_rank") <= max_parents))
     wanted = chunks.join(parents.select("source_id").distinct(), "source_id", "left_semi")
     whole = wanted.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("parts"))
-    texts = whole.select("source_id", F.left(join_overlap(F.col("parts.text")), F.lit(max_chars)).alias("text"))
+    text = join_overlap(F.col("parts.text"), most=overlap)
+    texts = whole.select("source_id", (text if max_chars is None else F.left(text, F.lit(max_chars))).alias("text"))
     return parents.join(texts, "source_id").select("query_id", "parent_rank", "source_id", "text")

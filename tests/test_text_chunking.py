@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera.catalog import QUERIES
 from tessera.functions import text as T
 from tessera.operators import chunking, rewriting
 
@@ -93,6 +94,16 @@ def test_context_cache_and_parents(spark):
     assert [(r.source_id, r.text) for r in rows] == [("e", "other"), ("d", "first part of d 123456 ends")]
 
 
+def test_all_parents_as_a_whole(spark, tmp_path):
+    line = "the same line of a text that says it again and again\n"
+    texts = [(i, f"apple {i} " + (line * 100 if i == 3 else " ".join(f"w{k * k % 977}" for k in range(i * 200)))) for i in range(12)] + [(12, None)] + [(i, f"other{i}") for i in range(13, 50)]
+    spark.createDataFrame([(i, "en", f"src{i}", t) for i, t in texts], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "an apple")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = QUERIES["parent_documents"](spark, str(tmp_path)).orderBy("parent_rank").collect()
+    assert [r.parent_rank for r in rows] == list(range(1, 11)) and sum(len(r.text) > 4000 for r in rows) >= 5
+    assert all(r.text == f"src{r.source_id}\n\n{texts[int(r.source_id)][1].strip()}" for r in rows) and "3" in {r.source_id for r in rows}
+
+
 def test_rewriting(spark):
     assert one(spark, rewriting.add_terms(F.col("q")), q="拉肚子和心脏不舒服，胸闷") == "拉肚子和心脏不舒服，胸闷 腹泻 心悸"
     assert one(spark, rewriting.keywords(F.col("q")), q="请问，高血压会不会头痛？") == "高血压 头痛"
