@@ -42,6 +42,8 @@ ROWS = 2
 STRETCH = 4096
 #: Places of diagonals that are compared at once.
 PLACES_AT_ONCE = 600_000
+#: Windows whose shingles are put in order at once.
+WINDOWS_AT_ONCE = 1 << 15
 #: Bytes of text that are hashed at once.
 BYTES_AT_ONCE = 8_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -177,14 +179,9 @@ def shifted(a: np.ndarray, b: np.ndarray, width: int, least: int) -> tuple[np.nd
 
 #: What a row of SPANS is: a span whose copy is in a larger document, in a smaller one, in the same one; or a window that is left,
 #: from start, with its digests as end and key; or a run of windows with one key that the key's first document has no copy of (OPEN) or a copy that
-#: isn't equal (NEAR), with the anchor's place as start, a digest as end, and bitmaps of the shingles that all its windows have, and that any has.
+#: isn't equal (NEAR), with the anchor's place as start and 32 bits of each of its shingles, the first at low.
 FIRST, COPY, SAME, LEFT, OPEN, NEAR = range(6)
-#: Words of 64 bits of a bitmap.
-BITMAP = 4
-BITMAPS = [f"{kind}{k}" for kind in ("all", "any") for k in range(BITMAP)]
-SPANS = "doc_id long, start long, end long, key long, kind long, " + ", ".join(f"{b} long" for b in BITMAPS)
-#: Runs of one key with which one task holds the others of the key.
-RUNS_A_PART = 8192
+SPANS = "doc_id long, start long, end long, key long, kind long, low long, shingles array<int>"
 
 
 class _Stretches:
@@ -228,13 +225,9 @@ def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (at[np.concatenate([[0], edge + 1])], at[np.concatenate([edge, [len(at) - 1]])]) if len(at) else (at, at)
 
 
-def _bitmaps(shingles: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A row of BITMAP words for each range of shingles."""
-    bits = np.zeros((len(shingles) + 1, BITMAP), np.uint64)
-    bits[np.arange(len(shingles)), (shingles >> np.uint64(6)) % np.uint64(BITMAP)] = np.uint64(1) << (shingles & np.uint64(63))
-    found = np.bitwise_or.reduceat(bits, np.stack([start, end], axis=1).reshape(-1), axis=0)[::2] if len(start) else bits[:0]
-    found[end <= start] = 0
-    return found.view(np.int64)
+def _ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of ranges, one after another."""
+    return np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
 
 
 def _verify(passage: int, similarity: float, recall: float):
@@ -327,21 +320,19 @@ def _verify(passage: int, similarity: float, recall: float):
             pair, some = owner[left], np.lib.stride_tricks.sliding_window_view(a.shingles, width)[left]
             rows.append((ids[pair], left - a.at[pair] + lows[pair], digests(some, 1), digests(some, 0), np.full(len(left), LEFT)))
         without = sum(len(r[0]) for r in rows)
-        marks = [np.zeros((without, 2 * BITMAP), np.int64)]
+        lows_of, held, lengths = [np.zeros(without, np.int64)], [np.zeros(0, np.int32)], [np.zeros(without, np.int64)]
         for kind, first, last, keys, places in runs:
             pair = owner[first]
-            hashed = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(a.shingles) * (np.arange(len(a.shingles), dtype=np.uint64) * np.uint64(2) + np.uint64(1)), dtype=np.uint64)])
-            plain = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(a.shingles), dtype=np.uint64)])
             stop = last + width
-            # places count from the run's first window: the sum over (2 * (place - first) + 1) * shingle
-            content = hashed[stop] - hashed[first] - np.uint64(2) * first.astype(np.uint64) * (plain[stop] - plain[first])
-            content = _mixed(_mixed(content) ^ (last - first).astype(np.uint64)).view(np.int64)
-            rows.append((ids[pair], places[first] - a.at[pair] + lows[pair], content, keys[first].view(np.int64), np.full(len(first), kind)))
-            marks.append(np.concatenate([_bitmaps(a.shingles, last, first + width), _bitmaps(a.shingles, first, stop)], axis=1))
+            rows.append((ids[pair], places[first] - a.at[pair] + lows[pair], np.zeros(len(first), np.int64), keys[first].view(np.int64), np.full(len(first), kind)))
+            lows_of.append(first - a.at[pair] + lows[pair])
+            held.append((a.shingles[_ranges(first, stop - first)] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            lengths.append(stop - first)
         columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows, strict=True)]
-        marks = np.concatenate(marks)
-        none = np.arange(len(marks)) < without
-        return pa.RecordBatch.from_arrays(columns + [pa.array(marks[:, k], mask=none) for k in range(2 * BITMAP)], ["doc_id", "start", "end", "key", "kind", *BITMAPS])
+        none = np.arange(sum(map(len, lows_of))) < without
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int32)
+        shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(held)), mask=pa.array(none))
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(lows_of), mask=none), shingles], ["doc_id", "start", "end", "key", "kind", "low", "shingles"])
 
     def verify(batch: pa.RecordBatch):
         hits, offsets = batch.column("hits").flatten(), batch.column("hits").offsets.to_numpy()
@@ -469,28 +460,109 @@ def _verified(members: DataFrame, held: DataFrame, verify, passage: int, work: W
     return found
 
 
+def _hopeful(width: int, lost: int):
+    """Runs (key, kind, doc_id, pos, low, shingles, own) cut to the windows that have at most ``lost`` shingles of their own, which are
+    null then, with a digest of the others and of their places."""
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists, own = batch.column("shingles"), batch.column("own")
+        length, at = np.diff(lists.offsets.to_numpy()), lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
+        shingles, low = lists.flatten().to_numpy(), batch.column("low").to_numpy()
+        row, of = (np.repeat(np.arange(batch.num_rows), n) for n in (length, pc.fill_null(pc.list_value_length(own), 0).to_numpy()))
+        place = own.flatten().to_numpy() - low[of]
+        inside = (place >= 0) & (place < length[of])
+        single = np.zeros(len(shingles), bool)
+        single[at[of[inside]] + place[inside]] = True
+        sums = np.concatenate([[0], np.cumsum(single)])
+        w = np.flatnonzero(np.arange(len(shingles)) - at[row] + width <= length[row])
+        w = w[sums[w + width] - sums[w] <= lost]
+        edge = np.flatnonzero((np.diff(w) > 1) | (row[w[1:]] != row[w[:-1]]))
+        first, last = (w[np.concatenate([[0], edge + 1])], w[np.concatenate([edge, [len(w) - 1]])]) if len(w) else (w, w)
+        stop = last + width
+        mixed = np.where(single, np.uint64(0), _mixed(shingles.view(np.uint32).astype(np.uint64) + np.uint64(1)))
+        upto, weighed = (np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (mixed, mixed * np.arange(len(shingles), dtype=np.uint64)))
+        plain = upto[stop] - upto[first]
+        content = _mixed(_mixed(weighed[stop] - weighed[first] - first.astype(np.uint64) * plain) ^ _mixed(plain) + (last - first).astype(np.uint64)).view(np.int64)
+        some, held = pa.array(row[first]), _ranges(first, stop - first)
+        kept = [batch.column(c).take(some) for c in ("key", "kind", "doc_id", "pos")]
+        shared = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(stop - first)]).astype(np.int32)), pa.array(shingles[held], mask=single[held]))
+        return pa.RecordBatch.from_arrays([*kept, pa.array(low[row[first]] + first - at[row[first]]), shared, pa.array(content)], ["key", "kind", "doc_id", "pos", "low", "shingles", "content"])
+
+    return cut
+
+
+def _asked(width: int, lost: int):
+    """(key, doc_id, pos, shingle): of every window of runs (key, doc_id, pos, length, held (nth, shingle, n)) so many of its rarest shingles that one that is similar has one of them."""
+
+    def rarest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held, length = batch.column("held").flatten(), batch.column("length").to_numpy()
+        at = np.cumsum(length) - length
+        row, of = (np.repeat(np.arange(batch.num_rows), n) for n in (length, np.diff(batch.column("held").offsets.to_numpy())))
+        many, shingle = np.full(len(row), -1, np.int64), np.zeros(len(row), np.int32)
+        place = at[of] + held.field("nth").to_numpy()
+        many[place], shingle[place] = held.field("n").to_numpy(), held.field("shingle").to_numpy()
+        windows = np.flatnonzero(np.arange(len(row)) - at[row] + width <= length[row])
+        chosen = np.zeros(len(row), bool)
+        for k in range(0, len(windows), WINDOWS_AT_ONCE):
+            some = windows[k : k + WINDOWS_AT_ONCE]
+            # those that are a document's own come first in the order, are among the ones that may be missing, and are left out
+            order = np.argsort(many[some[:, None] + np.arange(width)], axis=1, kind="stable")[:, : lost + 1]
+            chosen[some[:, None] + order] = True
+        found = np.flatnonzero(chosen & (many >= 0))
+        kept = [batch.column(c).take(pa.array(row[found])) for c in ("key", "doc_id", "pos")]
+        return pa.RecordBatch.from_arrays([*kept, pa.array(shingle[found])], ["key", "doc_id", "pos", "shingle"])
+
+    return rarest
+
+
 def _still_open(verified: DataFrame, passage: int, similarity: float, work: Workspace) -> DataFrame:
     """(doc_id, pos, mate, mate_pos, key, label, n): of each key, the runs that its first document has no copy of, with each other and with
-    those that it has a near copy of, unless bitmaps tell that no windows of both are similar. Of equal runs one is taken; the others are known as its repeats.
+    those that it has a near copy of, if they may be similar.
 
-    A window shares all but ``lost`` of its shingles with one that is similar. What all windows of a run have lies in this window, and what this has in
-    what any of the other run has: no more than ``lost`` bits are missing there. A bit may stand for several shingles, so only too many pairs stay.
+    A window shares all but ``lost`` of its shingles with one that is similar. One with more that no other document of the key has is
+    similar to none, so runs are cut to the other windows. Runs that are equal but for such shingles are similar to each other, and to the same
+    others: each is held against the first of them, and two of them stand for all. What is left meets by shingles: of a window's, less its own, so many of the
+    rarest that one that is similar can't lack all of them.
     """
     width = passage - SHINGLE + 1
     lost = width - needed(width, similarity)
-    rows = verified.where(F.col("kind") >= OPEN).select("key", F.col("end").alias("content"), F.struct("doc_id", F.col("start").alias("pos"), *BITMAPS).alias("at"), "kind")
-    runs = work.save(rows.groupBy("key", "content").agg(F.min("at").alias("at"), F.min("kind").alias("kind")).select("key", "kind", "at.*"), "runs-open")
-    keys = runs.groupBy("key").agg(F.ceil(F.count("*") / RUNS_A_PART).cast("int").alias("parts"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("kind").alias("least"))
-    keys = work.save(keys.where((F.col("low") < F.col("high")) & (F.col("least") == OPEN)).select("key", "parts"), "keys-open")
-    runs = runs.join(keys.hint("merge"), "key")
-    left = runs.where(F.col("kind") == OPEN).select("key", F.pmod(F.xxhash64("doc_id", "pos"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(f"a_{c}") for c in ("doc_id", "pos", *BITMAPS)))
-    right = runs.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "kind", "doc_id", "pos", *BITMAPS)
-    missing = lambda one, two: sum((F.bit_count(F.col(f"{one}all{k}").bitwiseAND(F.bitwise_not(F.col(f"{two}any{k}")))) for k in range(BITMAP)), F.lit(0))
+    def of_open_keys(runs: DataFrame) -> DataFrame:
+        keys = runs.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("kind").alias("least"))
+        keys = work.save(keys.where((F.col("low") < F.col("high")) & (F.col("least") == OPEN)).select("key"), "keys-open")
+        return runs.join(keys.hint("merge"), "key")
+
+    runs = verified.where(F.col("kind") >= OPEN).select("key", "kind", "doc_id", F.col("start").alias("pos"), "low", "shingles")
+    runs = work.save(of_open_keys(runs), "runs-open")
+    places = runs.select("key", "doc_id", "low", F.posexplode("shingles").alias("nth", "shingle")).select("key", "shingle", "doc_id", (F.col("low") + F.col("nth")).alias("place"))
+    held = work.save(places.groupBy("key", "shingle").agg(F.count("*").alias("n"), *(f(c).alias(f"{name}_{c}") for c in ("doc_id", "place") for name, f in (("min", F.min), ("max", F.max)))), "held")
+    # of a shingle that comes more than twice in one document the places between count as another's: that keeps more only
+    own = held.where("min_doc_id = max_doc_id").select("key", F.col("min_doc_id").alias("doc_id"), F.explode(F.array_distinct(F.array("min_place", "max_place"))).alias("place"))
+    own = own.groupBy("key", "doc_id").agg(F.collect_list("place").alias("own"))
+    cut = map_arrow(runs.join(own.hint("merge"), ["key", "doc_id"], "left"), _hopeful(width, lost), "key long, kind long, doc_id long, pos long, low long, shingles array<int>, content long")
+    cut = work.save(of_open_keys(work.save(cut, "cut")), "runs-cut")
+    place = F.struct("doc_id", "pos", "low", "shingles")
+    groups = cut.groupBy("key", "content").agg(F.min(place).alias("one"), F.max(place).alias("other"), F.min("kind").alias("kind"))
+    groups = work.save(groups.select("key", "content", "kind", F.when(F.col("one.doc_id") < F.col("other.doc_id"), F.array("one", "other")).otherwise(F.array("one")).alias("two")), "groups")
+    first = groups.select("key", "content", F.col("two")[0]["doc_id"].alias("mate"), F.col("two")[0]["pos"].alias("mate_pos"))
+    repeats = cut.where(F.col("kind") == OPEN).select("key", "content", "doc_id", "pos").join(first.hint("merge"), ["key", "content"]).where("doc_id <> mate or pos <> mate_pos")
+    repeats = work.save(repeats.select("key", "doc_id", "pos", "mate", "mate_pos").distinct(), "repeats")
+    runs = groups.select("key", "kind", F.explode("two").alias("at")).select("key", "kind", "at.*")
+
+    shingles = runs.select("key", "kind", "doc_id", "pos", "low", F.size("shingles").alias("length"), F.posexplode("shingles").alias("nth", "shingle")).where("shingle is not null")
+    counted = shingles.where(F.col("kind") == OPEN).join(held.select("key", "shingle", "n").hint("merge"), ["key", "shingle"])
+    counted = counted.groupBy("key", "doc_id", "pos", "low", "length").agg(F.collect_list(F.struct("nth", "shingle", "n")).alias("held"))
+    asked = work.save(map_arrow(counted.select("key", "doc_id", "pos", "length", "held"), _asked(width, lost), "key long, doc_id long, pos long, shingle int"), "asked")
+    left = asked.select("key", "shingle", F.col("doc_id").alias("a_doc_id"), F.col("pos").alias("a_pos"))
     once = (F.col("doc_id") < F.col("a_doc_id")) | ((F.col("kind") == NEAR) & (F.col("doc_id") > F.col("a_doc_id")))
-    met = left.join(right.hint("merge"), ["key", "part"]).where(once & (missing("a_", "") <= lost) & (missing("", "a_") <= lost))
+    met = left.join(shingles.select("key", "shingle", "kind", "doc_id", "pos").hint("merge"), ["key", "shingle"]).where(once)
     after = F.col("a_doc_id") > F.col("doc_id")
     ends = [F.when(after, F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in (("doc_id", "a_doc_id", "doc_id"), ("pos", "a_pos", "pos"), ("mate", "doc_id", "a_doc_id"), ("mate_pos", "pos", "a_pos"))]
-    return work.save(met.select(*ends, "key", F.col("key").alias("label"), F.lit(2).cast("long").alias("n")), "met-open")
+    met = work.save(met.select("key", *ends).distinct(), "met")
+    # the first one may come again in its document
+    again = repeats.where("doc_id = mate").select("key", "doc_id", F.col("mate_pos").alias("pos"), F.col("pos").alias("further"))
+    again = met.join(again.hint("merge"), ["key", "doc_id", "pos"]).select("key", "doc_id", F.col("further").alias("pos"), "mate", "mate_pos")
+    met = met.unionByName(repeats).unionByName(again).distinct()
+    return work.save(met.select("doc_id", "pos", "mate", "mate_pos", "key", F.col("key").alias("label"), F.lit(2).cast("long").alias("n")), "met-open")
 
 
 def _equal(left: DataFrame, passage: int, work: Workspace) -> DataFrame:

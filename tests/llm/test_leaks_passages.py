@@ -281,3 +281,28 @@ def test_no_colliding_near_copy_is_lost(make):
     pairs = [x for x in pairs if collide(*(rows[d][at : at + 60] for d, at in x))]
     lost = [x for x in pairs if any(len(got[d] & set(range(at, at + 60))) < 46 for d, at in x)]
     assert len(pairs) > 60 and not lost, (len(lost), len(pairs))
+
+
+def test_pairs_grow_with_a_group_of_near_copies(make, monkeypatch):
+    """A passage behind other words, with a word changed in every second document: its first document is like few of the others."""
+    counts, save = [], passages.Workspace.save
+
+    def counted(self, df, name="table"):
+        table = save(self, df, name)
+        if name == "met-open":
+            counts.append(table.count())
+        return table
+
+    monkeypatch.setattr(passages.Workspace, "save", counted)
+    rng = random.Random(3)
+    tail = [f"v{rng.randrange(10**9)}" for _ in range(56)]
+    rows = []
+    for d in range(360):
+        words = [f"o{rng.randrange(10**9)}" for _ in range(60)] + tail
+        for at in (75, 100) if d == 0 else (rng.randrange(60, 116),) if d % 2 else ():
+            words[at] = f"e{rng.randrange(10**9)}"
+        rows.append((d, " ".join(words)))
+    for n in (120, 360):
+        got, kept = found_words(make(rows[:n]))
+        assert all(not set(range(66, 110)) & kept.get(d, set()) and set(range(66, 110)) <= got[d] for d in range(4, n, 2))
+    assert counts[1] <= 4 * counts[0], counts
