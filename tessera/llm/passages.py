@@ -526,6 +526,7 @@ def _still_open(verified: DataFrame, passage: int, similarity: float, work: Work
     """
     width = passage - SHINGLE + 1
     lost = width - needed(width, similarity)
+
     def of_open_keys(runs: DataFrame) -> DataFrame:
         keys = runs.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("kind").alias("least"))
         keys = work.save(keys.where((F.col("low") < F.col("high")) & (F.col("least") == OPEN)).select("key"), "keys-open")
@@ -533,23 +534,27 @@ def _still_open(verified: DataFrame, passage: int, similarity: float, work: Work
 
     runs = verified.where(F.col("kind") >= OPEN).select("key", "kind", "doc_id", F.col("start").alias("pos"), "low", "shingles")
     runs = work.save(of_open_keys(runs), "runs-open")
-    places = runs.select("key", "doc_id", "low", F.posexplode("shingles").alias("nth", "shingle")).select("key", "shingle", "doc_id", (F.col("low") + F.col("nth")).alias("place"))
-    held = work.save(places.groupBy("key", "shingle").agg(F.count("*").alias("n"), *(f(c).alias(f"{name}_{c}") for c in ("doc_id", "place") for name, f in (("min", F.min), ("max", F.max)))), "held")
+    places = runs.select("key", "doc_id", "low", F.posexplode("shingles").alias("nth", "shingle")).select("key", "shingle", "doc_id", (F.col("low") + F.col("nth")).cast("int").alias("place"))
+    held = places.groupBy("key", "shingle").agg(*(f(c).alias(f"{name}_{c}") for c in ("doc_id", "place") for name, f in (("min", F.min), ("max", F.max))))
     # of a shingle that comes more than twice in one document the places between count as another's: that keeps more only
     own = held.where("min_doc_id = max_doc_id").select("key", F.col("min_doc_id").alias("doc_id"), F.explode(F.array_distinct(F.array("min_place", "max_place"))).alias("place"))
     own = own.groupBy("key", "doc_id").agg(F.collect_list("place").alias("own"))
     cut = map_arrow(runs.join(own.hint("merge"), ["key", "doc_id"], "left"), _hopeful(width, lost), "key long, kind long, doc_id long, pos long, low long, shingles array<int>, content long")
-    cut = work.save(of_open_keys(work.save(cut, "cut")), "runs-cut")
+    hopeful = work.save(cut, "hopeful")
+    work.drop(runs)
+    cut = work.save(of_open_keys(hopeful), "runs-cut")
+    work.drop(hopeful)
     place = F.struct("doc_id", "pos", "low", "shingles")
     groups = cut.groupBy("key", "content").agg(F.min(place).alias("one"), F.max(place).alias("other"), F.min("kind").alias("kind"))
     groups = work.save(groups.select("key", "content", "kind", F.when(F.col("one.doc_id") < F.col("other.doc_id"), F.array("one", "other")).otherwise(F.array("one")).alias("two")), "groups")
     first = groups.select("key", "content", F.col("two")[0]["doc_id"].alias("mate"), F.col("two")[0]["pos"].alias("mate_pos"))
     repeats = cut.where(F.col("kind") == OPEN).select("key", "content", "doc_id", "pos").join(first.hint("merge"), ["key", "content"]).where("doc_id <> mate or pos <> mate_pos")
     repeats = work.save(repeats.select("key", "doc_id", "pos", "mate", "mate_pos").distinct(), "repeats")
+    work.drop(cut)
     runs = groups.select("key", "kind", F.explode("two").alias("at")).select("key", "kind", "at.*")
 
     shingles = runs.select("key", "kind", "doc_id", "pos", "low", F.size("shingles").alias("length"), F.posexplode("shingles").alias("nth", "shingle")).where("shingle is not null")
-    counted = shingles.where(F.col("kind") == OPEN).join(held.select("key", "shingle", "n").hint("merge"), ["key", "shingle"])
+    counted = shingles.where(F.col("kind") == OPEN).join(shingles.groupBy("key", "shingle").agg(F.count("*").alias("n")).hint("merge"), ["key", "shingle"])
     counted = counted.groupBy("key", "doc_id", "pos", "low", "length").agg(F.collect_list(F.struct("nth", "shingle", "n")).alias("held"))
     asked = work.save(map_arrow(counted.select("key", "doc_id", "pos", "length", "held"), _asked(width, lost), "key long, doc_id long, pos long, shingle int"), "asked")
     left = asked.select("key", "shingle", F.col("doc_id").alias("a_doc_id"), F.col("pos").alias("a_pos"))
